@@ -19,7 +19,7 @@ def joined_text(pairs: Column, sep: str) -> Column:
         value, times = pair.getField("v"), pair.getField("n")
         return F.concat(F.repeat(F.concat(value, F.lit(sep)), times.cast("int") - 1), value)
 
-    return F.array_join(F.transform(F.array_sort(pairs), written), sep)
+    return F.array_join(F.transform(F.sort_array(pairs), written), sep)
 
 
 def string_agg_ordered(

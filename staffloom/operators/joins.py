@@ -9,36 +9,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from staffloom.names import c
 
-# A key is hot when it has more than this share of the rows, so there are fewer
-# than 1 / HOT_SHARE hot keys whatever the size of the table.
+# Keys are hashed into this many buckets, and buckets are counted, not keys: the
+# counting shuffle has at most BUCKETS small rows per task, however many keys.
+BUCKETS = 8192
+# A bucket with more than this share of the rows is hot.  An even bucket has
+# 1/8192 of them, so only a heavy key makes one, and there are under 1000.
 HOT_SHARE = 0.001
-# Below this many rows a key is never worth splitting.
+# Stretches shorter than this are never worth splitting.
 HOT_FLOOR = 1_000_000
 # Rows without a key match nothing; they are spread over this many pieces.
 NULL_PIECES = 1024
 
-_PIECE, _PIECES, _N = "__piece", "__pieces", "__n"
+_PIECE = "__piece"
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR) -> DataFrame:
-    """Keys with more than ``share`` of all rows, and the pieces to split each into.
+def _bucket(keys: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(BUCKETS)).cast("int")
 
-    The count is a hash aggregate with map-side partials over the key columns
-    alone.  The result has fewer than ``1 / share`` rows by construction.
-    """
-    counts = df.groupBy(*[c(k) for k in keys]).agg(F.count(F.lit(1)).alias(_N))
-    counts = counts.filter(reduce(lambda a, b: a & b, [c(k).isNotNull() for k in keys]))
-    total = df.agg(F.count(F.lit(1)).alias(_N)).scalar()
-    piece_rows = F.greatest(total * F.lit(float(share)), F.lit(float(floor)))
-    return counts.filter(c(_N) > piece_rows).select(
-        *[c(k) for k in keys], F.ceil(c(_N) / piece_rows).cast("int").alias(_PIECES)
-    )
 
-
-def _spread(df: DataFrame) -> Column:
-    # Content and input split: stable when a lost task is rerun, and copies of
-    # one row that sit in different splits still go different ways.
-    return F.xxhash64(*[c(n) for n in df.columns]) + F.spark_partition_id()
+def hot_pieces(
+    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR
+) -> DataFrame:
+    """One row, one array: into how many pieces to split each bucket (empty when none is hot)."""
+    counts = df.groupBy(_bucket(keys).alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    table = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("b", "n")).alias("all"))
+    size = F.greatest(F.col("total") * F.lit(float(share)), F.lit(float(floor)))
+    hot = F.filter("all", lambda e: e.getField("n") > size)
+    by_bucket = F.map_from_entries(
+        F.transform(hot, lambda e: F.struct(e.getField("b"), F.ceil(e.getField("n") / size).cast("int")))
+    )
+    pieces = F.transform(
+        F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at(by_bucket, b), F.lit(1))
+    )
+    return table.select(F.when(F.size(hot) > 0, pieces).otherwise(F.array().cast("array<int>")).alias("pieces"))
 
 
 def left_join(
@@ -50,30 +53,30 @@ def left_join(
 ) -> DataFrame:
     """``left LEFT JOIN right USING (keys)`` with hot left keys split.
 
-    Rows of a hot key are dealt over pieces and the few right rows of that key
-    are repeated once per piece.  Neither side is hinted: Spark broadcasts the
-    right side when its measured size is under the session's threshold.
+    Rows of a hot bucket are dealt over pieces, and the right rows of that
+    bucket are repeated once per piece; as buckets are small, that adds little
+    to the right side.  Neither side is hinted: Spark broadcasts the right side
+    when its measured size is under the session's threshold.
+
+    The deal goes by row content and input split, both the same when a lost
+    task is rerun; copies of one row in different splits go different ways.
     """
-    hot = F.broadcast(hot_keys(left, keys, share, floor))  # < 1 / share rows
+    plan = hot_pieces(left, keys, share, floor).scalar()
+    pieces = F.coalesce(F.get(plan, _bucket(keys)), F.lit(1))
     no_key = reduce(lambda a, b: a | b, [c(k).isNull() for k in keys])
-    spread = _spread(left)
+    spread = F.xxhash64(*[c(n) for n in left.columns]) + F.spark_partition_id()
 
-    dealt = left.withColumn("__spread", spread).join(hot, list(keys), "left")
-    piece = (
-        F.when(no_key, F.pmod(c("__spread"), F.lit(NULL_PIECES)))
-        .when(c(_PIECES).isNotNull(), F.pmod(c("__spread"), c(_PIECES)))
+    dealt = left.withColumn(
+        _PIECE,
+        F.when(no_key, F.pmod(spread, F.lit(NULL_PIECES)))
+        .when(pieces > 1, F.pmod(spread, pieces))
         .otherwise(0)
-        .cast("int")
+        .cast("int"),
     )
-    dealt = dealt.select(*[c(n) for n in left.columns], piece.alias(_PIECE))
-
-    repeated = right.join(hot, list(keys), "left").select(
-        *[c(n) for n in right.columns],
-        F.explode(F.sequence(F.lit(0), F.coalesce(c(_PIECES), F.lit(1)) - 1)).alias(_PIECE),
+    repeated = right.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), pieces - 1)))
+    return dealt.join(repeated, [*keys, _PIECE], "left").select(
+        *[c(n) for n in left.columns], *[c(n) for n in right.columns if n not in set(keys)]
     )
-    joined = dealt.join(repeated, [*keys, _PIECE], "left")
-    rest = [n for n in right.columns if n not in set(keys)]
-    return joined.select(*[c(n) for n in left.columns], *[c(n) for n in rest])
 
 
 def match_status(code: Column, matched: Column) -> Column:

@@ -56,7 +56,7 @@ def q2(t):
 
 @query("Q3_cost_centers", """
 SELECT "CC", "NOMBRE CC", "CATEGORIA CC", "GERENCIA" FROM <<cc_rows>>
-QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, "NOMBRE CC") = 1""")
+QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, "NOMBRE CC" NULLS FIRST, "CATEGORIA CC" NULLS FIRST, "GERENCIA" NULLS FIRST) = 1""")
 def q3(t):
     return employees.cost_centers(t["cc_rows"])
 

@@ -128,7 +128,7 @@ def filtered(t):
 
 @query("A3_dedup_keep_first", """
 SELECT row_idx, "CC", "NOMBRE CC", "CATEGORIA CC", "GERENCIA" FROM <<cc_rows>>
-QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, "NOMBRE CC") = 1""")
+QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, "NOMBRE CC" NULLS FIRST, "CATEGORIA CC" NULLS FIRST, "GERENCIA" NULLS FIRST) = 1""")
 def dedup(t):
     return dedup_keep_first(t["cc_rows"], "CC", ["row_idx"])
 
