@@ -87,7 +87,7 @@ def number_to_text(col: Column) -> Column:
     """Double as text: no decimals when whole, else at most six without trailing zeros."""
     fixed = F.coalesce(
         col.try_cast("decimal(28,6)").cast("string"),
-        F.format_string("%.6f", col),
+        F.when(col.isNotNull(), F.format_string("%.6f", col)),
     )
     return F.when(
         (col == F.floor(col)) & (F.abs(col) < 9e18), col.cast("long").cast("string")

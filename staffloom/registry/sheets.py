@@ -49,7 +49,7 @@ SELECT {PAYROLL_FILE} AS source_file, CASE WHEN o_orderstatus = 'P' THEN 'Resume
        cast(o_totalprice AS VARCHAR) AS "SUBS. POR ENFERMEDAD", cast(NULL AS VARCHAR) AS "SEXO"
 FROM orders""")
 def promote(t):
-    return promote_header(t["payroll_bronze"], PAYROLL_COLUMNS, 6, stop="gap")
+    return promote_header(t["payroll_bronze"], PAYROLL_COLUMNS, 6, stop="gap").drop("chunk")
 
 
 @query("S3_normalize_header", f"""
@@ -67,7 +67,7 @@ SELECT 'BD Practicantes ' || strftime(o_orderdate, '%d.%m.%Y') || '.xlsx' AS sou
        o_orderkey + 5 AS row_idx, ' Practicante ' || o_orderkey AS "APELLIDOS Y NOMBRES", 'G' AS "GERENCIA"
 FROM orders""")
 def by_header(t):
-    return select_by_header(t["interns_bronze"], ["APELLIDOS Y NOMBRES", "GERENCIA"], 4)
+    return select_by_header(t["interns_bronze"], ["APELLIDOS Y NOMBRES", "GERENCIA"], 4).drop("chunk")
 
 
 @query("S4_missing_headers", """

@@ -7,7 +7,9 @@ operator relies on file or partition order: order always means ``row_idx``.
 Facts about a sheet (its header, its last row) are joined to its rows on
 ``(source_file, sheet, chunk)``, where a chunk is a fixed stretch of row
 numbers.  A sheet with a third of all rows is so split over many tasks, and the
-facts are repeated once per chunk, not once per row.
+facts are repeated once per chunk, not once per row.  ``promote_header`` keeps
+the chunk as a column, so that a crop after it finds its rows already
+partitioned the way it needs them.
 """
 
 from __future__ import annotations
@@ -25,20 +27,27 @@ BRONZE_SCHEMA = "source_file string, sheet string, row_idx long, cells array<str
 SHEET = ["source_file", "sheet"]
 CHUNK_ROWS = 65_536
 
-_CHUNK = "__chunk"
+_CHUNK = "chunk"
 
 
-def _chunk(row: Column) -> Column:
-    return F.floor(row / F.lit(CHUNK_ROWS)).cast("long")
+def _chunk(row: str) -> Column:
+    return F.expr(f"{row} div {CHUNK_ROWS}L")
+
+
+def with_chunk(rows: DataFrame) -> DataFrame:
+    """Rows with their ``chunk``, which is kept when it is there."""
+    return rows if _CHUNK in rows.columns else rows.withColumn(_CHUNK, _chunk("row_idx"))
 
 
 def join_sheet_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """Give every row the facts of its sheet; ``facts`` has one row per sheet with ``__last``."""
+    """Give every row of ``with_chunk`` the facts of its sheet.
+
+    ``facts`` has one row per sheet, with the last row number as ``__last``.
+    """
     chunked = facts.withColumn(
-        _CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), _chunk(F.col("__last"))))
+        _CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), _chunk("__last")))
     ).drop("__last")
-    joined = rows.withColumn(_CHUNK, _chunk(F.col("row_idx"))).join(chunked, [*SHEET, _CHUNK], how)
-    return joined.drop(_CHUNK)
+    return rows.join(chunked, [*SHEET, _CHUNK], how)
 
 
 def _last_rows(rows: DataFrame) -> DataFrame:
@@ -137,7 +146,7 @@ def promote_header(
     aliases: Mapping[str, str] | None = None,
     keep_cells: bool = False,
 ) -> DataFrame:
-    """Data rows below the header, with the wanted headers as columns.
+    """Data rows below the header: sheet, chunk and row number, then the wanted headers as columns.
 
     The position of each wanted header is looked up once per sheet; a row then
     only picks cells.  A header a sheet lacks gives null, which makes this the
@@ -159,10 +168,11 @@ def promote_header(
     facts = headers.join(_last_rows(rows), SHEET).select(
         *SHEET, "__last", F.array(*[position(n) for n in wanted]).alias("__pos")
     )
-    data = join_sheet_facts(rows.filter(F.col("row_idx") > header_row), facts)
+    data = join_sheet_facts(with_chunk(rows.filter(F.col("row_idx") > header_row)), facts)
     cell = lambda i: F.get(F.col("cells"), F.get(F.col("__pos"), F.lit(i)))
     return data.select(
         *SHEET,
+        _CHUNK,
         "row_idx",
         *(["cells"] if keep_cells else []),
         *[cell(i).alias(name) for i, name in enumerate(wanted)],
@@ -205,8 +215,9 @@ def crop_at_first_blank(df: DataFrame, blank: Column) -> DataFrame:
         .agg(F.min(F.when(blank, F.col("row_idx"))).alias("__cut"), F.max("row_idx").alias("__last"))
         .filter(F.col("__cut").isNotNull())
     )
-    joined = join_sheet_facts(df, facts, "left")
-    return joined.filter(F.coalesce(F.col("row_idx") < F.col("__cut"), F.lit(True))).drop("__cut")
+    joined = join_sheet_facts(with_chunk(df), facts, "left")
+    kept = joined.filter(F.coalesce(F.col("row_idx") < F.col("__cut"), F.lit(True)))
+    return kept.select(*[c(n) for n in df.columns])
 
 
 def crop_at_blank_row(df: DataFrame, names: Sequence[str]) -> DataFrame:
@@ -228,10 +239,10 @@ def crop_after_blank_run(df: DataFrame, key: str, run: int = rules.BLANK_RUN) ->
     Gaps are found inside each chunk first; then only one summary row per chunk
     (its first and last row with a key) is compared with its neighbour.
     """
-    valid = df.filter(~is_blank(c(key)))
+    valid = with_chunk(df.filter(~is_blank(c(key))))
     in_chunk = Window.partitionBy(*SHEET, _CHUNK).orderBy("row_idx")
     gaps = (
-        valid.select(*SHEET, "row_idx", _chunk(F.col("row_idx")).alias(_CHUNK))
+        valid.select(*SHEET, "row_idx", _CHUNK)
         .withColumn("__next", F.lead("row_idx").over(in_chunk))
         .groupBy(*SHEET, _CHUNK)
         .agg(
@@ -249,7 +260,8 @@ def crop_after_blank_run(df: DataFrame, key: str, run: int = rules.BLANK_RUN) ->
         .filter(F.col("__cut").isNotNull())
     )
     joined = join_sheet_facts(valid, facts, "left")
-    return joined.filter(F.coalesce(F.col("row_idx") <= F.col("__cut"), F.lit(True))).drop("__cut")
+    kept = joined.filter(F.coalesce(F.col("row_idx") <= F.col("__cut"), F.lit(True)))
+    return kept.select(*[c(n) for n in df.columns])
 
 
 def is_data_row(cells: Column, max_len: int = rules.FOOTER_LENGTH) -> Column:
