@@ -153,8 +153,8 @@ def check_allowed(df: DataFrame, spec: TableSpec, severity: str = WARNING) -> Da
 def check_unique(df: DataFrame, keys: Sequence[str], source: str = "") -> DataFrame:
     """Number of key groups with more than one row; absent key columns shorten the key."""
     present = [k for k in keys if k in df.columns]
-    groups = df.groupBy(*[c(k) for k in present]).agg(F.count(F.lit(1)).alias("n"))
-    return groups.agg(F.count_if(F.col("n") > 1).alias("n_bad")).select(
+    groups = df.groupBy(*[c(k) for k in present]).agg(F.count(F.lit(1)).alias("__n"))
+    return groups.agg(F.count_if(F.col("__n") > 1).alias("n_bad")).select(
         F.lit(source).alias("source"), F.lit("duplicate_key").alias("rule"),
         F.lit(", ".join(present)).alias("column"),
         F.lit(ERROR if len(present) == len(keys) else WARNING).alias("severity"),

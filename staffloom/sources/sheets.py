@@ -1,8 +1,9 @@
 """From row-numbered sheet rows to tables with named columns.
 
 ``bronze_rows`` is ``(source_file, sheet, row_idx, cells array<string>)``.  Row
-numbers are 1-based as in the spreadsheet, and blank rows may be absent.  No
-operator relies on file or partition order: order always means ``row_idx``.
+numbers are 1-based as in the spreadsheet.  A run of blank rows is there with
+its first row; the others may be absent.  No operator relies on file or
+partition order: order always means ``row_idx``.
 
 Facts about a sheet (its header, its last row) are joined to its rows on
 ``(source_file, sheet, chunk)``, where a chunk is a fixed stretch of row

@@ -97,7 +97,7 @@ def _cell(node, strings: list[str], dates: set[int], epoch: datetime) -> str | N
 
 
 def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
-    """``(sheet, row number, cells)`` of every non-empty row.
+    """``(sheet, row number, cells)`` of every filled row, and of the first row of each blank run.
 
     Each sheet starts with a marker row 0 without cells, so that an empty sheet
     is known to exist.
@@ -114,17 +114,24 @@ def sheet_rows(content: bytes) -> Iterator[tuple[str, int, list[str | None]]]:
             name, target = sheet.get("name"), links[sheet.get(_REL)]
             yield name, 0, []
             path = target.lstrip("/") if target.startswith("/") else "xl/" + target
-            number = 0
+            number, blank = 0, False
             with book.open(path) as stream:
                 for _, node in ElementTree.iterparse(stream):
                     if _local(node.tag) != "row":
                         continue
-                    number = int(node.get("r", number + 1))
+                    last, number = number, int(node.get("r", number + 1))
+                    if number > last + 1 and not blank:
+                        blank = True
+                        yield name, last + 1, []
                     cells: list[str | None] = []
                     for cell in node:
                         at = _column(cell.get("r")) if cell.get("r") else len(cells)
                         cells.extend([None] * (at - len(cells)))
                         cells.append(_cell(cell, strings, dates, epoch))
                     if any(value is not None for value in cells):
+                        blank = False
                         yield name, number, cells
+                    elif not blank:
+                        blank = True
+                        yield name, number, []
                     node.clear()
