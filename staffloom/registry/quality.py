@@ -15,7 +15,7 @@ from staffloom.plans.payroll import payroll_gold
 from staffloom.registry.core import query
 from staffloom.registry.functions import as_of
 from staffloom.registry.relational import FLAGS_SQL
-from staffloom.registry.shaping import number
+from staffloom.registry.shaping import PAYROLL_PRESENT, number
 from staffloom.sources.preflight import preflight
 from staffloom.specs import Col, SheetContract, SourceContract, TableSpec, contracts, tables
 
@@ -27,14 +27,39 @@ def finding(source: str, rule: str, column: str, severity: str, condition: str,
     count(*) FILTER (WHERE {condition}) AS n_bad, {_NO_SAMPLE} FROM {table}"""
 
 
-@query("V1_check_columns")
+def _rows_sql(source: str, rule: str, found: dict[str, str | None], extra: str = "") -> str:
+    """SQL rows of a metadata finding per column, with an optional further column."""
+    return " UNION ALL ".join(
+        f"""SELECT '{source}' AS source, '{rule}' AS rule, '{column}' AS "column", 'error' AS severity,
+    cast(1 AS BIGINT) AS n_bad, {f"'{sample}'" if sample else "cast(NULL AS VARCHAR)"} AS sample{extra}"""
+        for column, sample in found.items()
+    )
+
+
+_ROWS = ", (SELECT count(*) FROM <<payroll_silver>>) AS n_rows"
+_ABSENT = {n: None for n in tables.PAYROLL.names if n not in PAYROLL_PRESENT}
+_STILL_TEXT = {
+    "F. NACIMIENTO": "date", "FECHA DE INGRESO": "date", "FECHA CESE": "date", "DIAS SUBSIDIO ENFERMEDAD": "integer",
+    "DIAS GOCE HABER(D)": "integer", "# HRS EXTRAS SIMP.25%": "float", "# HRS EXTRAS SIMP.35%": "float",
+    "SUBS. POR ENFERMEDAD": "float",
+}
+
+
+def _with_rows(report, df):
+    """The report, with the number of rows each finding stands for."""
+    return report.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
+
+
+@query("V1_check_columns", _rows_sql("payroll", "missing_column", _ABSENT, _ROWS))
 def columns(t):
-    return checks.check_columns(t["payroll_silver"], tables.PAYROLL)
+    return _with_rows(checks.check_columns(t["payroll_silver"], tables.PAYROLL), t["payroll_silver"])
 
 
-@query("V2_check_types")
+@query("V2_check_types", _rows_sql(
+    "payroll", "wrong_type", {n: f"{k} expected, string found" for n, k in _STILL_TEXT.items()}, _ROWS
+))
 def types(t):
-    return checks.check_types(t["payroll_silver"], tables.PAYROLL)
+    return _with_rows(checks.check_types(t["payroll_silver"], tables.PAYROLL), t["payroll_silver"])
 
 
 _NOT_NULL = [
@@ -181,7 +206,15 @@ def policy(t):
     return report.filter(F.col("severity") == checks.ERROR)
 
 
-@query("V14_payroll_report")
+@query("V14_payroll_report", " UNION ALL ".join([
+    _rows_sql("payroll", "missing_column", _ABSENT),
+    _rows_sql("payroll", "wrong_type", {n: f"{_STILL_TEXT[n]} expected, string found"
+                                        for n in ("DIAS GOCE HABER(D)", "# HRS EXTRAS SIMP.35%")}),
+    finding("payroll", "null", "APELLIDO PATERNO", "error", '"APELLIDO PATERNO" IS NULL', "<<payroll_silver>>"),
+    finding("payroll", "not_allowed", "SEXO", "warning", "\"SEXO\" NOT IN ('M', 'F')", "<<payroll_silver>>"),
+    finding("payroll", "below_min", "SUBS. POR ENFERMEDAD", "warning",
+            'cast("SUBS. POR ENFERMEDAD" AS DOUBLE) < 0', "<<payroll_silver>>"),
+]))
 def payroll_report(t):
     return checks.check_table(payroll_gold(t["payroll_silver"]), tables.PAYROLL)
 

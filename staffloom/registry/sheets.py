@@ -54,7 +54,7 @@ def promote(t):
 
 @query("S3_normalize_header", f"""
 SELECT conv_id, turn, regexp_replace(trim(text, {WS}), '{SPACES}', ' ', 'g') AS header,
-       upper(regexp_replace(trim(text, {WS}), '{SPACES}', ' ', 'g')) AS header_key
+       upper(replace(regexp_replace(trim(text, {WS}), '{SPACES}', ' ', 'g'), 'ß', 'SS')) AS header_key
 FROM conversations""")
 def normalize(t):
     return t["conversations"].select(

@@ -119,6 +119,24 @@ def test_skewed_left_join_equals_plain_join(spark):
     )
 
 
+def test_skewed_left_join_without_broadcast(spark):
+    left = skewed(spark)
+    right = spark.createDataFrame([("hot", "p", 1), ("k2", "p", 2)], "k string, p string, w int")
+    names = ["spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.coalescePartitions.enabled"]
+    before = [spark.conf.get(n) for n in names]
+    for name, value in zip(names, ("-1", "false")):
+        spark.conf.set(name, value)
+    try:
+        got = joins.left_join(left, right, ["k", "p"], share=0.01, floor=10)
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        sizes = [r["count"] for r in got.groupBy(F.spark_partition_id()).count().collect()]
+        assert rows(got) == rows(left.join(right, ["k", "p"], "left").select("k", "p", "v", "w"))
+    finally:
+        for name, value in zip(names, before):
+            spark.conf.set(name, value)
+    assert sum(sizes) == 9000 and max(sizes) < 3500  # 6000 rows share one key
+
+
 def test_hot_buckets_are_split(spark):
     pieces = joins.hot_pieces(skewed(spark), ["k", "p"], share=0.01, floor=10).first()["pieces"]
     assert len(pieces) == joins.BUCKETS
