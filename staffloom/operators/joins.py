@@ -31,17 +31,15 @@ def hot_pieces(
     df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR
 ) -> DataFrame:
     """One row, one array: into how many pieces to split each bucket (empty when none is hot)."""
-    counts = df.groupBy(_bucket(keys).alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    table = counts.agg(F.sum("n").alias("total"), F.collect_list(F.struct("b", "n")).alias("all"))
-    size = F.greatest(F.col("total") * F.lit(float(share)), F.lit(float(floor)))
-    hot = F.filter("all", lambda e: e.getField("n") > size)
-    by_bucket = F.map_from_entries(
-        F.transform(hot, lambda e: F.struct(e.getField("b"), F.ceil(e.getField("n") / size).cast("int")))
-    )
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.try_element_at(by_bucket, b), F.lit(1))
+    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("n"))
+    counts = df.select(_bucket(keys).alias("b"), F.lit(1).alias("n")).unionByName(every)
+    table = counts.groupBy("b").agg(F.sum("n").alias("n")).agg(
+        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("b", "n"))).alias("all")
     )
-    return table.select(F.when(F.size(hot) > 0, pieces).otherwise(F.array().cast("array<int>")).alias("pieces"))
+    size = F.greatest(F.col("total") * F.lit(float(share)), F.lit(float(floor)))
+    pieces = F.transform("all", lambda e: F.greatest(F.ceil(e.getField("n") / size), F.lit(1)).cast("int"))
+    hot = F.exists("all", lambda e: e.getField("n") > size)
+    return table.select(F.when(hot, pieces).otherwise(F.array().cast("array<int>")).alias("pieces"))
 
 
 def left_join(

@@ -235,12 +235,9 @@ def _slashed(date: Column) -> Column:
 
 
 def _with_header(data: DataFrame, header_row: int, header: Column) -> DataFrame:
-    """Data rows plus one header row per sheet.
-
-    ``header`` may use columns of ``data`` that are fixed within a sheet.
-    """
-    heads = data.select("source_file", "sheet", header.alias("cells")).distinct()
-    heads = heads.withColumn("row_idx", F.lit(header_row).cast("long"))
+    """Data rows plus one header row per sheet; ``header`` may use the file and sheet name."""
+    heads = data.select("source_file", "sheet").distinct()
+    heads = heads.select("*", header.alias("cells"), F.lit(header_row).cast("long").alias("row_idx"))
     names = ["source_file", "sheet", "row_idx", "cells"]
     return heads.select(*names).unionByName(data.select(*names))
 
