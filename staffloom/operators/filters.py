@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import operator
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -25,7 +23,7 @@ def filter_not_blank(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
-    filled = reduce(operator.add, [c(n).isNotNull().cast("int") for n in df.columns])
+    filled = F.coalesce(*[c(n).cast("string") for n in df.columns]).isNotNull().cast("int")
     # A predicate over many columns must stay where it is: pushed below a projection,
     # the optimiser spells it in all 2^n mixtures of names and expressions.  Only
     # deterministic predicates are pushed, and the partition number is not one.
