@@ -64,7 +64,7 @@ def test_cells_as_text(spark, tmp_path):
 
 def test_payroll_sources_leave_out_earlier_output(spark, tmp_path):
     for name in ("Planilla 2024-05.xlsx", "~$Planilla 2024-05.xlsx", "Planilla Metso Consolidado 1.xlsx", "b.xls", "c.csv"):
-        (tmp_path / name).write_bytes(b"")
+        (tmp_path / name).write_bytes(b"x")
     found = workbooks.discover_sources(spark, str(tmp_path), contracts.PAYROLL_EXCLUDED)
     assert {r.source_file for r in found.collect()} == {"Planilla 2024-05.xlsx", "b.xls"}
 
