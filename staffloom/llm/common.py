@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -55,19 +52,6 @@ def split(text: bytes | None) -> list[bytes]:
     return text.split() if text else []
 
 
-class Hashes(dict):
-    """Stable 64-bit hash of a word; a bounded cache, as a few words make most of a text."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
-
-
 def mix(h: np.ndarray) -> np.ndarray:
     """Final mixing of 64-bit values (the public splitmix64 constants)."""
     with np.errstate(over="ignore"):
@@ -76,6 +60,54 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+def _odd_powers(n: int) -> np.ndarray:
+    out = np.ones(n, np.uint64)
+    with np.errstate(over="ignore"):
+        out[1:] = np.multiply.accumulate(np.full(n - 1, 0x9E3779B97F4A7C15, np.uint64))
+    return out
+
+
+class WordHashes:
+    """64-bit hashes of all words of a text at once: a polynomial over random values of the bytes, then mixed.
+
+    Words end at the white space of :data:`WORD` and at the bytes of ``also``; ``lower`` takes A-Z as a-z.
+    Long texts are taken in stretches cut between words, so memory stays bounded by the longest word.
+    """
+
+    STRETCH = 1 << 19
+    POWERS = 1 << 12
+
+    def __init__(self, lower: bool = False, also: bytes = b""):
+        self.gap = np.zeros(256, bool)
+        self.gap[list(b" \t\n\x0b\x0c\r" + also)] = True
+        self.value = mix(np.arange(1, 257, dtype=np.uint64))
+        if lower:
+            self.value[65:91] = self.value[97:123]
+        self.powers = _odd_powers(self.POWERS)
+
+    def __call__(self, text: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash, first byte and end of every word."""
+        if not text:
+            return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        data = np.frombuffer(text, np.uint8)
+        gaps = self.gap[data]
+        edge = np.flatnonzero(np.diff(np.concatenate([[True], gaps, [True]]).astype(np.int8)))
+        starts, ends = edge[::2], edge[1::2]
+        out = np.zeros(len(starts), np.uint64)
+        cut = 0
+        while cut < len(starts):
+            stop = max(cut + 1, int(np.searchsorted(ends, starts[cut] + self.STRETCH, "right")))
+            size = ends[cut:stop] - starts[cut:stop]
+            first = np.cumsum(size) - size
+            inside = np.arange(first[-1] + size[-1]) - np.repeat(first, size)
+            held = inside + np.repeat(starts[cut:stop], size)
+            with np.errstate(over="ignore"):
+                bits = self.value[data[held]] * self.powers[inside % self.POWERS]
+                out[cut:stop] = mix(np.add.reduceat(bits, first) + size.astype(np.uint64))
+            cut = stop
+        return out, starts, ends
+
+
 def grams(words: np.ndarray, n: int) -> np.ndarray:
     """Hash of every run of ``n`` words; none where the text is shorter."""
     m = len(words) - n + 1
@@ -100,13 +132,6 @@ def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Ite
         yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema)
 
 
-def shipped() -> None:
-    """Let tasks carry this package's functions by value, so executors need no copy of the package."""
-    import staffloom.llm as package
-
-    cloudpickle.register_pickle_by_value(package)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
@@ -132,5 +157,3 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
             break
     return nodes.join(labels, "id", "left").select("id", F.coalesce("label", "id").alias("component"))
 
-
-WORD_PATTERN = re.compile(WORD)

@@ -1,6 +1,6 @@
 """Toxicity scores from two class-conditional Kneser-Ney language models.
 
-Labelled texts, split into words with A-Z lowered, are counted as bigrams, once as toxic and once as ordinary.
+Labelled texts, split into words (at marks too) with A-Z lowered, are counted as bigrams, once as toxic and once as ordinary.
 Each class has an interpolated Kneser-Ney model: discounted bigram counts, then the class's own discounted
 continuation counts, then continuation counts shared by both classes, so that an expression too rare to judge
 costs both classes about the same.  A text is compared by its log-likelihood ratio per word, over the whole text,
@@ -23,11 +23,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import Hashes, columns_of, held_out, mix, raw
+from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw
 
 WORD_BITS, PAIR_BITS = 20, 21
 #: Discounts of continuation counts and of bigram counts, and how many shared counts a context begins with.
@@ -36,27 +35,17 @@ CURVE_ROWS = 20_000
 FEATURES = 4
 
 
-class Places(Hashes):
-    """Place of a word, lowered and without marks at its ends, in a table of 2**20."""
-
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= 300_000:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word.lower().strip(b".,;:!?\"'()|")) >> (64 - WORD_BITS)
-        return value
-
-
 class Reader:
     """Bigrams of texts as (context, word) places."""
 
     def __init__(self):
-        self.places = Places()
+        self.hashes = WordHashes(lower=True, also=b".,;:!?\"()|")
 
     def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Contexts, words and the number of words by text, over all texts in one run."""
-        lists = [t.split() if t else [] for t in texts]
+        lists = [(self.hashes(t)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64) for t in texts]
         sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        words = np.concatenate([np.fromiter(map(self.places.__getitem__, ws), np.int64, len(ws)) for ws in lists] or [np.zeros(0, np.int64)])
+        words = np.concatenate(lists or [np.zeros(0, np.int64)])
         before = np.zeros_like(words)
         before[1:] = words[:-1]
         before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
