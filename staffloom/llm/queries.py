@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import packing, toxicity
+from staffloom.llm import packing, substring_dedup, toxicity
 from staffloom.llm.common import columns_of, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,3 +47,9 @@ def op2(spark: SparkSession, folder: str) -> DataFrame:
 @query("op10_packing")
 def op10(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), byte_bpe())
+
+
+@query("op3_substring_dedup")
+def op3(spark: SparkSession, folder: str) -> DataFrame:
+    out = substring_dedup.dedup(table(spark, folder, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
