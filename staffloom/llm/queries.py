@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import chat, decontamination, licenses, packing, quality, substring_dedup, toxicity
+from staffloom.llm import chat, decontamination, licenses, packing, quality, secret_scan, substring_dedup, toxicity
 from staffloom.llm.common import columns_of, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,8 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
         return lambda text: len(tokens(text)) // 4
 
     return chat.read_back(chat.windows(rows.union(extra), counter))
+
+
+@query("op4_secret_scan")
+def op4(spark: SparkSession, folder: str) -> DataFrame:
+    return secret_scan.scan(table(spark, folder, "documents"), ~held_out(F.col("doc_id")))
