@@ -37,6 +37,28 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A table that says something about some documents is sent to every task while it has at most so many rows.
+BROADCAST_ROWS = 200_000
+NO_ID = -(1 << 63)
+
+
+def small(df: DataFrame) -> DataFrame:
+    """``df`` (a stored table), to be broadcast if it has at most ``BROADCAST_ROWS`` rows; else joins shuffle it."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """``id, mark, text``: doc_id with nulls first, a checksum that tells apart texts under one doc_id."""
+    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
+    doc_id = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(NO_ID))
+    return docs.select(doc_id.alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), text.alias("text"))
+
+
+def doc_id_of(name: str) -> Column:
+    """The document's id again, null where it was null."""
+    return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")
+
+
 def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
     """Only the named columns, each cast to its type; others (of whatever name) are left out."""
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))

@@ -27,21 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, grams, raw, stored
+from staffloom.llm.common import WordHashes, doc_id_of, grams, keyed, raw, small, stored
 
 WIDTH, SEED = 20, 6
 MAP_BITS = 27
 HOT = 20_000
 LONGEST = 48  # windows in one packed string; a longer run is cut, its bucket stays the same
-#: Ranges of removed words by document are sent to every task while they are fewer than this, else joined by shuffle.
-BROADCAST_ROWS = 200_000
-
-
-def keyed(docs: DataFrame) -> DataFrame:
-    """``id, mark, text``: doc_id with nulls first, a checksum that tells apart texts under one doc_id."""
-    text = F.coalesce(F.col("`text`").cast("string"), F.lit(""))
-    doc_id = F.coalesce(F.col("`doc_id`").cast("long"), F.lit(-(1 << 63)))
-    return docs.select(doc_id.alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), text.alias("text"))
 
 
 def runs(hashes: np.ndarray, width: int, seed: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -184,7 +175,6 @@ def dedup(docs: DataFrame) -> DataFrame:
     """``doc_id, n_words, n_removed, kept`` (words that stay, joined by one space) of every row of ``docs``."""
     rows = keyed(docs)
     repeats = stored(repeated_windows(rows), "repeats")
-    few = repeats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
@@ -202,8 +192,7 @@ def dedup(docs: DataFrame) -> DataFrame:
                 ["id", "n_words", "n_removed", "kept"],
             )
 
-    joined = rows.join(F.broadcast(repeats) if few else repeats, ["id", "mark"], "left").select("id", "text", "spans")
-    none = F.lit(-(1 << 63))
+    joined = rows.join(small(repeats), ["id", "mark"], "left").select("id", "text", "spans")
     return joined.mapInArrow(keep, "id long, n_words long, n_removed long, kept string").select(
-        F.when(F.col("id") != none, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept"
+        doc_id_of("id"), "n_words", "n_removed", "kept"
     )
