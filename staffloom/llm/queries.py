@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import chat, decontamination, licenses, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
+from staffloom.llm import chat, decontamination, jaccard_join, licenses, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
 from staffloom.llm.common import columns_of, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +94,8 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = columns_of(table(spark, folder, "documents"), doc_id="long", text="string")
     return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+
+
+@query("op9_jaccard_join")
+def op9(spark: SparkSession, folder: str) -> DataFrame:
+    return jaccard_join.linked_groups(table(spark, folder, "documents"))
