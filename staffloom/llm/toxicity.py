@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw
+from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw, small, stored
 
 WORD_BITS, PAIR_BITS = 20, 21
 #: Discounts of continuation counts and of bigram counts, and how many shared counts a context begins with.
@@ -130,14 +130,18 @@ class Model:
 
 
 def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, toxic, part`` of the labelled rows outside the held-out fifth; ``part`` 1 fits the curve."""
-    marks = (
+    """``doc_id, text, toxic, part`` of the labelled rows outside the held-out fifth; ``part`` 1 fits the curve.
+
+    The labels are sent to the texts while they are few, which saves shuffling the texts.
+    """
+    marks = stored(
         columns_of(labels, doc_id="long", toxic="int").where("toxic is not null and doc_id is not null")
-        .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic"))
+        .where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).alias("toxic")),
+        "toxic-labels",
     )
     return (
         columns_of(docs, doc_id="long", text="string").where("doc_id is not null").where(~held_out(F.col("doc_id")))
-        .join(marks, "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
+        .join(small(marks), "doc_id").withColumn("part", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5)
     )
 
 
