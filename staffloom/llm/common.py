@@ -64,6 +64,13 @@ def columns_of(df: DataFrame, **kinds: str) -> DataFrame:
     return df.select(*(F.col(f"`{c}`").cast(kind).alias(c) for c, kind in kinds.items()))
 
 
+def sliced(it: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches (without copying), so a task works on few texts at a time."""
+    for batch in it:
+        for start in range(0, len(batch), rows):
+            yield batch.slice(start, rows)
+
+
 def raw(column: pa.Array) -> list[bytes | None]:
     """Texts of an Arrow column as UTF-8 bytes."""
     return column.cast(pa.large_binary()).to_pylist()
@@ -142,18 +149,6 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mix(h)
 
 
-def batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 20_000) -> Iterator[pa.RecordBatch]:
-    """Row tuples as record batches of bounded size."""
-    held: list[tuple] = []
-    for row in rows:
-        held.append(row)
-        if len(held) >= size:
-            yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema)
-            held = []
-    if held:
-        yield pa.record_batch([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema)
-
-
 def held_out(doc_id: Column) -> Column:
     """True for rows that no model may learn from: crc32 of the id as text, modulo 5, is 0."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, columns_of, grams, raw, stored
+from staffloom.llm.common import WordHashes, columns_of, grams, raw, sliced, stored
 
 SEED = 4
 MATCH, OTHER, GAP = 2, -1, -1
@@ -68,7 +68,7 @@ def passages(docs: DataFrame, known: DataFrame, reach: int) -> DataFrame:
 
         def find(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             hashes, held = hasher(), table.value
-            for batch in it:
+            for batch in sliced(it):
                 rows = []
                 for doc_id, text in zip(batch["doc_id"].to_pylist(), raw(batch["text"])):
                     words = hashes(text)[0]
@@ -85,7 +85,7 @@ def passages(docs: DataFrame, known: DataFrame, reach: int) -> DataFrame:
 
     def spread(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = hasher()
-        for batch in it:
+        for batch in sliced(it):
             runs = [grams(hashes(t)[0], SEED).astype(np.int64) for t in raw(batch["text"])]
             size = np.fromiter(map(len, runs), np.int64, len(runs))
             at = np.concatenate([np.arange(n) for n in size] or [np.zeros(0)]).astype(np.int32)

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, raw, small, stored
+from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, raw, sliced, small, stored
 
 SHINGLE, PERCENT = 4, 85
 SAMPLE_DOCS, HOT_SHARE, HOT_MOST = 20_000, 0.001, 50_000
@@ -64,7 +64,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
-        for batch in it:
+        for batch in sliced(it, 4000):
             sets = [shingles(t, hashes) for t in raw(batch["text"])]
             token, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"token": token.astype(np.int64), "n": n.astype(np.int64)})
@@ -81,7 +81,7 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(lower=True), held.value
-        for batch in it:
+        for batch in sliced(it):
             f1, f2, n, prefix = [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, hashes)
@@ -199,7 +199,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
-        for batch in it:
+        for batch in sliced(it):
             sets = [shingles(t, hashes) for t in raw(batch["text"])]
             f1 = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
             yield pa.RecordBatch.from_arrays(
@@ -207,7 +207,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             )
 
     def link(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             near = []
             x, y = batch["items_a"], batch["items_b"]
             for i in range(len(batch)):

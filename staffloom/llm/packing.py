@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import columns_of, raw, stored
+from staffloom.llm.common import columns_of, sliced, stored
 
 CAPACITY, END = 1024, 0
 GROUP_ROWS = 4000
@@ -94,7 +94,7 @@ def pieces(docs: DataFrame, tokenizer: dict, capacity: int = CAPACITY) -> DataFr
     def cut(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, part = RankTokenizer(**tokenizer), TaskContext.get().partitionId()
         rng, end = np.random.default_rng(part), np.asarray([END], "<u4").tobytes()
-        for batch in it:
+        for batch in sliced(it):
             rows: list[list] = [[], [], [], [], []]
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 ids = encode(text or "") + end

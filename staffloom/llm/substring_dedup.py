@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, doc_id_of, grams, keyed, raw, small, stored
+from staffloom.llm.common import WordHashes, doc_id_of, grams, keyed, raw, sliced, small, stored
 
 WIDTH, SEED = 20, 6
 MAP_BITS = 27
@@ -65,7 +65,7 @@ def minimisers(words: np.ndarray) -> np.ndarray:
 
 def count_minimisers(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in it:
+    for batch in sliced(it, 4000):
         found = [minimisers(hashes(t)[0]) for t in raw(batch["text"])]
         mini, n = np.unique(np.concatenate(found or [np.zeros(0, np.int64)]), return_counts=True)
         yield pa.RecordBatch.from_pydict({"mini": mini, "n": n.astype(np.int64)})
@@ -101,7 +101,7 @@ def super_kmers(rows: DataFrame) -> DataFrame:
         hashes = WordHashes()
         seen, hot = maps.value
         held = lambda bits, at: (bits[at >> 5] >> (at & 31).astype(np.uint32)) & 1
-        for batch in it:
+        for batch in sliced(it):
             out: list[list] = [[], [], [], [], [], []]
             for id_, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), raw(batch["text"])):
                 words, begins, ends = hashes(text)
@@ -177,7 +177,7 @@ def dedup(docs: DataFrame) -> DataFrame:
     repeats = stored(repeated_windows(rows), "repeats")
 
     def keep(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in it:
+        for batch in sliced(it):
             n, gone, kept = [], [], []
             for text, spans in zip(raw(batch["text"]), batch["spans"].to_pylist()):
                 words = text.split()

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw, small, stored
+from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw, sliced, small, stored
 
 WORD_BITS, PAIR_BITS = 20, 21
 #: Discounts of continuation counts and of bigram counts, and how many shared counts a context begins with.
@@ -60,7 +60,7 @@ def place(pair: np.ndarray) -> np.ndarray:
 def count_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Bigram counts by class of each batch of labelled texts."""
     read = Reader()
-    for batch in it:
+    for batch in sliced(it, 3000):
         before, words, sizes = read(raw(batch["text"]))
         toxic = np.repeat(np.asarray(batch["toxic"].to_pylist(), bool), sizes)
         pair, at = np.unique((before << WORD_BITS) | words, return_inverse=True)
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, first = Reader(), Model.of(held.value)
-        for batch in it:
+        for batch in sliced(it, 500):
             x = first.features(read(raw(batch["text"])))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["toxic"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"]
@@ -197,7 +197,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def rate(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read, ready = Reader(), Model.of(held.value)
         for texts in it:
-            yield pa.array(ready.scores(ready.features(read(raw(texts)))), pa.float64())
+            parts = [ready.features(read(raw(texts.slice(k, 500)))) for k in range(0, len(texts), 500)]
+            yield pa.array(ready.scores(np.concatenate(parts)) if parts else [], pa.float64())
 
     return docs.withColumn("score", rate(F.col("text").cast("string")))
 
