@@ -7,8 +7,10 @@ Every line puts its segments into an index under (segment, which, length of the
 each length that is up to ``EDITS`` shorter with just those substrings whose place leaves room for the edits on either
 side.  Candidates are verified by a bit-parallel edit distance in a band of 2 * ``EDITS`` + 1 diagonals.
 
-Index and probes are joined by Spark on 64-bit keys that carry places only; texts are fetched for candidates alone.
-No candidate is dropped, and Spark's skew handling may split any key.
+Index and probes meet on 64-bit keys that carry places only; texts are fetched for lines that share a key alone.  Of
+those a sketch is made, the parity of their pairs of characters by hash: an edit changes at most four pairs, so lines
+whose sketches differ in more than 4 * ``EDITS`` places are never paired.  Many lines that share a long segment but
+differ elsewhere thus give no pairs, and no pair within ``EDITS`` is lost.
 
 Judged on the input.  Defined results: shorter lines always stay; null or empty texts stay as they are; rows that repeat
 a doc_id with one text count as one document and are cut alike, with different texts they are ordered by a
@@ -19,11 +21,12 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, keyed, small, stored
+from staffloom.llm.common import NO_ID, keyed, mix, small, stored
 
 EDITS = 2
 LEAST = 40
@@ -42,18 +45,20 @@ def key(line: Column, start: Column, size: Column, i: int, n: Column) -> Column:
 
 
 def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
+    """Keys of the line's own segments: they stand in the index and probe it too."""
     return [key(line, *segment(n, i, edits), i, n) for i in range(edits + 1)]
 
 
 def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """Keys of the substrings that may equal a segment of a line that is up to ``edits`` shorter."""
+    """Keys of the other substrings that may equal a segment of a line that is up to ``edits`` shorter."""
     keys = []
     for shorter in range(edits + 1):
         m = n - shorter
         for i in range(edits + 1):
             start, size = segment(m, i, edits)
             for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                keys.append(key(line, start + shift, size, i, m))
+                if shorter or shift:
+                    keys.append(key(line, start + shift, size, i, m))
     return keys
 
 
@@ -73,14 +78,57 @@ def first_lines(rows: DataFrame, edits: int) -> DataFrame:
     return found.groupBy("h", "c", "n").agg(least, *(F.first(k).alias(k) for k in keys)).select("at.*", "h", "c", *keys)
 
 
-def candidates(firsts: DataFrame) -> DataFrame:
-    """Places of pairs (``early``, ``late``) of different lines that share a segment."""
-    keys = lambda letter: F.array(*(c for c in firsts.columns if c[0] == letter and c[1:].isdigit()))
-    at = F.struct(*AT)
-    index = firsts.select(F.explode(keys("i")).alias("key"), at.alias("a"))
-    probe = firsts.select(F.explode(F.array_distinct(keys("p"))).alias("key"), at.alias("b"))
-    pairs = index.join(probe, "key").where("a <> b")
-    return pairs.select(F.least("a", "b").alias("early"), F.greatest("a", "b").alias("late")).distinct()
+ENTRY = "key long, who long, id long, mark int, line_no int, indexed boolean"
+
+
+def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and line, those whose key has different lines."""
+    rest: list[pa.RecordBatch] = []
+
+    def chosen(table: pa.Table) -> pa.Table:
+        key, who = table["key"].to_numpy(), table["who"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        several = who[edge[:-1]] != who[edge[1:] - 1]
+        return table.filter(pa.array(np.repeat(several, np.diff(edge))))
+
+    for batch in it:
+        if not len(batch):
+            continue
+        last = batch["key"][-1]
+        if rest and rest[0]["key"][0] == last:
+            rest.append(batch)  # one key all along
+            continue
+        table = pa.Table.from_batches([*rest, batch])
+        cut = int(np.searchsorted(table["key"].to_numpy(), last.as_py()))
+        yield from chosen(table.slice(0, cut)).to_batches()
+        rest = table.slice(cut).to_batches()
+    if rest:
+        yield from chosen(pa.Table.from_batches(rest)).to_batches()
+
+
+def entries(firsts: DataFrame) -> DataFrame:
+    """Index and probe entries of all lines whose key another line has too."""
+    keys = lambda letter: F.array_distinct(F.array(*(c for c in firsts.columns if c[0] == letter and c[1:].isdigit())))
+    entry = lambda letter: F.transform(keys(letter), lambda k: F.struct(k.alias("key"), F.lit(letter == "i").alias("indexed")))
+    rows = firsts.select(*AT, F.xxhash64(*AT).alias("who"), F.explode(F.concat(entry("i"), entry("p"))).alias("e"))
+    rows = rows.select("e.key", "who", *AT, "e.indexed").repartition("key").sortWithinPartitions("key", "who")
+    return rows.mapInArrow(shared, ENTRY)
+
+
+SKETCH = 256
+
+
+def sketch(text: str) -> bytes:
+    """Parity of the text's pairs of characters, each at a place by hash."""
+    codes = np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.uint64)
+    pairs = mix(codes[:-1] << np.uint64(32) | codes[1:]) % np.uint64(SKETCH)
+    return np.packbits((np.bincount(pairs.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
+
+
+def add_sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in it:
+        bits = [np.frombuffer(sketch(t), "<i8").tolist() for t in batch["text"].to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch["at"], batch["text"], pa.array(bits, pa.list_(pa.int64()))], ["at", "text", "bits"])
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -136,15 +184,19 @@ def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def near_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
     """Places of first lines that have an earlier line within ``EDITS`` edits."""
-    pairs = stored(candidates(firsts), "line-pairs")
-    places = stored(pairs.select("early.*").union(pairs.select("late.*")).groupBy("id", "mark").agg(F.collect_set("line_no").alias("nos")), "line-places")
+    found = stored(entries(firsts), "line-entries")
+    places = stored(found.groupBy("id", "mark").agg(F.collect_set("line_no").alias("nos")), "line-places")
     texts = rows.join(small(places), ["id", "mark"]).dropDuplicates(["id", "mark"]).select(
         "id", "mark", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("lines")
     ).select(F.struct(*AT).alias("at"), F.get("lines", "line_no").alias("text"))
-    texts = stored(texts, "line-texts")
+    texts = stored(texts.mapInArrow(add_sketches, "at struct<id:long,mark:int,line_no:int>, text string, bits array<long>"), "line-texts")
+    known = found.select("key", "indexed", F.struct(*AT).alias("at")).join(texts.select("at", "bits"), "at")
+    side = lambda name: known.select("key", F.col("indexed").alias(f"indexed_{name}"), F.col("at").alias(name), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH // 64)))
+    apart = sum(F.bit_count(F.col(f"early{k}").bitwiseXOR(F.col(f"late{k}"))) for k in range(SKETCH // 64))
+    pairs = side("early").join(side("late"), "key").where((F.col("early") < F.col("late")) & (F.col("indexed_early") | F.col("indexed_late")) & (apart <= 4 * EDITS))
     a = texts.select(F.col("at").alias("early"), F.col("text").alias("text_a"))
     b = texts.select(F.col("at").alias("late"), F.col("text").alias("text_b"))
-    both = pairs.join(a, "early").join(b, "late").select("late.*", "text_a", "text_b")
+    both = pairs.select("early", "late").distinct().join(a, "early").join(b, "late").select("late.*", "text_a", "text_b")
     return both.mapInArrow(verify, "id long, mark int, line_no int").distinct()
 
 
