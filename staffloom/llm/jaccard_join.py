@@ -12,7 +12,10 @@ global order; two sets that link share a shingle of their prefixes.
   comparison a set.  A set's answers then follow from the leader's: all are in one group, and the full join
   only meets pairs whose groups differ.  A thousand near copies so cost a thousand comparisons, not a million.
 
-Every pair is verified on whole sets.  Shingles are 64-bit hashes, equal sets are told by 128 bits.
+* Pairs are first held against bit maps, the parity of each set's shingles at ``BITS`` places: sets differ in at least as
+  many shingles as their maps in bits, so most pairs that do not link are put aside without their sets.
+
+What is left is verified on whole sets.  Shingles are 64-bit hashes, equal sets are told by 128 bits.
 
 Defined results: a text of fewer words is one shingle; null or empty texts have no set and link with nothing; rows that
 repeat a doc_id are one node with all their links; a null doc_id is a node of its own, smaller than all.  Extra
@@ -35,6 +38,7 @@ SHINGLE, PERCENT = 4, 85
 SAMPLE_DOCS, HOT_SHARE, HOT_MOST = 20_000, 0.001, 50_000
 LEADING = 3  # prefix shingles whose lists have leaders
 BLOCK = 512
+BITS = 2048
 
 
 def shingles(text: bytes | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
@@ -58,6 +62,11 @@ def index_prefix(n):
     return n - least_shared(n, n) + 1
 
 
+def bit_map(own: np.ndarray) -> bytes:
+    """Parity of the shingles at each of ``BITS`` places."""
+    return np.packbits((np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
+
+
 def hot_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of at least ``HOT_SHARE`` of a bounded sample of documents, sorted; at most ``HOT_MOST``."""
     every = max(1, docs.count() // SAMPLE_DOCS)
@@ -76,19 +85,20 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``id, f1, f2, n, prefix``: fingerprint, size and probe prefix of every document's set."""
+    """``id, f1, f2, n, bits, prefix``: fingerprint, size, bit map and probe prefix of every document's set."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(lower=True), held.value
         for batch in sliced(it):
-            f1, f2, n, prefix = [], [], [], []
+            f1, f2, n, bits, prefix = [], [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, hashes)
                 high, low = divmod(xxhash.xxh3_128_intdigest(own.tobytes()), 1 << 64)
                 f1.append(high - (1 << 63))
                 f2.append(low - (1 << 63))
                 n.append(len(own))
+                bits.append(bit_map(own))
                 if len(own):
                     if len(last):
                         at = np.minimum(np.searchsorted(last, own), len(last) - 1)
@@ -97,11 +107,11 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     own = own[: probe_prefix(len(own))]
                 prefix.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["id", "f1", "f2", "n", "prefix"],
+                [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "f1", "f2", "n", "bits", "prefix"],
             )
 
-    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, prefix array<long>")
+    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, bits binary, prefix array<long>")
 
 
 def runs_of(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -192,9 +202,20 @@ def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pair_batches(found())
 
 
-def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+def by_bit_map(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs that may link: sets that differ in d shingles share (a + b - d) / 2, and d is no less than the maps' difference."""
+    for batch in it:
+        x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(batch), BITS // 64) for c in ("bits_a", "bits_b"))
+        n = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
+        may = n - np.bitwise_count(x ^ y).sum(1).astype(np.int64) >= 2 * least_shared(n, 0)
+        yield batch.select(["a", "a1", "b", "b1"]).filter(pa.array(may))
+
+
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     """``a, b`` of the pairs whose whole sets link."""
-    pairs = stored(pairs.distinct(), "set-pairs")
+    side = lambda c: sets.select(F.col("id").alias(c), F.col("f1").alias(f"{c}1"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
+    held = pairs.distinct().join(side("a"), ["a", "a1"]).join(side("b"), ["b", "b1"]).select("a", "a1", "b", "b1", "n_a", "n_b", "bits_a", "bits_b")
+    pairs = stored(held.mapInArrow(by_bit_map, PAIRS).distinct(), "set-pairs")
     needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "set-ids")
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,15 +251,16 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     first = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     light = some.select("id", "f1", "f2", "n", F.slice("prefix", 1, LEADING).alias("prefix"))
     once = lambda df: df.join(first, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"]).select("id", "f1", "n", "prefix")
+    maps = once(some.select("id", "f1", "f2", "n", F.col("bits").alias("prefix"))).withColumnRenamed("prefix", "bits")
     lists = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
 
     leading = once(light).select(F.explode("prefix").alias("token"), "n", "id", "f1")
-    near = stored(verified(lists(leading, "n", "id").mapInArrow(leader_pairs, PAIRS), rows), "leader-links")
+    near = stored(verified(lists(leading, "n", "id").mapInArrow(leader_pairs, PAIRS), rows, maps), "leader-links")
     group = components(once(light).select("id").distinct(), near)
 
     full = once(some).join(group.select("id", F.col("component").alias("grp")).distinct(), "id")
     entries = full.select(F.posexplode("prefix").alias("pos", "token"), "n", "id", "f1", "grp")
-    far = verified(lists(entries, "n", "id").mapInArrow(skipping_pairs, PAIRS), rows)
+    far = verified(lists(entries, "n", "id").mapInArrow(skipping_pairs, PAIRS), rows, maps)
 
     same = some.join(first, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c")  # one id, several sets
