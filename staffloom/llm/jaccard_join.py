@@ -277,13 +277,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` of each group's smallest doc_id; of rows that repeat a doc_id, one (least checksum of the text)."""
     own = F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID))
     mark = F.xxhash64(docs["`text`"].cast("string"))
-    groups = linked_groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("copy_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("first_id"))
-    copies = stored(groups.where("copy_id <> first_id").select("copy_id").distinct(), "copies")
-    left = docs.join(small(copies), own == copies["copy_id"], "left_anti")
-    ids = docs.select(own.alias("own_id"), mark.alias("own_mark")).groupBy("own_id").agg(F.count(F.lit(1)).alias("rows"), F.min("own_mark").alias("own_mark"))
-    repeated = stored(ids.where("rows > 1").select("own_id", "own_mark"), "repeated-ids")
+    groups = linked_groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__copy_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("first_id"))
+    copies = stored(groups.where("__copy_id <> first_id").select("__copy_id").distinct(), "copies")
+    left = docs.join(small(copies), own == F.col("__copy_id"), "left_anti")
+    ids = docs.select(own.alias("__own_id"), mark.alias("__own_mark")).groupBy("__own_id").agg(F.count(F.lit(1)).alias("rows"), F.min("__own_mark").alias("__own_mark"))
+    repeated = stored(ids.where("rows > 1").select("__own_id", "__own_mark"), "repeated-ids")
     if repeated.isEmpty():
         return left
-    once = left.join(small(repeated.select("own_id")), own == F.col("own_id"), "left_anti")
-    again = left.join(small(repeated), (own == F.col("own_id")) & (mark == F.col("own_mark"))).dropDuplicates(["own_id", "own_mark"])
+    once = left.join(small(repeated.select("__own_id")), own == F.col("__own_id"), "left_anti")
+    again = left.join(small(repeated), (own == F.col("__own_id")) & (mark == F.col("__own_mark"))).dropDuplicates(["__own_id", "__own_mark"])
     return once.union(again.select(*(docs[f"`{c}`"] for c in docs.columns)))

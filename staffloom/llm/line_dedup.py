@@ -209,17 +209,17 @@ def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
 
 
 def dedup(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``text`` replaced by its lines that stay, and ``n_lines`` and ``n_removed``."""
-    gone = stored(removed_lines(docs), "gone-lines").withColumnsRenamed({"id": "own_id", "mark": "own_mark"})
-    text = F.col("`text`").cast("string")
-    at = (F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID)) == gone["own_id"]) & (
-        F.xxhash64(F.coalesce(docs["`text`"].cast("string"), F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int") == gone["own_mark"]
-    )
-    lines = F.split(text, "\n", -1)
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains("gone", i)), "\n")
-    removed = F.coalesce(F.size("gone"), F.lit(0))
-    joined = docs.join(small(gone), at, "left").withColumns(
-        {"n_lines": F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long"), "n_removed": F.when(F.col("gone").isNull(), 0).otherwise(removed).cast("long")}
-    )
+    """``docs`` with ``text`` replaced by its lines that stay, and ``n_lines`` and ``n_removed`` (own columns of these names go)."""
+    gone = stored(removed_lines(docs), "gone-lines").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    text = docs["`text`"].cast("string")
+    doc_id = F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID))
+    mark = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")
+    lines, numbers = F.split(text, "\n", -1), F.col("__gone")
+    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(numbers, i)), "\n")
+    joined = docs.join(small(gone), (doc_id == F.col("__id")) & (mark == F.col("__mark")), "left")
     own = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return joined.select(*(F.when(F.col("gone").isNull(), text).otherwise(left).alias(c) if c == "text" else docs[f"`{c}`"] for c in own), "n_lines", "n_removed")
+    return joined.select(
+        *(F.when(numbers.isNull(), text).otherwise(left).alias(c) if c == "text" else docs[f"`{c}`"] for c in own),
+        F.when(text.isNull(), 0).otherwise(F.size(lines)).cast("long").alias("n_lines"),
+        F.when(numbers.isNull(), 0).otherwise(F.size(numbers)).cast("long").alias("n_removed"),
+    )

@@ -14,7 +14,7 @@ fitted on at most ``curve_rows`` labelled texts, chosen by hash.
 Defined results: a null or empty text has no words and gets the curve's value for that; repeated rows are scored
 each; null labels, labels without a document and rows without a doc_id teach nothing (a doc_id labelled twice is
 toxic if one label says so); with labels of one class only, or none, every score is 0.  Extra columns stay, but
-one named ``score`` is replaced.
+one named as the score is replaced.
 """
 
 from __future__ import annotations
@@ -189,8 +189,8 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     return model
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` with ``score`` (0 to 1, higher: likelier toxic), from the text alone."""
+def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
+    """``docs`` with ``name`` (0 to 1, higher: likelier toxic), from the text alone."""
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     @F.arrow_udf("double")
@@ -200,9 +200,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             parts = [ready.features(read(raw(texts.slice(k, 500)))) for k in range(0, len(texts), 500)]
             yield pa.array(ready.scores(np.concatenate(parts)) if parts else [], pa.float64())
 
-    return docs.withColumn("score", rate(F.col("text").cast("string")))
+    return docs.withColumn(name, rate(F.col("text").cast("string")))
 
 
 def keep_ordinary(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` whose score is below ``threshold``."""
-    return score(docs, fit(docs, labels)).where(F.col("score") < threshold).select(*(f"`{c}`" for c in docs.columns))
+    rated = score(docs, fit(docs, labels), "__toxicity")
+    return rated.where(F.col("__toxicity") < threshold).select(*(f"`{c}`" for c in docs.columns))
