@@ -1,80 +1,23 @@
-"""Left joins that hold when one key has a third of all rows."""
+"""Left joins; skewed keys are left to Spark's adaptive execution."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staffloom.names import c
 
-# Keys are hashed into this many buckets, and buckets are counted, not keys: the
-# counting shuffle has at most BUCKETS small rows per task, however many keys.
-BUCKETS = 8192
-# A bucket with more than this share of the rows is hot.  An even bucket has
-# 1/8192 of them, so only a heavy key makes one, and there are under 1000.
-HOT_SHARE = 0.001
-# Stretches shorter than this are never worth splitting.
-HOT_FLOOR = 1_000_000
-# Rows without a key match nothing; they are spread over this many pieces.
-NULL_PIECES = 1024
 
-_PIECE = "__piece"
+def left_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """``left LEFT JOIN right USING (keys)``: the left columns, then the right ones besides the keys.
 
-
-def _bucket(keys: Sequence[str]) -> Column:
-    return F.pmod(F.xxhash64(*[c(k) for k in keys]), F.lit(BUCKETS)).cast("int")
-
-
-def hot_pieces(
-    df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = HOT_FLOOR
-) -> DataFrame:
-    """One row, one array: into how many pieces to split each bucket (empty when none is hot)."""
-    every = df.sparkSession.range(BUCKETS).select(F.col("id").cast("int").alias("b"), F.lit(0).alias("n"))
-    counts = df.select(_bucket(keys).alias("b"), F.lit(1).alias("n")).unionByName(every)
-    table = counts.groupBy("b").agg(F.sum("n").alias("n")).agg(
-        F.sum("n").alias("total"), F.sort_array(F.collect_list(F.struct("b", "n"))).alias("all")
-    )
-    size = F.greatest(F.col("total") * F.lit(float(share)), F.lit(float(floor)))
-    pieces = F.transform("all", lambda e: F.greatest(F.ceil(e.getField("n") / size), F.lit(1)).cast("int"))
-    hot = F.exists("all", lambda e: e.getField("n") > size)
-    return table.select(F.when(hot, pieces).otherwise(F.array().cast("array<int>")).alias("pieces"))
-
-
-def left_join(
-    left: DataFrame,
-    right: DataFrame,
-    keys: Sequence[str],
-    share: float = HOT_SHARE,
-    floor: int = HOT_FLOOR,
-) -> DataFrame:
-    """``left LEFT JOIN right USING (keys)`` with hot left keys split.
-
-    Rows of a hot bucket are dealt over pieces, and the right rows of that
-    bucket are repeated once per piece; as buckets are small, that adds little
-    to the right side.  Neither side is hinted: Spark broadcasts the right side
-    when its measured size is under the session's threshold.
-
-    The deal goes by row content and input split, both the same when a lost
-    task is rerun; copies of one row in different splits go different ways.
+    Neither side is hinted or repartitioned: Spark broadcasts the right side
+    when its measured size is under the session's threshold, and else may split
+    a hot key's left rows over many tasks (``session.RECOMMENDED`` turns that on).
     """
-    plan = hot_pieces(left, keys, share, floor).scalar()
-    pieces = F.coalesce(F.get(plan, _bucket(keys)), F.lit(1))
-    no_key = reduce(lambda a, b: a | b, [c(k).isNull() for k in keys])
-    spread = F.xxhash64(*[c(n) for n in left.columns]) + F.spark_partition_id()
-
-    dealt = left.withColumn(
-        _PIECE,
-        F.when(no_key, F.pmod(spread, F.lit(NULL_PIECES)))
-        .when(pieces > 1, F.pmod(spread, pieces))
-        .otherwise(0)
-        .cast("int"),
-    )
-    repeated = right.withColumn(_PIECE, F.explode(F.sequence(F.lit(0), pieces - 1)))
-    return dealt.join(repeated, [*keys, _PIECE], "left").select(
-        *[c(n) for n in left.columns], *[c(n) for n in right.columns if n not in set(keys)]
-    )
+    joined = left.join(right, [*keys], "left")
+    return joined.select(*[left[f"`{n}`"] for n in left.columns], *[c(n) for n in right.columns if n not in set(keys)])
 
 
 def match_status(code: Column, matched: Column) -> Column:

@@ -181,9 +181,11 @@ def require(report: DataFrame) -> DataFrame:
     A report has one row per rule, column and source, never per data row, and
     only a first page of it goes into the message.
     """
-    failed = report.filter((F.col("severity") == ERROR) & (F.col("n_bad") > 0)).take(50)
+    errors = report.filter((F.col("severity") == ERROR) & (F.col("n_bad") > 0))
+    failed = errors.take(50)
     if failed:
-        raise QualityError("; ".join(f"{r.source}: {r.rule} {r.column} ({r.n_bad})" for r in failed))
+        count = errors.count() if len(failed) == 50 else len(failed)
+        raise QualityError(f"{count} findings: " + "; ".join(f"{r.source}: {r.rule} {r.column} ({r.n_bad})" for r in failed))
     return report
 
 
@@ -229,10 +231,10 @@ def row_loss(df: DataFrame, steps: Mapping[str, Column]) -> DataFrame:
 def shares(df: DataFrame, key: str) -> DataFrame:
     """Count and percent per value of ``key``.
 
-    Runs over the grouped counts; the total is a one-row subquery.
+    The total is the sum of the grouped counts.
     """
     counts = df.groupBy(c(key)).agg(F.count(F.lit(1)).alias("cantidad"))
-    total = df.agg(F.count(F.lit(1)).alias("total")).scalar()
+    total = counts.agg(F.sum("cantidad").alias("total")).scalar()
     return counts.select(c(key), "cantidad", share_of(F.col("cantidad"), total).alias("porcentaje"))
 
 

@@ -16,7 +16,7 @@ from staffloom.operators.filters import filter_not_null
 from staffloom.operators.joins import left_join
 from staffloom.operators.projection import insert_after, map_columns, select_spec, string_columns
 from staffloom.sources.sheets import drop_non_data_rows, promote_header
-from staffloom.specs import TableSpec, contracts, rules, tables
+from staffloom.specs import TableSpec, contracts, tables
 
 PERSON_PERIOD = ["DNI/CEX", "PERIODO"]
 _FROM_FILE = ("PERIODO", "AÑO", "MES")
@@ -35,7 +35,7 @@ def payroll_silver(rows: DataFrame, spec: TableSpec = tables.PAYROLL, extra: Seq
     header = mine.filter(F.col("row_idx") == sheet.header_row)
     data = promote_header(
         header.unionByName(body), wanted, sheet.header_row, sheet.start_col,
-        stop="gap", max_cols=rules.PAYROLL_HEADER_COLUMNS,
+        stop="gap",
     )
     period = period_from_filename(F.col("source_file"))
     return filter_not_null(data, "DNI/CEX").select(

@@ -165,7 +165,7 @@ def layer(t):
 
 
 @query("V13_header_scan", rf"""
-WITH t AS (SELECT cast(conv_id AS VARCHAR) AS source_file, string_split_regex(text, '[ \n]')[1:251] AS l
+WITH t AS (SELECT cast(conv_id AS VARCHAR) AS source_file, string_split_regex(text, '[ \n]') AS l
            FROM conversations WHERE turn = 0),
 p AS (SELECT source_file, unnest(l) AS raw, unnest(range(len(l))) AS pos FROM t),
 n AS (SELECT source_file, pos, regexp_replace(trim(raw, {WS}), '{SPACES}', ' ', 'g') AS header FROM p),

@@ -1,10 +1,8 @@
-"""Session settings that the library expects, and the shared checkpoint folder."""
+"""Session settings that the library expects."""
 
 from __future__ import annotations
 
-import tempfile
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
 
 RECOMMENDED = {
     # two headers of one sheet may differ by case only
@@ -21,19 +19,3 @@ def configure(spark: SparkSession) -> SparkSession:
     for key, value in RECOMMENDED.items():
         spark.conf.set(key, value)
     return spark
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the cluster's shared checkpoint folder.
-
-    The folder is the one the cluster names in ``spark.checkpoint.dir``; only a
-    local session without that setting (a test) gets a folder of its own.
-    """
-    spark = df.sparkSession
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        shared = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if shared is None and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="staffloom-"))
-    return df.checkpoint(eager=True)

@@ -10,7 +10,7 @@ from staffloom.functions.dates import document_date_from_filename
 from staffloom.functions.text import header_key, is_blank
 from staffloom.operators.quality import ERROR
 from staffloom.sources.sheets import sheet_headers
-from staffloom.specs import SourceContract, rules
+from staffloom.specs import SourceContract
 
 
 def _finding(rule: str, column: Column, sample: Column) -> list[Column]:
@@ -58,7 +58,7 @@ def preflight(files: DataFrame, rows: DataFrame, contract: SourceContract) -> Da
     for sheet in contract.sheets:
         here = present.filter(F.col("sheet") == sheet.sheet).join(readable, "source_file", "left_semi")
         mine = rows.filter(F.col("sheet") == sheet.sheet)
-        headers = sheet_headers(mine, sheet.header_row, sheet.start_col, "run", rules.PREFLIGHT_HEADER_COLUMNS)
+        headers = sheet_headers(mine, sheet.header_row, sheet.start_col, "run")
         checked = here.join(headers, ["source_file", "sheet"], "left")
         found = F.coalesce(F.col("headers"), F.array().cast("array<string>"))
         shifted = is_blank(F.get(found, F.lit(0)))

@@ -49,7 +49,7 @@ def _land(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         yield pd.DataFrame(page, columns=columns)
                         page = []
             except Exception as problem:  # a broken file is a finding, not a failed job
-                page.append((name, None, None, None, f"{type(problem).__name__}: {problem}"[:500]))
+                page.append((name, None, None, None, f"{type(problem).__name__}: {problem}"))
             if page:
                 yield pd.DataFrame(page, columns=columns)
 

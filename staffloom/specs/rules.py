@@ -24,8 +24,6 @@ DAYS_PER_MONTH = 30.44
 EXCEL_EPOCH = "1899-12-30"
 FOOTER_LENGTH = 20
 BLANK_RUN = 1000
-PAYROLL_HEADER_COLUMNS = 199
-PREFLIGHT_HEADER_COLUMNS = 251
 REASON_SEPARATOR = " | "
 
 

@@ -10,7 +10,7 @@ from staffloom.operators import quality
 from staffloom.plans import pipelines
 from staffloom.plans.employees import employee_flags
 from staffloom.plans.payroll import skipped_files
-from staffloom.session import RECOMMENDED, configure, cut_lineage
+from staffloom.session import RECOMMENDED, configure
 from staffloom.sources import layers, workbooks
 from staffloom.sources.preflight import preflight
 from staffloom.specs import contracts, tables
@@ -278,4 +278,3 @@ def test_session(spark, tmp_path):
     finally:
         for key, value in before.items():
             spark.conf.set(key, value)
-    assert cut_lineage(spark.range(4)).count() == 4
