@@ -26,11 +26,11 @@ def union_diagonal(*frames: DataFrame) -> DataFrame:
 def order_by(df: DataFrame, keys: Sequence[Column]) -> DataFrame:
     """Total order by ``keys`` that still spreads when one key value has most rows.
 
-    The remaining columns and the input split follow as tie-breaks, so that the
+    A hash of the row and the input split follow as tie-breaks, so that the
     range partitioner can cut inside a run of equal keys, and inside a run of
     equal rows.
     """
-    split = "__split"
-    ties = [c(n) for n, kind in df.dtypes if not kind.startswith("map")]
-    out = df.withColumn(split, F.spark_partition_id()).orderBy(*keys, *ties, c(split))
-    return out.drop(split)
+    row, split = "__row", "__split"
+    ties = [c(n) for n, kind in df.dtypes if "map<" not in kind and "variant" not in kind]
+    marked = df.withColumns({row: F.xxhash64(*ties), split: F.spark_partition_id()})
+    return marked.orderBy(*keys, c(row), c(split)).drop(row, split)

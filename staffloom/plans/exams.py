@@ -56,7 +56,7 @@ def unified_cost_centers(current: DataFrame, old: DataFrame) -> DataFrame:
     return first_value_by_priority(both, "CC", values, "fuente")
 
 
-def exit_exams_enriched(exams: DataFrame, current: DataFrame, old: DataFrame, ordered: bool = True) -> DataFrame:
+def exit_exams_enriched(exams: DataFrame, current: DataFrame, old: DataFrame, ordered: bool = False) -> DataFrame:
     """Every exam with its cost centre and the outcome of the lookup."""
     catalog = unified_cost_centers(current, old).select(
         c("CC").alias("NOMBRE DE CC"),

@@ -35,8 +35,8 @@ def intern_control_silver(rows: DataFrame, check_headers: bool = True) -> DataFr
     )
 
 
-def intern_control_gold(silver: DataFrame, ordered: bool = True) -> DataFrame:
-    """Service time and term flags per intern; one projection, and a sort unless ``ordered`` is off."""
+def intern_control_gold(silver: DataFrame, ordered: bool = False) -> DataFrame:
+    """Service time and term flags per intern; one projection, and a sort if ``ordered``."""
     entry, renewal = F.col("Fecha_Ingreso"), F.col("Fecha_Renovacion")
     days = F.col("dias_servicio")
     out = silver.select(

@@ -104,9 +104,10 @@ def status(t):
 
 
 @query("A1_string_agg_ordered", """
-SELECT "PERIODO", string_agg("MOTIVO", ' | ' ORDER BY "MOTIVO") AS motivos FROM <<leave>> GROUP BY "PERIODO" """)
+SELECT "DNI/CEX", "PERIODO", array_to_string(list_sort(list("MOTIVO") FILTER ("MOTIVO" IS NOT NULL)), ' | ') AS motivos
+FROM <<leave>> GROUP BY ALL""")
 def string_agg(t):
-    return string_agg_ordered(t["leave"], ["PERIODO"], "MOTIVO", {"motivos": F.lit(True)})
+    return string_agg_ordered(t["leave"], PERSON_PERIOD, "MOTIVO", {"motivos": F.lit(True)})
 
 
 @query("A2_filtered_string_agg", f"""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
@@ -10,16 +11,29 @@ from staffloom.functions.dates import document_date_from_filename
 from staffloom.functions.text import header_key, is_blank
 from staffloom.operators.quality import ERROR
 from staffloom.sources.sheets import sheet_headers
-from staffloom.specs import SourceContract
+from staffloom.specs import SheetContract, SourceContract
 
 
-def _finding(rule: str, column: Column, sample: Column) -> list[Column]:
+def _finding(rule: str | Column, column: Column, sample: Column) -> list[Column]:
     return [
         F.col("source_file").alias("source"), F.lit(rule).alias("rule"), column.alias("column"),
         F.lit(ERROR).alias("severity"), F.lit(1).cast("long").alias("n_bad"), sample.cast("string").alias("sample"),
     ]
 
 
+def _by_sheet(contract: SourceContract, value: Callable[[SheetContract], object]) -> Column:
+    """What ``value`` gives for the contract of the row's sheet; null on other sheets."""
+    first, *rest = contract.sheets
+    out = F.when(F.col("sheet") == first.sheet, _literal(value(first)))
+    for sheet in rest:
+        out = out.when(F.col("sheet") == sheet.sheet, _literal(value(sheet)))
+    return out
+
+
+def _literal(value: object) -> Column:
+    return F.array(*[F.lit(v) for v in value]).cast("array<string>") if isinstance(value, (list, tuple)) else F.lit(value)
+
+
 def preflight(files: DataFrame, rows: DataFrame, contract: SourceContract) -> DataFrame:
     """Report with one row per broken rule and file.
 
@@ -51,26 +65,30 @@ def preflight(files: DataFrame, rows: DataFrame, contract: SourceContract) -> Da
     expected = readable.select("source_file", F.explode(F.array(*[F.lit(n) for n in names])).alias("sheet"))
     absent = expected.join(present, ["source_file", "sheet"], "left_anti")
     parts.append(absent.select(*_finding("missing_sheet", F.col("sheet"), no_name)))
+
+    # the header rows of all sheets in one scan, then all findings of a sheet in one array
+    at = lambda value: _by_sheet(contract, value)
+    header_rows = reduce(
+        Column.__or__, [(F.col("sheet") == s.sheet) & (F.col("row_idx") == s.header_row) for s in contract.sheets]
+    )
+    headers = sheet_headers(rows.filter(header_rows), at(lambda s: s.header_row), at(lambda s: s.start_col), "run")
+    sheets = present.join(readable, "source_file", "left_semi").join(headers, ["source_file", "sheet"], "left")
+    known = F.col("sheet").isin(*names)
+    found = F.coalesce(F.col("headers"), F.array().cast("array<string>"))
+    keys = F.transform(F.filter(found, lambda h: h.isNotNull()), header_key)
+    where = at(lambda s: f"{s.sheet} row {s.header_row} column {s.start_col + 1}")
+    asked = F.coalesce(at(lambda s: s.required), F.array().cast("array<string>"))
+    lacking = F.filter(asked, lambda n: ~F.array_contains(keys, header_key(n)))
+
+    def problem(rule: str, column: Column, sample: Column) -> Column:
+        return F.struct(F.lit(rule).alias("rule"), column.alias("column"), sample.cast("string").alias("sample"))
+
+    problems = [
+        F.array(F.when(known & is_blank(F.get(found, F.lit(0))), problem("header_position", where, no_name))),
+        F.transform(lacking, lambda n: problem("missing_header", n, F.col("sheet"))),
+    ]
     if contract.enforce_allowed_sheets:
-        extra = present.filter(~F.col("sheet").isin(*names)).join(readable, "source_file", "left_semi")
-        parts.append(extra.select(*_finding("unexpected_sheet", F.col("sheet"), no_name)))
-
-    for sheet in contract.sheets:
-        here = present.filter(F.col("sheet") == sheet.sheet).join(readable, "source_file", "left_semi")
-        mine = rows.filter(F.col("sheet") == sheet.sheet)
-        headers = sheet_headers(mine, sheet.header_row, sheet.start_col, "run")
-        checked = here.join(headers, ["source_file", "sheet"], "left")
-        found = F.coalesce(F.col("headers"), F.array().cast("array<string>"))
-        shifted = is_blank(F.get(found, F.lit(0)))
-        where = F.lit(f"{sheet.sheet} row {sheet.header_row} column {sheet.start_col + 1}")
-        parts.append(checked.filter(shifted).select(*_finding("header_position", where, no_name)))
-
-        keys = F.transform(F.filter(found, lambda h: h.isNotNull()), header_key)
-        asked = F.array(*[F.lit(n) for n in sheet.required])
-        lacking = F.filter(asked, lambda n: ~F.array_contains(keys, header_key(n)))
-        parts.append(
-            checked.select("source_file", F.explode(lacking).alias("header")).select(
-                *_finding("missing_header", F.col("header"), F.lit(sheet.sheet))
-            )
-        )
+        problems.append(F.array(F.when(~known, problem("unexpected_sheet", F.col("sheet"), no_name))))
+    each = sheets.select("source_file", F.explode(F.array_compact(F.concat(*problems))).alias("p"))
+    parts.append(each.select(*_finding(F.col("p.rule"), F.col("p.column"), F.col("p.sample"))))
     return reduce(DataFrame.unionByName, parts)

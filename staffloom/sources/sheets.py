@@ -5,12 +5,12 @@ numbers are 1-based as in the spreadsheet.  A run of blank rows is there with
 its first row; the others may be absent.  No operator relies on file or
 partition order: order always means ``row_idx``.
 
-Facts about a sheet (its header, its last row) are joined to its rows on
-``(source_file, sheet, chunk)``, where a chunk is a fixed stretch of row
-numbers.  A sheet with a third of all rows is so split over many tasks, and the
-facts are repeated once per chunk, not once per row.  ``promote_header`` keeps
-the chunk as a column, so that a crop after it finds its rows already
-partitioned the way it needs them.
+Facts about a sheet (its header, its crop row) are joined to its rows on
+``(source_file, sheet, chunk)``: fixed stretches of row numbers are dealt over
+``CHUNKS`` numbers in turn.  A sheet with a third of all rows is so split over
+many tasks, and its facts are repeated ``CHUNKS`` times, without a look at the
+rows.  ``promote_header`` keeps the chunk as a column, so that a crop after it
+finds its rows already partitioned the way it needs them.
 """
 
 from __future__ import annotations
@@ -27,32 +27,24 @@ from staffloom.specs import rules
 BRONZE_SCHEMA = "source_file string, sheet string, row_idx long, cells array<string>"
 SHEET = ["source_file", "sheet"]
 CHUNK_ROWS = 65_536
+CHUNKS = 16  # a full spreadsheet of 1,048,576 rows has one stretch per number
 
 _CHUNK = "chunk"
 
 
-def _chunk(row: str) -> Column:
+def _stretch(row: str) -> Column:
     return F.expr(f"{row} div {CHUNK_ROWS}L")
 
 
 def with_chunk(rows: DataFrame) -> DataFrame:
     """Rows with their ``chunk``, which is kept when it is there."""
-    return rows if _CHUNK in rows.columns else rows.withColumn(_CHUNK, _chunk("row_idx"))
+    return rows if _CHUNK in rows.columns else rows.withColumn(_CHUNK, F.pmod(_stretch("row_idx"), F.lit(CHUNKS)))
 
 
 def join_sheet_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
-    """Give every row of ``with_chunk`` the facts of its sheet.
-
-    ``facts`` has one row per sheet, with the last row number as ``__last``.
-    """
-    chunked = facts.withColumn(
-        _CHUNK, F.explode(F.sequence(F.lit(0).cast("long"), _chunk("__last")))
-    ).drop("__last")
-    return rows.join(chunked, [*SHEET, _CHUNK], how)
-
-
-def _last_rows(rows: DataFrame) -> DataFrame:
-    return rows.groupBy(*SHEET).agg(F.max("row_idx").alias("__last"))
+    """Give every row of ``with_chunk`` the facts of its sheet; ``facts`` has one row per sheet."""
+    chunks = F.sequence(F.lit(0).cast("long"), F.lit(CHUNKS - 1).cast("long"))
+    return rows.join(facts.withColumn(_CHUNK, F.explode(chunks)), [*SHEET, _CHUNK], how)
 
 
 # --- headers --------------------------------------------------------------------
@@ -89,7 +81,7 @@ def _cut(names: Column, stop: str) -> Column:
 def sheet_headers(
     rows: DataFrame,
     header_row: int | Column,
-    start_col: int = 0,
+    start_col: int | Column = 0,
     stop: str = "skip_blank",
     max_cols: int | None = None,
 ) -> DataFrame:
@@ -101,7 +93,7 @@ def sheet_headers(
     length = F.greatest(F.size(cells) - start_col, F.lit(0))
     if max_cols is not None:
         length = F.least(length, F.lit(max_cols))
-    window = F.slice(cells, F.lit(start_col + 1), length)
+    window = F.slice(cells, F.lit(start_col) + 1, length)
     names = F.transform(window, lambda v: F.when(~is_blank(v), normalize_header(v)))
     return (
         rows.filter(F.col("row_idx") == header_row)
@@ -163,9 +155,7 @@ def promote_header(
         return (size - F.coalesce(*found) + start_col).cast("int")
 
     headers = sheet_headers(rows, header_row, start_col, stop, max_cols)
-    facts = headers.join(_last_rows(rows), SHEET).select(
-        *SHEET, "__last", F.array(*[position(n) for n in wanted]).alias("__pos")
-    )
+    facts = headers.select(*SHEET, F.array(*[position(n) for n in wanted]).alias("__pos"))
     data = join_sheet_facts(with_chunk(rows.filter(F.col("row_idx") > header_row)), facts)
     cell = lambda i: F.get(F.col("cells"), F.get(F.col("__pos"), F.lit(i)))
     return data.select(
@@ -190,13 +180,13 @@ def missing_headers(rows: DataFrame, wanted: Sequence[str], header_row: int, sta
 def select_by_header(rows: DataFrame, wanted: Sequence[str], header_row: int, start_col: int = 0) -> DataFrame:
     """Only the wanted columns; a sheet without one of them is an error that names the headers.
 
-    The check reads header rows only.  At most a page of findings is fetched.
+    The check reads header rows only.  The error names all headers that the
+    first sheet (by file and name) lacks; ``missing_headers`` lists the others.
     """
-    lacking = missing_headers(rows, wanted, header_row, start_col).take(50)
-    if lacking:
-        first = lacking[0]
-        names = [r["header"] for r in lacking if (r["source_file"], r["sheet"]) == (first["source_file"], first["sheet"])]
-        raise MissingColumns(f"{first['source_file']} [{first['sheet']}]", sorted(names))
+    lacking = missing_headers(rows, wanted, header_row, start_col).groupBy(*SHEET).agg(F.sort_array(F.collect_set("header")).alias("names"))
+    first = lacking.orderBy(*SHEET).first()
+    if first:
+        raise MissingColumns(f"{first['source_file']} [{first['sheet']}]", first["names"])
     return promote_header(rows, wanted, header_row, start_col)
 
 
@@ -210,7 +200,7 @@ def crop_at_first_blank(df: DataFrame, blank: Column) -> DataFrame:
     """
     facts = (
         df.groupBy(*SHEET)
-        .agg(F.min(F.when(blank, F.col("row_idx"))).alias("__cut"), F.max("row_idx").alias("__last"))
+        .agg(F.min(F.when(blank, F.col("row_idx"))).alias("__cut"))
         .filter(F.col("__cut").isNotNull())
     )
     joined = join_sheet_facts(with_chunk(df), facts, "left")
@@ -234,27 +224,28 @@ def skip_blank_key(df: DataFrame, key: Column) -> DataFrame:
 def crop_after_blank_run(df: DataFrame, key: str, run: int = rules.BLANK_RUN) -> DataFrame:
     """Rows with a key, up to the first run of ``run`` rows without one.
 
-    Gaps are found inside each chunk first; then only one summary row per chunk
+    Gaps are found inside each stretch first; then only one summary row per stretch
     (its first and last row with a key) is compared with its neighbour.
     """
     valid = with_chunk(df.filter(~is_blank(c(key))))
-    in_chunk = Window.partitionBy(*SHEET, _CHUNK).orderBy("row_idx")
+    stretch = [*SHEET, _CHUNK, "__stretch"]
+    in_stretch = Window.partitionBy(*stretch).orderBy("row_idx")
     gaps = (
-        valid.select(*SHEET, "row_idx", _CHUNK)
-        .withColumn("__next", F.lead("row_idx").over(in_chunk))
-        .groupBy(*SHEET, _CHUNK)
+        valid.select(*SHEET, "row_idx", _CHUNK, _stretch("row_idx").alias("__stretch"))
+        .withColumn("__next", F.lead("row_idx").over(in_stretch))
+        .groupBy(*stretch)
         .agg(
             F.min("row_idx").alias("__first"),
             F.max("row_idx").alias("__last"),
             F.min(F.when(F.col("__next") - F.col("row_idx") > run, F.col("row_idx"))).alias("__cut"),
         )
     )
-    across = Window.partitionBy(*SHEET).orderBy(_CHUNK)
+    across = Window.partitionBy(*SHEET).orderBy("__stretch")
     facts = (
         gaps.withColumn("__next", F.lead("__first").over(across))
         .withColumn("__edge", F.when(F.col("__next") - F.col("__last") > run, F.col("__last")))
         .groupBy(*SHEET)
-        .agg(F.min(F.least("__cut", "__edge")).alias("__cut"), F.max("__last").alias("__last"))
+        .agg(F.min(F.least("__cut", "__edge")).alias("__cut"))
         .filter(F.col("__cut").isNotNull())
     )
     joined = join_sheet_facts(valid, facts, "left")

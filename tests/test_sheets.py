@@ -153,3 +153,27 @@ def test_skip_blank_key_goes_on(spark):
     data = {("f", "s"): {1: ["a"], 2: [" "], 3: [None], 4: ["b"]}}
     rows = sheets.skip_blank_key(bronze(spark, data), F.get("cells", F.lit(0)))
     assert kept(rows) == {("f", 1), ("f", 4)}
+
+
+def test_big_sheet_spreads_without_broadcast(spark):
+    keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
+    before = {k: spark.conf.get(k) for k in keys}
+    header = spark.createDataFrame([("f", "s", 1, ["K"])], BRONZE_SCHEMA)
+    body = spark.range(2, 1_000_001).selectExpr("'f' AS source_file", "'s' AS sheet", "id AS row_idx", "array('k') AS cells")
+    try:
+        for key, value in keys.items():
+            spark.conf.set(key, value)
+        named = sheets.promote_header(header.unionByName(body), ["K"], 1)
+        cropped = sheets.crop_at_first_blank(named, is_blank(c("K")))
+        sizes = [r["count"] for r in cropped.groupBy(F.spark_partition_id()).count().collect()]
+        assert cropped._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning(source_file") <= 6
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert sum(sizes) == 999_999 and max(sizes) < 400_000
+
+
+def test_missing_headers_are_named(spark):
+    data = {("b", "s"): {1: ["A"]}, ("a", "s"): {1: ["B"]}}
+    with pytest.raises(MissingColumns, match="a \\[s\\]"):
+        sheets.select_by_header(bronze(spark, data), ["A", "C"], 1)
