@@ -15,6 +15,7 @@ from staffloom.operators.casting import cast_spec
 from staffloom.operators.filters import filter_not_null
 from staffloom.operators.joins import left_join
 from staffloom.operators.projection import insert_after, map_columns, select_spec, string_columns
+from staffloom.operators.quality import WARNING
 from staffloom.sources.sheets import drop_non_data_rows, promote_header
 from staffloom.specs import TableSpec, contracts, tables
 
@@ -52,6 +53,14 @@ def skipped_files(rows: DataFrame) -> DataFrame:
     return files.filter(period_from_filename(F.col("source_file")).isNull())
 
 
+def skipped_report(rows: DataFrame) -> DataFrame:
+    """``skipped_files`` as findings, one per file."""
+    return skipped_files(rows).select(
+        F.lit("payroll").alias("source"), F.lit("no_period").alias("rule"), F.lit(None).cast("string").alias("column"),
+        F.lit(WARNING).alias("severity"), F.lit(1).cast("long").alias("n_bad"), F.col("source_file").alias("sample"),
+    )
+
+
 def _gold(silver: DataFrame, spec: TableSpec, mode: str) -> DataFrame:
     typed = cast_spec(select_spec(silver, spec), spec, mode)
     trimmed = map_columns(typed, string_columns(typed), strip)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, functions as F
 
 from staffloom.operators.quality import check_table, check_types, check_unique, require
 from staffloom.plans.employees import cost_centers, employee_flags, employees_silver, split_employees
@@ -17,9 +17,10 @@ from staffloom.plans.income import (
 )
 from staffloom.plans.interns import intern_control_gold, intern_control_silver
 from staffloom.plans.leave import leave_silver, validated_leave
-from staffloom.plans.payroll import mining_payroll_gold, payroll_gold, payroll_silver, payroll_with_leave
+from staffloom.plans.payroll import mining_payroll_gold, payroll_gold, payroll_silver, payroll_with_leave, skipped_report
 from staffloom.sources.layers import read_layer, write_current, write_current_and_history, write_if_nonempty
-from staffloom.specs import tables
+from staffloom.sources.preflight import preflight
+from staffloom.specs import SourceContract, contracts, tables
 
 
 def _stored(df: DataFrame, path: str) -> DataFrame:
@@ -28,37 +29,61 @@ def _stored(df: DataFrame, path: str) -> DataFrame:
     return read_layer(df.sparkSession, path)
 
 
-def run_payroll(payroll_rows: DataFrame, leave_rows: DataFrame, base: str, run_ts: datetime) -> DataFrame:
-    """Payroll and leave to the enriched payroll; returns the payroll report (it never stops the run)."""
+def _sound(files: DataFrame | None, rows: DataFrame, contract: SourceContract) -> None:
+    """Stop the run on preflight errors of the landed files (``source_file, error``), when they are given."""
+    if files is not None:
+        require(preflight(files, rows, contract))
+
+
+def run_payroll(
+    payroll_rows: DataFrame,
+    leave_rows: DataFrame,
+    base: str,
+    run_ts: datetime,
+    payroll_files: DataFrame | None = None,
+    leave_files: DataFrame | None = None,
+) -> DataFrame:
+    """Payroll and leave to the enriched payroll; returns the payroll report (it never stops the run).
+
+    The report names the payroll files that were left out for want of a period.
+    """
+    _sound(payroll_files, payroll_rows, contracts.PAYROLL)
+    _sound(leave_files, leave_rows, contracts.LEAVE)
     silver = _stored(payroll_silver(payroll_rows), f"{base}/silver/payroll")
     leave = validated_leave(_stored(leave_silver(leave_rows), f"{base}/silver/leave"))
     gold = _stored(payroll_gold(silver), f"{base}/gold/payroll")
     write_current_and_history(payroll_with_leave(gold, leave), f"{base}/gold/payroll_with_leave", run_ts)
-    return check_table(gold, tables.PAYROLL)
+    sheet = F.col("sheet") == contracts.PAYROLL.sheets[0].sheet
+    return check_table(gold, tables.PAYROLL).unionByName(skipped_report(payroll_rows.filter(sheet)))
 
 
-def run_mining_payroll(rows: DataFrame, base: str, run_ts: datetime) -> None:
+def run_mining_payroll(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> None:
+    _sound(files, rows, contracts.MINING_PAYROLL)
     silver = _stored(payroll_silver(rows, tables.MINING_PAYROLL), f"{base}/silver/mining_payroll")
     write_current_and_history(mining_payroll_gold(silver), f"{base}/gold/mining_payroll", run_ts)
 
 
-def run_employees(rows: DataFrame, base: str, run_ts: datetime, as_of: Column) -> None:
+def run_employees(
+    rows: DataFrame, base: str, run_ts: datetime, as_of: Column, files: DataFrame | None = None
+) -> None:
     """Employee master: silver, cost centres, gold split, flags."""
+    _sound(files, rows, contracts.EMPLOYEES)
     centers = [n for n in tables.COST_CENTERS.names if n not in tables.EMPLOYEES.names]
     silver = _stored(employees_silver(rows, extra=centers), f"{base}/silver/employees")
     write_current_and_history(
         cost_centers(silver, ["source_file", "row_idx"]), f"{base}/gold/cost_centers", run_ts
     )
     employees, interns = split_employees(silver)
-    written = write_if_nonempty(employees, f"{base}/gold/employees")
-    write_if_nonempty(interns, f"{base}/gold/interns")
+    written = write_if_nonempty(employees, f"{base}/gold/employees", run_ts)
+    write_if_nonempty(interns, f"{base}/gold/interns", run_ts)
     if written:
-        gold = read_layer(rows.sparkSession, f"{base}/gold/employees")
+        gold = read_layer(rows.sparkSession, f"{base}/gold/employees/current")
         require(check_unique(gold, tables.EMPLOYEES.primary_key, tables.EMPLOYEES.name))
         write_current_and_history(employee_flags(gold, as_of), f"{base}/gold/employee_flags", run_ts)
 
 
-def run_income(rows: DataFrame, base: str, run_ts: datetime) -> None:
+def run_income(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> None:
+    _sound(files, rows, contracts.INCOME)
     for name, to_silver, to_gold in (
         ("income_employees", income_employees_silver, income_employees_gold),
         ("income_interns", income_interns_silver, income_interns_gold),
@@ -67,18 +92,23 @@ def run_income(rows: DataFrame, base: str, run_ts: datetime) -> None:
         write_current_and_history(to_gold(silver), f"{base}/gold/{name}", run_ts)
 
 
-def run_interns(rows: DataFrame, base: str, run_ts: datetime) -> DataFrame:
+def run_interns(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> DataFrame:
     """Intern control; returns the type report, which never stops the run."""
+    _sound(files, rows, contracts.INTERNS)
     silver = _stored(intern_control_silver(rows), f"{base}/silver/intern_control")
     write_current_and_history(
-        intern_control_gold(silver, ordered=False), f"{base}/gold/intern_control", run_ts
+        intern_control_gold(silver), f"{base}/gold/intern_control", run_ts
     )
     return check_types(silver, tables.INTERN_CONTROL)
 
 
-def run_exit_exams(rows: DataFrame, current: DataFrame, old: DataFrame, base: str, run_ts: datetime) -> None:
+def run_exit_exams(
+    rows: DataFrame, current: DataFrame, old: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None
+) -> None:
+    _sound(files, rows, contracts.EXIT_EXAMS)
     silver = _stored(exit_exams_silver(rows), f"{base}/silver/exit_exams")
-    gold = _stored(exit_exams_gold(silver), f"{base}/gold/exit_exams")
+    write_current_and_history(exit_exams_gold(silver), f"{base}/gold/exit_exams", run_ts)
+    gold = read_layer(rows.sparkSession, f"{base}/gold/exit_exams/current")
     write_current_and_history(
-        exit_exams_enriched(gold, current, old, ordered=False), f"{base}/gold/exit_exams_enriched", run_ts
+        exit_exams_enriched(gold, current, old), f"{base}/gold/exit_exams_enriched", run_ts
     )

@@ -28,9 +28,12 @@ def write_current_and_history(df: DataFrame, base: str, run_ts: datetime) -> Non
     write_current(df.sparkSession.read.schema(df.schema).parquet(kept), f"{base}/current")
 
 
-def write_if_nonempty(df: DataFrame, path: str) -> bool:
-    """Write only when there are rows; says whether it wrote."""
+def write_if_nonempty(df: DataFrame, base: str, run_ts: datetime) -> bool:
+    """``write_current_and_history`` when there are rows; says whether it wrote.
+
+    The look for a row stops at the first one; give a plan without a shuffle, as after a stored layer.
+    """
     if df.isEmpty():
         return False
-    write_current(df, path)
+    write_current_and_history(df, base, run_ts)
     return True

@@ -109,6 +109,19 @@ def test_preflight_of_file_type_and_extra_sheets(spark):
     assert report(preflight(files, rows, contracts.EXIT_EXAMS)) == {("a.csv", "extension", None)}
 
 
+def test_pipelines_stop_on_preflight_errors(spark, tmp_path):
+    src, out = tmp_path / "in", str(tmp_path / "out")
+    src.mkdir()
+    sheet = {10: EMPLOYEE_HEADER, 11: employee("1", "PLAZO INDETERMINADO")}
+    write_workbook(f"{src}/BD. 31.02.2025..xlsx", {"METSO": sheet})
+    rows, errors = land(spark, src)
+    files = files_of(spark, src, errors)
+    with pytest.raises(quality.QualityError, match="document_date"):
+        pipelines.run_employees(rows, out, RUN, F.lit("2026-01-01").cast("date"), files)
+    with pytest.raises(quality.QualityError, match="missing_sheet"):
+        pipelines.run_interns(rows, out, RUN, files)
+
+
 def test_employee_pipeline(spark, tmp_path):
     src, out = tmp_path / "in", str(tmp_path / "out")
     src.mkdir()
@@ -130,7 +143,7 @@ def test_employee_pipeline(spark, tmp_path):
         ("1", "5 años, 11 meses", True)
     ]
     assert flags[0]["cumple_65_esteaño"] is False and flags[0]["FECH_INGR."] == date(2020, 1, 1)
-    interns = layers.read_layer(spark, f"{out}/gold/interns").collect()
+    interns = layers.read_layer(spark, f"{out}/gold/interns/current").collect()
     assert [r["NUMERO DE DOC"] for r in interns] == ["2"]
     history = spark.read.parquet(f"{out}/gold/employee_flags/history")
     assert [str(r.run_ts) for r in history.select("run_ts").distinct().collect()] == ["20260102T030405"]
@@ -183,6 +196,8 @@ def test_payroll_pipeline(spark, tmp_path):
     assert ("payroll", "not_allowed", "SEXO") in found
     assert ("payroll", "wrong_type", "DIAS GOCE HABER(D)") in found
     assert ("payroll", "null", "APELLIDO PATERNO") in found
+    skipped = findings.filter("rule = 'no_period'").collect()
+    assert [(r.sample, r.severity) for r in skipped] == [("Planilla vieja.xlsx", "warning")]
     assert [r.source_file for r in skipped_files(rows.filter(c("sheet") == "Planilla")).collect()] == ["Planilla vieja.xlsx"]
     pipelines.run_mining_payroll(rows.filter(c("sheet") == "Planilla"), out, RUN)
     mining = layers.read_layer(spark, f"{out}/gold/mining_payroll/current")
@@ -263,8 +278,8 @@ def test_exam_pipeline(spark, tmp_path):
 
 def test_layers(spark, tmp_path):
     df = spark.range(3)
-    assert layers.write_if_nonempty(df, f"{tmp_path}/t") is True
-    assert layers.write_if_nonempty(df.filter("id > 9"), f"{tmp_path}/e") is False
+    assert layers.write_if_nonempty(df, f"{tmp_path}/t", RUN) is True
+    assert layers.write_if_nonempty(df.filter("id > 9"), f"{tmp_path}/e", RUN) is False
     layers.write_current_and_history(df, f"{tmp_path}/h", RUN)
     layers.write_current_and_history(df.filter("id = 0"), f"{tmp_path}/h", datetime(2026, 1, 3))
     assert layers.read_layer(spark, f"{tmp_path}/h/current").count() == 1
