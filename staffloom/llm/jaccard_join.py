@@ -13,7 +13,8 @@ global order; two sets that link share a shingle of their prefixes.
   only meets pairs whose groups differ.  A thousand near copies so cost a thousand comparisons, not a million.
 
 * Pairs are first held against bit maps, the parity of each set's shingles at ``BITS`` places: sets differ in at least as
-  many shingles as their maps in bits, so most pairs that do not link are put aside without their sets.
+  many shingles as their maps in bits, so most pairs that do not link are put aside without their sets.  The lists
+  hold the maps folded to 64 * ``FOLDS`` places, so that pairs of a list that cannot link never leave its task.
 
 What is left is verified on whole sets.  Shingles are 64-bit hashes, equal sets are told by 128 bits.
 
@@ -39,6 +40,7 @@ SAMPLE_DOCS, HOT_SHARE, HOT_MOST = 20_000, 0.001, 50_000
 LEADING = 3  # prefix shingles whose lists have leaders
 BLOCK = 512
 BITS = 2048
+FOLDS = 3
 
 
 def shingles(text: bytes | None, hashes: WordHashes, n: int = SHINGLE) -> np.ndarray:
@@ -67,6 +69,17 @@ def bit_map(own: np.ndarray) -> bytes:
     return np.packbits((np.bincount((own % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1).astype(np.uint8)).tobytes()
 
 
+def folded(bits: bytes) -> np.ndarray:
+    """The same map over 64 * ``FOLDS`` places: every ``FOLDS``-th word of it, taken together."""
+    words = np.frombuffer(bits, np.int64)
+    return np.stack([np.bitwise_xor.reduce(words[k::FOLDS]) for k in range(FOLDS)])
+
+
+def may_link(n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+    """Whether sets of ``n`` shingles together, d of them in one only, may link: they share (n - d) / 2, and d is at least ``differ``."""
+    return n - differ >= 2 * least_shared(n, 0)
+
+
 def hot_shingles(docs: DataFrame) -> np.ndarray:
     """Shingles of at least ``HOT_SHARE`` of a bounded sample of documents, sorted; at most ``HOT_MOST``."""
     every = max(1, docs.count() // SAMPLE_DOCS)
@@ -85,13 +98,13 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
 
 
 def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
-    """``id, f1, f2, n, bits, prefix``: fingerprint, size, bit map and probe prefix of every document's set."""
+    """``id, f1, f2, n, bits, folds, prefix``: fingerprint, size, bit map, folded map and probe prefix of every document's set."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, last = WordHashes(lower=True), held.value
         for batch in sliced(it):
-            f1, f2, n, bits, prefix = [], [], [], [], []
+            f1, f2, n, bits, folds, prefix = [], [], [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, hashes)
                 high, low = divmod(xxhash.xxh3_128_intdigest(own.tobytes()), 1 << 64)
@@ -99,6 +112,7 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                 f2.append(low - (1 << 63))
                 n.append(len(own))
                 bits.append(bit_map(own))
+                folds.append(folded(bits[-1]))
                 if len(own):
                     if len(last):
                         at = np.minimum(np.searchsorted(last, own), len(last) - 1)
@@ -107,11 +121,12 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                     own = own[: probe_prefix(len(own))]
                 prefix.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()), pa.array(prefix, pa.list_(pa.int64()))],
-                ["id", "f1", "f2", "n", "bits", "prefix"],
+                [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
+                 pa.array(folds, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "f1", "f2", "n", "bits", "folds", "prefix"],
             )
 
-    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, bits binary, prefix array<long>")
+    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, bits binary, folds array<long>, prefix array<long>")
 
 
 def runs_of(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -175,10 +190,10 @@ def leader_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a list whose sizes and positions allow a link and whose groups differ."""
+    """Pairs of a list whose sizes, positions and folded maps allow a link and whose groups differ."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
-        for n, ids, f1, pos, group in runs_of(it, ["token", "n", "id", "f1", "pos", "grp"]):
+        for n, ids, f1, pos, group, *folds in runs_of(it, ["token", "n", "id", "f1", "pos", "grp", *(f"fold{k}" for k in range(FOLDS))]):
             if (group == group[0]).all():
                 continue
             left = n - pos  # shingles from here on, this one included
@@ -196,18 +211,21 @@ def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     ok = (y < part) & (y >= first[part]) & (group[y] != group[part])
                     ok &= np.minimum(left[y], left[part]) >= least_shared(n[y], n[part])
                     i, j = np.nonzero(ok)
+                    i, j = block[i], part[j]
+                    may = may_link(n[i] + n[j], sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in folds))
+                    i, j = i[may], j[may]
                     if len(i):
-                        yield ids[block[i]], f1[block[i]], ids[part[j]], f1[part[j]]
+                        yield ids[i], f1[i], ids[j], f1[j]
 
     yield from pair_batches(found())
 
 
 def by_bit_map(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs that may link: sets that differ in d shingles share (a + b - d) / 2, and d is no less than the maps' difference."""
+    """Pairs that may link by their whole maps."""
     for batch in it:
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(batch), BITS // 64) for c in ("bits_a", "bits_b"))
         n = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-        may = n - np.bitwise_count(x ^ y).sum(1).astype(np.int64) >= 2 * least_shared(n, 0)
+        may = may_link(n, np.bitwise_count(x ^ y).sum(1).astype(np.int64))
         yield batch.select(["a", "a1", "b", "b1"]).filter(pa.array(may))
 
 
@@ -250,7 +268,7 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     some = sets.where("n > 0")
     first = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     light = some.select("id", "f1", "f2", "n", F.slice("prefix", 1, LEADING).alias("prefix"))
-    once = lambda df: df.join(first, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"]).select("id", "f1", "n", "prefix")
+    once = lambda df, *more: df.join(first, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"]).select("id", "f1", "n", "prefix", *more)
     maps = once(some.select("id", "f1", "f2", "n", F.col("bits").alias("prefix"))).withColumnRenamed("prefix", "bits")
     lists = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
 
@@ -258,8 +276,9 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     near = stored(verified(lists(leading, "n", "id").mapInArrow(leader_pairs, PAIRS), rows, maps), "leader-links")
     group = components(once(light).select("id").distinct(), near)
 
-    full = once(some).join(group.select("id", F.col("component").alias("grp")).distinct(), "id")
-    entries = full.select(F.posexplode("prefix").alias("pos", "token"), "n", "id", "f1", "grp")
+    full = once(some, "folds").join(group.select("id", F.col("component").alias("grp")).distinct(), "id")
+    folds = [F.col("folds")[k].alias(f"fold{k}") for k in range(FOLDS)]
+    entries = full.select(F.posexplode("prefix").alias("pos", "token"), "n", "id", "f1", "grp", *folds)
     far = verified(lists(entries, "n", "id").mapInArrow(skipping_pairs, PAIRS), rows, maps)
 
     same = some.join(first, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))

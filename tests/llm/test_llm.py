@@ -171,6 +171,19 @@ def test_jaccard_join(spark, empty):
     assert jaccard_join.linked_groups(empty).count() == 0
 
 
+def test_maps_never_put_aside_a_link():
+    r = np.random.default_rng(9)
+    for n in (1, 5, 60, 700):
+        for _ in range(60):
+            own = np.unique(r.integers(0, 1 << 63, n).astype(np.uint64))
+            other = np.unique(np.concatenate([own[r.random(len(own)) < 0.93], r.integers(0, 1 << 63, r.integers(0, 1 + n // 12)).astype(np.uint64)]))
+            a, b = (jaccard_join.folded(jaccard_join.bit_map(s)) for s in (own, other))
+            differ, shared = int(np.bitwise_count((a ^ b).view(np.uint64)).sum()), len(np.intersect1d(own, other))
+            assert differ <= len(own) + len(other) - 2 * shared
+            if 100 * shared >= 85 * (len(own) + len(other) - shared):
+                assert jaccard_join.may_link(np.array([len(own) + len(other)]), np.array([differ]))[0]
+
+
 def test_keep_one(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
