@@ -10,7 +10,8 @@ global order; two sets that link share a shingle of their prefixes.
   the same links; the sample's size is bounded.)
 * Highly similar sets are joined first: each set of a list is compared with the list's leader, which takes one
   comparison a set.  A set's answers then follow from the leader's: all are in one group, and the full join
-  only meets pairs whose groups differ.  A thousand near copies so cost a thousand comparisons, not a million.
+  only meets pairs whose groups differ.  A thousand sets that link with their leader so cost a thousand comparisons;
+  sets of a list that are near each other but not near their leader still meet in pairs.
 
 * Pairs are first held against bit maps, the parity of each set's shingles at ``BITS`` places: sets differ in at least as
   many shingles as their maps in bits, so most pairs that do not link are put aside without their sets.  The lists
