@@ -1,9 +1,10 @@
-"""Benchmark decontamination: rare n-gram seeds find passages, Smith-Waterman alignment scores them.
+"""Benchmark decontamination: shared runs of words find passages, Smith-Waterman alignment scores them.
 
 Words are cut at white space and marks, with A-Z lowered.  One pass over the documents finds every run of ``SEED``
-words that also stands in a test item and keeps the passages around those runs.  The runs are then counted over
-the whole corpus, and the rarer half of each item's runs are its seeds, so an item always has seeds, however often
-it was copied.  Passages and items that share a seed are aligned word by word (match 2, other word -1, gap -1); the
+words that also stands in a test item and keeps the passages around those runs.  Every passage and item that share a
+run are a pair, however common the run is, so no copy of an item can hide another.  A pair of which fewer item words stand
+in the passage than a score of ``threshold`` needs is put aside by that count alone, which loses none; the others are
+aligned word by word (match 2, other word -1, gap -1).  A copy of which no ``SEED`` words in a row are left is not found.  The
 score is the best local alignment's over the score of the whole item.  A pair with at least ``threshold`` counts.
 
 Test items are a small table beside the corpus: their runs are sent to every task while there are at most
@@ -19,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from staffloom.llm.common import WordHashes, columns_of, grams, raw, sliced, stored
@@ -127,23 +128,30 @@ def smith_waterman(a: np.ndarray, b: np.ndarray) -> tuple[int, int, int]:
     return best, end_a, end_b
 
 
-def align(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Score and span in the document of each pair of passage and item."""
+def align(it: Iterator[pa.RecordBatch], threshold: float) -> Iterator[pa.RecordBatch]:
+    """Score and span in the document of the pairs of passage and item that are aligned at ``threshold`` or more."""
     for batch in it:
-        scores, firsts, ends = [], [], []
-        for lo, words, at, item, spots in zip(*(batch[c].to_pylist() for c in ("first", "words", "at", "item_words", "spots"))):
-            item = np.asarray(item, np.int64)
-            # only the part of the passage that the shared seeds can reach
+        near, scores, firsts, ends = [], [], [], []
+        columns = (batch[c] for c in ("first", "words", "item_words", "spots"))
+        for k, (lo, words, item, spots) in enumerate(zip(*columns)):
+            lo, words, item, spots = lo.as_py(), words.values.to_numpy(), item.values.to_numpy(), spots.values.to_numpy()
+            # only the part of the passage that the shared runs can reach
             reach = 2 * len(item)
-            begin, stop = max(0, min(spots) - reach), max(spots) + reach
-            part = np.asarray(words[begin:stop], np.int64)
+            begin, stop = max(0, int(spots.min()) - reach), int(spots.max()) + reach
+            part = words[begin:stop]
+            if np.isin(item, part).sum() < threshold * len(item):
+                continue  # each matched word gives MATCH at most, all others lose
             score, end_item, end = smith_waterman(item, part)
+            if score / (MATCH * len(item)) < threshold:
+                continue
             _, _, back = smith_waterman(item[:end_item][::-1], part[:end][::-1])
+            near.append(k)
             scores.append(score / (MATCH * len(item)))
             firsts.append(lo + begin + end - back)
             ends.append(lo + begin + end)
+        kept = batch.select(["doc_id", "item_id"]).take(pa.array(near, pa.int64()))
         yield pa.RecordBatch.from_arrays(
-            [batch["doc_id"], batch["item_id"], pa.array(scores, pa.float64()), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64())],
+            [*kept.columns, pa.array(scores, pa.float64()), pa.array(firsts, pa.int64()), pa.array(ends, pa.int64())],
             ["doc_id", "item_id", "score", "first_word", "end_word"],
         )
 
@@ -156,23 +164,17 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     reach = tests.agg(F.max(F.size("item_words"))).first()[0] or 0
     found = passages(columns_of(docs, doc_id="long", text="string"), own.select("run").distinct(), reach)
     found = stored(found.withColumn("passage", F.monotonically_increasing_id()), "passages")
-    counts = found.select(F.explode("runs").alias("run")).groupBy("run").agg(F.count(F.lit(1)).alias("n"))
-    by_item = Window.partitionBy("item")
-    seeds = (
-        own.join(counts, "run").withColumn("rank", F.row_number().over(by_item.orderBy("n", "run")))
-        .withColumn("of", F.count(F.lit(1)).over(by_item)).where("2 * rank <= of + 1").select("item", "run")
-    )
     spots = (
         found.select("passage", F.explode(F.arrays_zip("at", "runs")).alias("hit")).select("passage", F.col("hit.at").alias("spot"), F.col("hit.runs").alias("run"))
-        .join(seeds, "run").groupBy("passage", "item").agg(F.collect_list("spot").alias("spots"))
+        .join(own, "run").groupBy("passage", "item").agg(F.array(F.min("spot"), F.max("spot")).alias("spots"))
     )
     pairs = spots.join(found.drop("runs"), "passage").join(tests.select("item", "item_id", "item_words"), "item")
-    scored = pairs.select("doc_id", "item_id", "first", "words", "at", "item_words", "spots").mapInArrow(
-        align, "doc_id long, item_id long, score double, first_word long, end_word long"
+    scored = pairs.select("doc_id", "item_id", "first", "words", "item_words", "spots").mapInArrow(
+        lambda it: align(it, threshold), "doc_id long, item_id long, score double, first_word long, end_word long"
     )
     best = F.max(F.struct("score", (-F.col("first_word")).alias("back"), "end_word")).alias("best")
     return (
-        scored.where(F.col("score") >= threshold).groupBy("doc_id", "item_id").agg(best)
+        scored.groupBy("doc_id", "item_id").agg(best)
         .select("doc_id", "item_id", "best.score", (-F.col("best.back")).alias("first_word"), "best.end_word")
     )
 

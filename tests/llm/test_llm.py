@@ -257,6 +257,16 @@ def test_decontamination_by_shuffle(spark, monkeypatch):
     assert sorted(map(str, decontamination.contaminated(frame, items).collect())) == sent and len(sent) == 3
 
 
+def test_an_exact_copy_hides_no_edited_copy(spark):
+    item = prose(60, 910)
+    words = item.split()
+    copy = " ".join("zzz" if i % 6 == 3 else w for i, w in enumerate(words))
+    rows = [(1, prose(70, 11) + " " + item), (2, prose(70, 12) + " " + copy), (3, prose(90, 13) + " " + " ".join(words[:4]))]
+    rows += [(10 + k, prose(60, 20 + k) + " " + item) for k in range(3)]
+    got = decontamination.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(7, item)], "item_id long, text string"))
+    assert {r.doc_id: round(r.score, 2) for r in got.collect()} == {1: 1, 2: 0.75, 10: 1, 11: 1, 12: 1}
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
