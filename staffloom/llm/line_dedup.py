@@ -1,35 +1,54 @@
 """Line dedup by a segment-partition edit join.
 
-Lines of at least ``LEAST`` characters go when an earlier line (smaller doc_id, or the same document and an earlier line)
-is equal or within ``EDITS`` single-character edits.  Equal lines are reduced to their first by hash first.  Of those,
-each line is split into ``EDITS`` + 1 even segments: a line within ``EDITS`` edits must contain one of them unchanged.
-Every line puts its segments into an index under (segment, which, length of the line), and probes the index for
-each length that is up to ``EDITS`` shorter with just those substrings whose place leaves room for the edits on either
-side.  Candidates are verified by a bit-parallel edit distance in a band of 2 * ``EDITS`` + 1 diagonals.
+Lines go when an earlier line (smaller doc_id, or the same document and an earlier line) is equal or near.  :class:`Limits`
+says from which length equal lines go, and how many edits of characters, or of words, are near; the edits grow by steps with
+the length of the shorter line.  ``WIDE`` is what the query and the pipeline use: equal lines of any length (but blank ones), 1
+character from 20 characters, 2 from 40, 1 word from 8 words, 2 from 24.  ``NARROW`` has lines of 40 characters and 2 edits only.
+
+Equal lines are reduced to their first by hash first.  Of those, each line is split into e + 1 even segments, where e is
+its number of edits: a line within e edits must contain one of them unchanged.  Every line puts its segments into an index under
+(segment, which, length of the line), and probes the index for each length that is up to e shorter with just those parts
+whose place leaves room for the edits on either side.  This is done for characters and for words.  Candidates are
+verified by a bit-parallel edit distance in a band of 2 * e + 1 diagonals.
 
 Index and probes meet on 64-bit keys that carry places only; texts are fetched for lines that share a key alone.  Of
 those a sketch is made, the parity of their pairs of characters by hash: an edit changes at most four pairs, so lines
-whose sketches differ in more than 4 * ``EDITS`` places are never paired.  Many lines that share a long segment but
-differ elsewhere thus give no pairs, and no pair within ``EDITS`` is lost.
+whose sketches differ in more than 4 places an edit are never paired.  A second sketch has the parity of the words, of which an
+edited word changes at most two.  Many lines that share a long segment but
+differ elsewhere thus give no pairs, and no near pair is lost.
 
-Judged on the input.  Defined results: shorter lines always stay; null or empty texts stay as they are; rows that repeat
+Judged on the input.  Defined results: lines shorter than the limits, and blank lines, always stay; null or empty texts stay as they are; rows that repeat
 a doc_id with one text count as one document and are cut alike, with different texts they are ordered by a
 checksum; a null doc_id comes first.  :func:`dedup` keeps all columns of its input, whatever their names.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, keyed, mix, small, stored
+from staffloom.llm.common import NO_ID, WORD, keyed, mix, small, stored
+
+Steps = tuple[tuple[int, int], ...]
+
+
+@dataclass(frozen=True)
+class Limits:
+    """``shortest``: characters from which equal lines go; ``chars`` and ``words``: (least length, edits) in rising order."""
 
-EDITS = 2
-LEAST = 40
+    shortest: int
+    chars: Steps
+    words: Steps
+
+
+NARROW = Limits(40, ((40, 2),), ())
+WIDE = Limits(1, ((20, 1), (40, 2)), ((8, 1), (24, 2)))
 AT = ["id", "mark", "line_no"]
 
 
@@ -40,42 +59,56 @@ def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
     return (base * i + extra(i) + 1).cast("int"), (base + extra(i + 1) - extra(i)).cast("int")
 
 
-def key(line: Column, start: Column, size: Column, i: int, n: Column) -> Column:
-    return F.xxhash64(F.substring(line, start, size), F.lit(i), n)
+def allowed(n: int, steps: Steps) -> int:
+    """Edits between two lines of which the shorter has length ``n``."""
+    return max((edits for least, edits in steps if n >= least), default=0)
+
+
+def ranges(m: Column, steps: Steps) -> list[tuple[int, Column]]:
+    """Every number of edits with the condition that a line of length ``m`` has it."""
+    ends = [least for least, _ in steps[1:]] + [None]
+    return [(edits, (m >= least) if end is None else (m >= least) & (m < end)) for (least, edits), end in zip(steps, ends)]
 
 
-def index_keys(line: Column, n: Column, edits: int) -> list[Column]:
+def key(line: Column, start: Column, size: Column, i: int, n: Column, edits: int, cut) -> Column:
+    return F.xxhash64(cut(line, start, size), F.lit(f"{cut.__name__}{edits}.{i}"), n)
+
+
+def index_keys(line: Column, n: Column, steps: Steps, cut) -> list[Column]:
     """Keys of the line's own segments: they stand in the index and probe it too."""
-    return [key(line, *segment(n, i, edits), i, n) for i in range(edits + 1)]
+    return [F.when(has, key(line, *segment(n, i, e), i, n, e, cut)) for e, has in ranges(n, steps) for i in range(e + 1)]
 
 
-def probe_keys(line: Column, n: Column, edits: int) -> list[Column]:
-    """Keys of the other substrings that may equal a segment of a line that is up to ``edits`` shorter."""
+def probe_keys(line: Column, n: Column, steps: Steps, cut) -> list[Column]:
+    """Keys of the other parts that may equal a segment of a line that is shorter by up to its edits."""
     keys = []
-    for shorter in range(edits + 1):
+    for shorter in range(max((e for _, e in steps), default=-1) + 1):
         m = n - shorter
-        for i in range(edits + 1):
-            start, size = segment(m, i, edits)
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                if shorter or shift:
-                    keys.append(key(line, start + shift, size, i, m))
+        for edits, has in ranges(m, steps):
+            for i in range(edits + 1 if shorter <= edits else 0):
+                start, size = segment(m, i, edits)
+                for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
+                    if shorter or shift:
+                        keys.append(F.when(has, key(line, start + shift, size, i, m, edits, cut)))
     return keys
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
-    """``id, mark, line_no, line, n`` of the lines that are long enough."""
+def lines_of(rows: DataFrame, limits: Limits) -> DataFrame:
+    """``id, mark, line_no, line, n`` of the lines that are long enough and not blank."""
     lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("n", F.length("line")).where(F.col("n") >= LEAST)
+    return lines.withColumn("n", F.length("line")).where((F.col("n") >= limits.shortest) & F.col("line").rlike(WORD))
 
 
-def first_lines(rows: DataFrame, edits: int) -> DataFrame:
-    """First place of every different line, with its index keys ``i0..`` and probe keys ``p0..``."""
-    line, n = F.col("line"), F.col("n")
-    index, probe = index_keys(line, n, edits), probe_keys(line, n, edits)
-    keys = {**{f"i{k}": c for k, c in enumerate(index)}, **{f"p{k}": c for k, c in enumerate(probe)}}
-    found = lines_of(rows).select(*AT, F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), "n", *(c.alias(k) for k, c in keys.items()))
+def first_lines(rows: DataFrame, limits: Limits) -> DataFrame:
+    """First place of every different line, with its ``index`` and ``probe`` keys."""
+    line, n, words = F.col("line"), F.col("n"), F.col("words")
+    keys = lambda of: F.array_distinct(F.array_compact(F.array(*of(line, n, limits.chars, F.substring), *of(words, F.size("words"), limits.words, F.slice))))
+    lines = lines_of(rows, limits).withColumn("words", F.split("line", " ", -1))
+    found = lines.select(
+        *AT, F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), "n", keys(index_keys).alias("index"), keys(probe_keys).alias("probe")
+    )
     least = F.min(F.struct(*AT)).alias("at")
-    return found.groupBy("h", "c", "n").agg(least, *(F.first(k).alias(k) for k in keys)).select("at.*", "h", "c", *keys)
+    return found.groupBy("h", "c", "n").agg(least, F.first("index").alias("index"), F.first("probe").alias("probe")).select("at.*", "h", "c", "index", "probe")
 
 
 ENTRY = "key long, who long, id long, mark int, line_no int, indexed boolean"
@@ -108,9 +141,8 @@ def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def entries(firsts: DataFrame) -> DataFrame:
     """Index and probe entries of all lines whose key another line has too."""
-    keys = lambda letter: F.array_distinct(F.array(*(c for c in firsts.columns if c[0] == letter and c[1:].isdigit())))
-    entry = lambda letter: F.transform(keys(letter), lambda k: F.struct(k.alias("key"), F.lit(letter == "i").alias("indexed")))
-    rows = firsts.select(*AT, F.xxhash64(*AT).alias("who"), F.explode(F.concat(entry("i"), entry("p"))).alias("e"))
+    entry = lambda name: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(name == "index").alias("indexed")))
+    rows = firsts.select(*AT, F.xxhash64(*AT).alias("who"), F.explode(F.concat(entry("index"), entry("probe"))).alias("e"))
     rows = rows.select("e.key", "who", *AT, "e.indexed").repartition("key").sortWithinPartitions("key", "who")
     return rows.mapInArrow(shared, ENTRY)
 
@@ -125,10 +157,24 @@ def sketch(text: str) -> bytes:
     return np.packbits((np.bincount(pairs.astype(np.int64), minlength=SKETCH) & 1).astype(np.uint8)).tobytes()
 
 
+def word_sketch(words: list[str]) -> int:
+    """Parity of the words, each at one of 64 places by hash."""
+    bits = 0
+    for word in words:
+        bits ^= 1 << (zlib.crc32(word.encode()) & 63)
+    return bits - (bits >> 63 << 64)
+
+
 def add_sketches(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in it:
-        bits = [np.frombuffer(sketch(t), "<i8").tolist() for t in batch["text"].to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch["at"], batch["text"], pa.array(bits, pa.list_(pa.int64()))], ["at", "text", "bits"])
+        texts = batch["text"].to_pylist()
+        bits = [np.frombuffer(sketch(t), "<i8").tolist() for t in texts]
+        words = [t.split(" ") for t in texts]
+        yield pa.RecordBatch.from_arrays(
+            [batch["at"], batch["text"], pa.array(bits, pa.list_(pa.int64())), pa.array(map(word_sketch, words), pa.int64()),
+             pa.array(map(len, texts), pa.int32()), pa.array(map(len, words), pa.int32())],
+            ["at", "text", "bits", "wbits", "n", "nw"],
+        )
 
 
 def within(a: str, b: str, edits: int) -> bool:
@@ -176,41 +222,61 @@ def within(a: str, b: str, edits: int) -> bool:
     return score <= edits
 
 
-def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in it:
-        near = [within(a, b, EDITS) for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
-        yield batch.select(AT).filter(pa.array(near, pa.bool_()))
+def near(a: str, b: str, limits: Limits) -> bool:
+    edits = allowed(min(len(a), len(b)), limits.chars)
+    if edits and within(a, b, edits):
+        return True
+    x, y = a.split(" "), b.split(" ")
+    edits = allowed(min(len(x), len(y)), limits.words)
+    return edits > 0 and within(x, y, edits)
 
 
-def near_lines(rows: DataFrame, firsts: DataFrame) -> DataFrame:
-    """Places of first lines that have an earlier line within ``EDITS`` edits."""
+def near_lines(rows: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
+    """Places of first lines that have a near earlier line."""
     found = stored(entries(firsts), "line-entries")
     places = stored(found.groupBy("id", "mark").agg(F.collect_set("line_no").alias("nos")), "line-places")
     texts = rows.join(small(places), ["id", "mark"]).dropDuplicates(["id", "mark"]).select(
         "id", "mark", F.explode("nos").alias("line_no"), F.split("text", "\n", -1).alias("lines")
     ).select(F.struct(*AT).alias("at"), F.get("lines", "line_no").alias("text"))
-    texts = stored(texts.mapInArrow(add_sketches, "at struct<id:long,mark:int,line_no:int>, text string, bits array<long>"), "line-texts")
-    known = found.select("key", "indexed", F.struct(*AT).alias("at")).join(texts.select("at", "bits"), "at")
-    side = lambda name: known.select("key", F.col("indexed").alias(f"indexed_{name}"), F.col("at").alias(name), *(F.col("bits")[k].alias(f"{name}{k}") for k in range(SKETCH // 64)))
-    apart = sum(F.bit_count(F.col(f"early{k}").bitwiseXOR(F.col(f"late{k}"))) for k in range(SKETCH // 64))
-    pairs = side("early").join(side("late"), "key").where((F.col("early") < F.col("late")) & (F.col("indexed_early") | F.col("indexed_late")) & (apart <= 4 * EDITS))
+    texts = stored(texts.mapInArrow(add_sketches, "at struct<id:long,mark:int,line_no:int>, text string, bits array<long>, wbits long, n int, nw int"), "line-texts")
+    known = found.select("key", "indexed", F.struct(*AT).alias("at")).join(texts.drop("text"), "at")
+    bits = [*(F.col("bits")[k] for k in range(SKETCH // 64)), F.col("wbits"), F.col("n"), F.col("nw")]
+    names = [*map(str, range(SKETCH // 64)), "_words", "_n", "_nw"]
+    side = lambda name: known.select("key", F.col("indexed").alias(f"indexed_{name}"), F.col("at").alias(name), *(c.alias(f"{name}{k}") for c, k in zip(bits, names)))
+    differ = lambda k: F.bit_count(F.col(f"early{k}").bitwiseXOR(F.col(f"late{k}")))
+
+    def edits(k: str, steps: Steps) -> Column:
+        shorter, out = F.least(f"early{k}", f"late{k}"), F.lit(-1)
+        for least, most in steps:
+            out = F.when(shorter >= least, most).otherwise(out)
+        return out
+
+    chars = sum(differ(k) for k in range(SKETCH // 64)) <= 4 * edits("_n", limits.chars)
+    words = differ("_words") <= 2 * edits("_nw", limits.words)
+    pairs = side("early").join(side("late"), "key").where((F.col("early") < F.col("late")) & (F.col("indexed_early") | F.col("indexed_late")) & (chars | words))
     a = texts.select(F.col("at").alias("early"), F.col("text").alias("text_a"))
     b = texts.select(F.col("at").alias("late"), F.col("text").alias("text_b"))
     both = pairs.select("early", "late").distinct().join(a, "early").join(b, "late").select("late.*", "text_a", "text_b")
+
+    def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in it:
+            found = [near(a, b, limits) for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
+            yield batch.select(AT).filter(pa.array(found, pa.bool_()))
+
     return both.mapInArrow(verify, "id long, mark int, line_no int").distinct()
 
 
-def removed_lines(docs: DataFrame, edits: int = EDITS) -> DataFrame:
+def removed_lines(docs: DataFrame, limits: Limits = NARROW) -> DataFrame:
     """``id, mark, gone``: numbers of the lines that go, by document that loses some."""
     rows = keyed(docs)
-    firsts = first_lines(rows, edits)
-    kept = firsts.select(*AT).join(stored(near_lines(rows, firsts), "near-lines"), AT, "left_anti")
-    return lines_of(rows).select(*AT).join(kept, AT, "left_anti").groupBy("id", "mark").agg(F.collect_set("line_no").alias("gone"))
+    firsts = first_lines(rows, limits)
+    kept = firsts.select(*AT).join(stored(near_lines(rows, firsts, limits), "near-lines"), AT, "left_anti")
+    return lines_of(rows, limits).select(*AT).join(kept, AT, "left_anti").groupBy("id", "mark").agg(F.collect_set("line_no").alias("gone"))
 
 
-def dedup(docs: DataFrame) -> DataFrame:
+def dedup(docs: DataFrame, limits: Limits = NARROW) -> DataFrame:
     """``docs`` with ``text`` replaced by its lines that stay, and ``n_lines`` and ``n_removed`` (own columns of these names go)."""
-    gone = stored(removed_lines(docs), "gone-lines").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
+    gone = stored(removed_lines(docs, limits), "gone-lines").select(F.col("id").alias("__id"), F.col("mark").alias("__mark"), F.col("gone").alias("__gone"))
     text = docs["`text`"].cast("string")
     doc_id = F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID))
     mark = F.xxhash64(F.coalesce(text, F.lit(""))).bitwiseAND(0x7FFFFFFF).cast("int")

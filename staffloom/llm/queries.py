@@ -93,7 +93,7 @@ def op4(spark: SparkSession, folder: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1(spark: SparkSession, folder: str) -> DataFrame:
     docs = columns_of(table(spark, folder, "documents"), doc_id="long", text="string")
-    return line_dedup.dedup(docs).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
+    return line_dedup.dedup(docs, line_dedup.WIDE).select("doc_id", "n_lines", "n_removed", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
 @query("op9_jaccard_join")

@@ -116,6 +116,16 @@ def test_line_dedup(spark, empty):
     assert line_dedup.dedup(empty).count() == 0
 
 
+def test_short_lines_and_edited_words(spark):
+    words = [" ".join(VOCAB[k * 40 + i] for i in range(n)) for k, n in enumerate((8, 12, 24, 30))]
+    swap = lambda line, *at: " ".join("replacement" if i in at else w for i, w in enumerate(line.split(" ")))
+    lines = ["All rights reserved.", "}", "", *words, "next", "All rights reserved.", "}", "", "All rights reserved!", "]"]
+    lines += [swap(words[0], 3), swap(words[1], 0), swap(words[2], 2, 20), swap(words[3], 29), "more " + words[1]]
+    lines += [swap(words[0], 1, 5), swap(words[3], 1, 9, 20)]
+    got = line_dedup.dedup(spark.createDataFrame([(1, "\n".join(lines))], "doc_id long, text string"), line_dedup.WIDE).first()
+    assert got.text.split("\n") == [*lines[:8], "", "]", swap(words[0], 1, 5), swap(words[3], 1, 9, 20)] and got.n_removed == 8
+
+
 def test_substring_dedup(docs, empty):
     seen, want = set(), {}
     for doc_id, text in keyed_texts():
