@@ -1,7 +1,7 @@
 """Exact n-gram Jaccard join with set-relation skipping, and the groups of documents it links.
 
-A document's set is its distinct runs of ``SHINGLE`` words (A-Z lowered); two documents link when their sets' Jaccard
-similarity is at least ``PERCENT`` / 100.  Equal sets are one set first.  Each set lists a prefix of its shingles in a
+A document's set is its distinct runs of ``shingle`` words (A-Z lowered); two documents link when their sets' Jaccard
+similarity is at least ``percent`` / 100 (op9: ``SHINGLE`` and ``PERCENT``).  Equal sets are one set first.  Each set lists a prefix of its shingles in a
 global order; two sets that link share a shingle of their prefixes.
 
 * Lists of sets by shingle are sorted by set size and skipped block by block: by size, and by position, where a
@@ -27,6 +27,7 @@ columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -50,19 +51,19 @@ def shingles(text: bytes | None, hashes: WordHashes, n: int = SHINGLE) -> np.nda
     return np.unique(grams(words, min(n, len(words)))) if len(words) else words
 
 
-def least_shared(a, b):
+def least_shared(a, b, percent: int = PERCENT):
     """Fewest common shingles of linked sets of ``a`` and ``b`` shingles."""
-    return -(-PERCENT * (a + b) // (100 + PERCENT))
+    return -(-percent * (a + b) // (100 + percent))
 
 
-def probe_prefix(n):
+def probe_prefix(n, percent: int = PERCENT):
     """Prefix that must meet the prefix of any linked set."""
-    return n - -(-PERCENT * n // 100) + 1
+    return n - -(-percent * n // 100) + 1
 
 
-def index_prefix(n):
+def index_prefix(n, percent: int = PERCENT):
     """Prefix that must meet the probe prefix of any linked set that is no smaller."""
-    return n - least_shared(n, n) + 1
+    return n - least_shared(n, n, percent) + 1
 
 
 def bit_map(own: np.ndarray) -> bytes:
@@ -76,19 +77,19 @@ def folded(bits: bytes) -> np.ndarray:
     return np.stack([np.bitwise_xor.reduce(words[k::FOLDS]) for k in range(FOLDS)])
 
 
-def may_link(n: np.ndarray, differ: np.ndarray) -> np.ndarray:
+def may_link(n: np.ndarray, differ: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """Whether sets of ``n`` shingles together, d of them in one only, may link: they share (n - d) / 2, and d is at least ``differ``."""
-    return n - differ >= 2 * least_shared(n, 0)
+    return n - differ >= 2 * least_shared(n, 0, percent)
 
 
-def hot_shingles(docs: DataFrame) -> np.ndarray:
+def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
     """Shingles of at least ``HOT_SHARE`` of a bounded sample of documents, sorted; at most ``HOT_MOST``."""
     every = max(1, docs.count() // SAMPLE_DOCS)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
         for batch in sliced(it, 4000):
-            sets = [shingles(t, hashes) for t in raw(batch["text"])]
+            sets = [shingles(t, hashes, shingle) for t in raw(batch["text"])]
             token, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"token": token.astype(np.int64), "n": n.astype(np.int64)})
 
@@ -98,7 +99,7 @@ def hot_shingles(docs: DataFrame) -> np.ndarray:
     return np.sort(top.toArrow()["token"].to_numpy().astype(np.uint64))
 
 
-def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
+def describe_sets(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int) -> DataFrame:
     """``id, f1, f2, n, bits, folds, prefix``: fingerprint, size, bit map, folded map and probe prefix of every document's set."""
     held = docs.sparkSession.sparkContext.broadcast(hot)
 
@@ -107,7 +108,7 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         for batch in sliced(it):
             f1, f2, n, bits, folds, prefix = [], [], [], [], [], []
             for text in raw(batch["text"]):
-                own = shingles(text, hashes)
+                own = shingles(text, hashes, shingle)
                 high, low = divmod(xxhash.xxh3_128_intdigest(own.tobytes()), 1 << 64)
                 f1.append(high - (1 << 63))
                 f2.append(low - (1 << 63))
@@ -119,7 +120,7 @@ def describe_sets(docs: DataFrame, hot: np.ndarray) -> DataFrame:
                         at = np.minimum(np.searchsorted(last, own), len(last) - 1)
                         late = last[at] == own
                         own = np.concatenate([own[~late], own[late]])
-                    own = own[: probe_prefix(len(own))]
+                    own = own[: probe_prefix(len(own), percent)]
                 prefix.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
@@ -170,15 +171,15 @@ def pair_batches(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([h[k] for h in held])) for k in range(4)], ["a", "a1", "b", "b1"])
 
 
-def leader_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def leader_pairs(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Each set of a list with the list's leader: the smallest set that its size may link with it."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
         for n, ids, f1 in runs_of(it, ["token", "n", "id", "f1"]):
             lead = np.zeros(len(n), np.int64)
             at = 0
-            while True:  # one step for each leader; sizes grow by 100 / PERCENT from one to the next
-                nxt = int(np.searchsorted(PERCENT * n, 100 * n[at], "right"))
+            while True:  # one step for each leader; sizes grow by 100 / percent from one to the next
+                nxt = int(np.searchsorted(percent * n, 100 * n[at], "right"))
                 lead[at:nxt] = at
                 if nxt >= len(n):
                     break
@@ -190,7 +191,7 @@ def leader_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pair_batches(found())
 
 
-def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def skipping_pairs(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs of a list whose sizes, positions and folded maps allow a link and whose groups differ."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
@@ -198,22 +199,22 @@ def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if (group == group[0]).all():
                 continue
             left = n - pos  # shingles from here on, this one included
-            first = np.searchsorted(100 * n, PERCENT * n, "left")  # the smallest set that x may link with
-            indexed = np.flatnonzero(pos < index_prefix(n))
+            first = np.searchsorted(100 * n, percent * n, "left")  # the smallest set that x may link with
+            indexed = np.flatnonzero(pos < index_prefix(n, percent))
             for k in range(0, len(indexed), BLOCK):  # blocks of the index list, sorted by size
                 block = indexed[k : k + BLOCK]
                 most, low = int(left[block].max()), int(block[0])
                 # sets x that come after the block's first and reach it by size; skipped where no set of the block has enough left
                 stop = int(np.searchsorted(first, block[-1], "right"))
                 x = np.arange(low + 1, stop)
-                x = x[np.minimum(left[x], most) >= least_shared(n[x], n[block[0]])]
+                x = x[np.minimum(left[x], most) >= least_shared(n[x], n[block[0]], percent)]
                 for part in np.array_split(x, max(1, len(x) // BLOCK)):
                     y = block[:, None]
                     ok = (y < part) & (y >= first[part]) & (group[y] != group[part])
-                    ok &= np.minimum(left[y], left[part]) >= least_shared(n[y], n[part])
+                    ok &= np.minimum(left[y], left[part]) >= least_shared(n[y], n[part], percent)
                     i, j = np.nonzero(ok)
                     i, j = block[i], part[j]
-                    may = may_link(n[i] + n[j], sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in folds))
+                    may = may_link(n[i] + n[j], sum(np.bitwise_count((f[i] ^ f[j]).view(np.uint64)).astype(np.int64) for f in folds), percent)
                     i, j = i[may], j[may]
                     if len(i):
                         yield ids[i], f1[i], ids[j], f1[j]
@@ -221,26 +222,26 @@ def skipping_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield from pair_batches(found())
 
 
-def by_bit_map(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def by_bit_map(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs that may link by their whole maps."""
     for batch in it:
         x, y = (np.frombuffer(b"".join(batch[c].to_pylist()), np.uint64).reshape(len(batch), BITS // 64) for c in ("bits_a", "bits_b"))
         n = batch["n_a"].to_numpy() + batch["n_b"].to_numpy()
-        may = may_link(n, np.bitwise_count(x ^ y).sum(1).astype(np.int64))
+        may = may_link(n, np.bitwise_count(x ^ y).sum(1).astype(np.int64), percent)
         yield batch.select(["a", "a1", "b", "b1"]).filter(pa.array(may))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
+def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, percent: int) -> DataFrame:
     """``a, b`` of the pairs whose whole sets link."""
     side = lambda c: sets.select(F.col("id").alias(c), F.col("f1").alias(f"{c}1"), F.col("n").alias(f"n_{c}"), F.col("bits").alias(f"bits_{c}"))
     held = pairs.distinct().join(side("a"), ["a", "a1"]).join(side("b"), ["b", "b1"]).select("a", "a1", "b", "b1", "n_a", "n_b", "bits_a", "bits_b")
-    pairs = stored(held.mapInArrow(by_bit_map, PAIRS).distinct(), "set-pairs")
+    pairs = stored(held.mapInArrow(partial(by_bit_map, percent=percent), PAIRS).distinct(), "set-pairs")
     needed = stored(pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct(), "set-ids")
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(lower=True)
         for batch in sliced(it):
-            sets = [shingles(t, hashes) for t in raw(batch["text"])]
+            sets = [shingles(t, hashes, shingle) for t in raw(batch["text"])]
             f1 = [(xxhash.xxh3_128_intdigest(s.tobytes()) >> 64) - (1 << 63) for s in sets]
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(f1, pa.int64()), pa.array([s.astype(np.int64) for s in sets], pa.list_(pa.int64()))], ["id", "f1", "items"]
@@ -252,7 +253,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             x, y = batch["items_a"], batch["items_b"]
             for i in range(len(batch)):
                 p, q = x[i].values.to_numpy(), y[i].values.to_numpy()
-                near.append(len(np.intersect1d(p, q, assume_unique=True)) >= least_shared(len(p), len(q)))
+                near.append(len(np.intersect1d(p, q, assume_unique=True)) >= least_shared(len(p), len(q), percent))
             yield batch.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     sets = stored(docs.join(small(needed), "id").select("id", "text").mapInArrow(read, "id long, f1 long, items array<long>").dropDuplicates(["id", "f1"]), "sets")
@@ -262,10 +263,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.mapInArrow(link, "a long, b long")
 
 
-def linked_groups(docs: DataFrame) -> DataFrame:
+def linked_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``: size of each document's set and the smallest id of its group."""
     rows = columns_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    sets = stored(describe_sets(rows, hot_shingles(rows)), "set-prefixes")
+    sets = stored(describe_sets(rows, hot_shingles(rows, shingle), shingle, percent), "set-prefixes")
     some = sets.where("n > 0")
     first = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
     light = some.select("id", "f1", "f2", "n", F.slice("prefix", 1, LEADING).alias("prefix"))
@@ -274,13 +275,13 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     lists = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
 
     leading = once(light).select(F.explode("prefix").alias("token"), "n", "id", "f1")
-    near = stored(verified(lists(leading, "n", "id").mapInArrow(leader_pairs, PAIRS), rows, maps), "leader-links")
+    near = stored(verified(lists(leading, "n", "id").mapInArrow(partial(leader_pairs, percent=percent), PAIRS), rows, maps, shingle, percent), "leader-links")
     group = components(once(light).select("id").distinct(), near)
 
     full = once(some, "folds").join(group.select("id", F.col("component").alias("grp")).distinct(), "id")
     folds = [F.col("folds")[k].alias(f"fold{k}") for k in range(FOLDS)]
     entries = full.select(F.posexplode("prefix").alias("pos", "token"), "n", "id", "f1", "grp", *folds)
-    far = verified(lists(entries, "n", "id").mapInArrow(skipping_pairs, PAIRS), rows, maps)
+    far = verified(lists(entries, "n", "id").mapInArrow(partial(skipping_pairs, percent=percent), PAIRS), rows, maps, shingle, percent)
 
     same = some.join(first, ["f1", "f2"]).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     twice = same.groupBy("a").agg(F.min("b").alias("b"), F.max("b").alias("c")).where("b <> c")  # one id, several sets
@@ -293,11 +294,11 @@ def linked_groups(docs: DataFrame) -> DataFrame:
     )
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """The rows of ``docs`` of each group's smallest doc_id; of rows that repeat a doc_id, one (least checksum of the text)."""
     own = F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID))
     mark = F.xxhash64(docs["`text`"].cast("string"))
-    groups = linked_groups(docs).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__copy_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("first_id"))
+    groups = linked_groups(docs, shingle, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__copy_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("first_id"))
     copies = stored(groups.where("__copy_id <> first_id").select("__copy_id").distinct(), "copies")
     left = docs.join(small(copies), own == F.col("__copy_id"), "left_anti")
     ids = docs.select(own.alias("__own_id"), mark.alias("__own_mark")).groupBy("__own_id").agg(F.count(F.lit(1)).alias("rows"), F.min("__own_mark").alias("__own_mark"))

@@ -194,6 +194,19 @@ def test_maps_never_put_aside_a_link():
                 assert jaccard_join.may_link(np.array([len(own) + len(other)]), np.array([differ]))[0]
 
 
+def test_near_copies_of_the_pipeline(spark):
+    import corpus_pipeline
+
+    text = " ".join(prose(290, 40).split())
+    words = text.split(" ")
+    copy = " ".join("changed" if i in (40, 100, 160, 210, 250, 280) else w for i, w in enumerate(words))
+    frame = spark.createDataFrame([(1, text), (2, copy), (3, prose(300, 41))], "doc_id long, text string")
+    five = [{tuple(t.split(" ")[k : k + 5]) for k in range(286)} for t in (text, copy)]
+    assert 80 * len(five[0] | five[1]) <= 100 * len(five[0] & five[1]) < 85 * len(five[0] | five[1])
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, frame, "").collect()) == [1, 3]
+    assert {r.doc_id: r.component_id for r in jaccard_join.linked_groups(frame, 5, 82).collect()} == {1: 1, 2: 2, 3: 3}
+
+
 def test_keep_one(docs):
     kept = jaccard_join.keep_one(docs)
     assert kept.columns == docs.columns
