@@ -54,6 +54,12 @@ def keyed(docs: DataFrame) -> DataFrame:
     return docs.select(doc_id.alias("id"), F.xxhash64(text).bitwiseAND(0x7FFFFFFF).cast("int").alias("mark"), text.alias("text"))
 
 
+def row_key(docs: DataFrame) -> Column:
+    """Hash of a row's doc_id and text."""
+    text = F.coalesce(docs["`text`"].cast("string"), F.lit(""))
+    return F.xxhash64(F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID)), text)
+
+
 def doc_id_of(name: str) -> Column:
     """The document's id again, null where it was null."""
     return F.when(F.col(name) != NO_ID, F.col(name)).alias("doc_id")

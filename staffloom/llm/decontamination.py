@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, columns_of, grams, raw, sliced, stored
+from staffloom.llm.common import WordHashes, columns_of, grams, raw, row_key, sliced, stored
 
 SEED = 4
 MATCH, OTHER, GAP = 2, -1, -1
@@ -179,7 +179,10 @@ def contaminated(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD
     )
 
 
-def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` that hold no test item; rows without a doc_id are judged together."""
-    hit = stored(contaminated(docs, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
-    return docs.join(hit, docs["`doc_id`"].cast("long").eqNullSafe(hit["bad_id"]), "left_anti")
+def keep_clean(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, by_text: bool = False) -> DataFrame:
+    """The rows of ``docs`` that hold no test item; rows that share a doc_id, or have none, are judged together, or each
+    by its own text if ``by_text``."""
+    own = row_key(docs) if by_text else docs["`doc_id`"].cast("long")
+    judged = docs.select(own.alias("doc_id"), docs["`text`"].alias("text"))
+    hit = stored(contaminated(judged, items, threshold).select(F.col("doc_id").alias("bad_id")).distinct(), "contaminated")
+    return docs.join(hit, own.eqNullSafe(hit["bad_id"]), "left_anti")

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, raw, sliced, small, stored
+from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, raw, row_key, sliced, small, stored
 
 SHINGLE, PERCENT = 4, 85
 SAMPLE_DOCS, HOT_SHARE, HOT_MOST = 20_000, 0.001, 50_000
@@ -295,16 +295,25 @@ def linked_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCEN
 
 
 def keep_one(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """The rows of ``docs`` of each group's smallest doc_id; of rows that repeat a doc_id, one (least checksum of the text)."""
+    """The rows of ``docs`` but for copies: of each group of texts the row of the smallest doc_id (null first) stays.
+
+    A row is told by its doc_id and its text, so rows that share a doc_id, or have none, go only if their own text is a
+    copy.  Of rows that repeat both, one stays; texts without a word are no copies and all stay.
+    """
+    node = row_key(docs)
+    mark = F.xxhash64(F.coalesce(docs["`text`"].cast("string"), F.lit("")))
     own = F.coalesce(docs["`doc_id`"].cast("long"), F.lit(NO_ID))
-    mark = F.xxhash64(docs["`text`"].cast("string"))
-    groups = linked_groups(docs, shingle, percent).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("__copy_id"), F.coalesce("component_id", F.lit(NO_ID)).alias("first_id"))
-    copies = stored(groups.where("__copy_id <> first_id").select("__copy_id").distinct(), "copies")
-    left = docs.join(small(copies), own == F.col("__copy_id"), "left_anti")
-    ids = docs.select(own.alias("__own_id"), mark.alias("__own_mark")).groupBy("__own_id").agg(F.count(F.lit(1)).alias("rows"), F.min("__own_mark").alias("__own_mark"))
-    repeated = stored(ids.where("rows > 1").select("__own_id", "__own_mark"), "repeated-ids")
+    nodes = docs.select(node.alias("doc_id"), docs["`text`"].cast("string").alias("text"))
+    groups = stored(linked_groups(nodes, shingle, percent).where("n_shingles > 0").groupBy("doc_id").agg(F.min("component_id").alias("grp"), F.count(F.lit(1)).alias("rows")), "copy-groups")
+    several = groups.groupBy("grp").agg(F.min("doc_id").alias("one"), F.max("doc_id").alias("other")).where("one <> other").select("grp")
+    member = groups.join(several, "grp").join(docs.select(node.alias("doc_id"), own.alias("own"), mark.alias("mark")).distinct(), "doc_id")
+    member = stored(member.select("grp", F.struct("own", "mark", "doc_id").alias("at")), "copy-members")
+    first = member.groupBy("grp").agg(F.min("at").alias("first"))
+    copies = stored(member.join(first, "grp").where("at <> first").select(F.col("at.doc_id").alias("__copy")).distinct(), "copies")
+    left = docs.join(small(copies), node == F.col("__copy"), "left_anti")
+    repeated = stored(groups.where("rows > 1").select(F.col("doc_id").alias("__repeated")), "repeated-rows")
     if repeated.isEmpty():
         return left
-    once = left.join(small(repeated.select("__own_id")), own == F.col("__own_id"), "left_anti")
-    again = left.join(small(repeated), (own == F.col("__own_id")) & (mark == F.col("__own_mark"))).dropDuplicates(["__own_id", "__own_mark"])
+    once = left.join(small(repeated), node == F.col("__repeated"), "left_anti")
+    again = left.join(small(repeated), node == F.col("__repeated")).dropDuplicates(["__repeated"])
     return once.union(again.select(*(docs[f"`{c}`"] for c in docs.columns)))

@@ -214,6 +214,20 @@ def test_keep_one(docs):
     assert len(ids) == len(set(ids)) and {0, 1, 2, 3, 4, 8} <= set(ids) and 5 not in ids and None in ids and 6 not in ids
 
 
+def test_stages_judge_rows_by_their_own_text(spark):
+    import corpus_pipeline
+
+    a, b, item = prose(90, 60), prose(90, 61), prose(40, 920)
+    rows = [(None, a), (None, b), (None, prose(90, 62)), (1, a), (2, b), (3, prose(90, 63)), (3, prose(90, 64)), (3, prose(90, 64)), (None, ""), (None, None)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.drop_near_copies(spark, frame, "").collect()
+    assert collections.Counter(map(tuple, kept)) == collections.Counter([*rows[:3], *rows[5:7], *rows[8:]])
+    held = frame.union(spark.createDataFrame([(None, b + " " + item), (3, item)], frame.schema))
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    clean = decontamination.keep_clean(held, items, by_text=True).collect()
+    assert collections.Counter(map(tuple, clean)) == collections.Counter(rows)
+
+
 def test_toxicity(spark, empty):
     r = random.Random(2)
     rows, labels = [], []
