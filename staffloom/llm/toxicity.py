@@ -5,11 +5,12 @@ Each class has an interpolated Kneser-Ney model: discounted bigram counts, then
 continuation counts, then continuation counts shared by both classes, so that an expression too rare to judge
 costs both classes about the same.  A text is compared by its log-likelihood ratio per word, over the whole text,
 over its most telling word and over its three most telling words (toxic passages are short, texts may be long);
-a logistic curve fitted on labelled texts that were not counted turns these into a value from 0 to 1.
+a logistic curve turns these into a value from 0 to 1.  It is fitted with a first model on labelled texts (at most
+``curve_rows``, a fifth of the rows or less) that this model has not counted; then the final model counts these too.
 
-Counts cover every labelled row that may be learnt from and are made by Spark.  What is sent to the executors has
-a fixed size whatever the input: words and bigrams are hashed into tables of 2**20 and 2**21 places.  The curve is
-fitted on at most ``curve_rows`` labelled texts, chosen by hash.
+Counts cover every labelled row that may be learnt from and are made by Spark, once for the rows of either part.  What is sent to the executors has
+a fixed size whatever the input: words and bigrams are hashed into tables of 2**20 and 2**21 places.  The texts
+of the curve are chosen by hash.
 
 Defined results: a null or empty text has no words and gets the curve's value for that; repeated rows are scored
 each; null labels, labels without a document and rows without a doc_id teach nothing (a doc_id labelled twice is
@@ -145,13 +146,14 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
     )
 
 
-def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Model:
-    """Count both class models with Spark, then fit the curve on texts that were not counted."""
-    rows = learnable(docs, labels)
-    counts = (
-        rows.where("part <> 1").select("text", "toxic").mapInArrow(count_pairs, "pair long, toxic long, plain long")
-        .groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    )
+def count(rows: DataFrame) -> DataFrame:
+    """``pair, toxic, plain``: bigram counts of labelled texts by class."""
+    pairs = rows.select("text", "toxic").mapInArrow(count_pairs, "pair long, toxic long, plain long")
+    return pairs.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+
+
+def tables(counts: DataFrame) -> pa.Table:
+    """The rows of :class:`Model`."""
     t, p, one, none = F.col("toxic"), F.col("plain"), F.lit(1).cast("long"), F.lit(0).cast("long")
 
     def entry(kind, at, toxic, plain, shared=none, toxic_reserved=none, plain_reserved=none):
@@ -166,9 +168,14 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
         entry(2, F.col("pair").bitwiseAND(F.lit((1 << WORD_BITS) - 1).cast("long")), (t > 0).cast("long"), (p > 0).cast("long"), one),
     )
     sums = [F.sum(f"e.{c}").cast("int").alias(c) for c in ("toxic", "plain", "shared", "toxic_reserved", "plain_reserved")]
-    table = counts.select(F.explode(entries).alias("e")).where("e is not null").groupBy("e.kind", "e.place").agg(*sums).toArrow()
-    model = Model(table)
-    del table
+    return counts.select(F.explode(entries).alias("e")).where("e is not null").groupBy("e.kind", "e.place").agg(*sums).toArrow()
+
+
+def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Model:
+    """Count both class models with Spark, fit the curve on texts that were not counted, then count these too."""
+    rows = learnable(docs, labels)
+    first_counts = stored(count(rows.where("part <> 1")), "toxic-counts")
+    model = Model(tables(first_counts))
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +193,10 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     x = np.asarray(curve["x"].to_pylist()).reshape(-1, FEATURES)
     model.fit_curve(x, np.asarray(curve["toxic"].to_pylist(), float))
     held.unpersist()
-    return model
+    both = first_counts.union(count(rows.where("part = 1"))).groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    final = Model(tables(both))
+    final.curve = model.curve
+    return final
 
 
 def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:

@@ -248,6 +248,16 @@ def test_toxicity(spark, empty):
     assert max(x.score for x in one_kind) < 0.5
 
 
+def test_toxicity_counts_the_rows_of_the_curve(spark):
+    part = lambda i: zlib.crc32(str(i).encode()) % 5
+    ids = [i for i in range(400) if part(i)]
+    rows = [(i, prose(20, i) + (" zork blat zork blat" if part(i) == 1 else " grim nasty grim nasty") * (i % 2)) for i in ids]
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    known = model.features(toxicity.Reader()([b"zork blat zork blat", b"grim nasty grim nasty"]))[:, 0]
+    assert known[0] > 1 and known[1] > 1
+
+
 def test_quality_counts_and_chain(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, quality.fit(docs, labels)).collect()
