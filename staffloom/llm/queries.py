@@ -7,7 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from staffloom.llm import chat, decontamination, jaccard_join, licenses, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
+from staffloom.llm import (
+    chat,
+    decontamination,
+    jaccard_join,
+    licenses,
+    line_dedup,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    substring_dedup,
+    toxicity,
+)
 from staffloom.llm.common import columns_of, held_out
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -99,3 +111,8 @@ def op1(spark: SparkSession, folder: str) -> DataFrame:
 @query("op9_jaccard_join")
 def op9(spark: SparkSession, folder: str) -> DataFrame:
     return jaccard_join.linked_groups(table(spark, folder, "documents"))
+
+
+@query("op13_simhash")
+def op13(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.linked_groups(table(spark, folder, "documents"))
