@@ -13,6 +13,7 @@ from staffloom.llm import (
     jaccard_join,
     licenses,
     line_dedup,
+    merkle,
     packing,
     quality,
     secret_scan,
@@ -21,6 +22,7 @@ from staffloom.llm import (
     toxicity,
 )
 from staffloom.llm.common import columns_of, held_out
+from staffloom.llm.sql import MERKLE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -116,3 +118,15 @@ def op9(spark: SparkSession, folder: str) -> DataFrame:
 @query("op13_simhash")
 def op13(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.linked_groups(table(spark, folder, "documents"))
+
+
+@query("op11_merkle_manifest", MERKLE)
+def op11(spark: SparkSession, folder: str) -> DataFrame:
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    out = merkle.manifest(table(spark, folder, "documents"), tampered)
+    hexed = merkle.digest
+    siblings = F.array_join(F.transform("siblings", lambda h: F.lower(F.hex(h))), "")
+    return out.select(
+        "doc_id", hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"),
+        F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+    )
