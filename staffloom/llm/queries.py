@@ -16,13 +16,14 @@ from staffloom.llm import (
     merkle,
     packing,
     quality,
+    repair,
     secret_scan,
     simhash,
     substring_dedup,
     toxicity,
 )
 from staffloom.llm.common import columns_of, held_out
-from staffloom.llm.sql import MERKLE
+from staffloom.llm.sql import MERKLE, REPAIR
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -130,3 +131,8 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
         "doc_id", hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"),
         F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
+
+
+@query("op12_conversation_repair", REPAIR)
+def op12(spark: SparkSession, folder: str) -> DataFrame:
+    return repair.summary(repair.repair(repair.damaged(table(spark, folder, "conversations"))))

@@ -56,3 +56,70 @@ SELECT c.doc_id, c.leaf, c.subroot, r.hash AS root, sha256(c.proof) AS proof_sha
 FROM outer_climb c, (SELECT hash FROM upper_levels WHERE n = 1) r
 WHERE c.n = 1
 """
+
+
+def _with(state: str, edit: str, cost: str, turn: str | None) -> str:
+    said = f"list_append({state}.said, {turn})" if turn else f"{state}.said"
+    return f"{{'cost': {state}.cost + {cost}, 'audit': {state}.audit || '{edit}', 'said': {said}}}"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _inserted(source: str, more: str = "") -> str:
+    """States after any inserted turns: a user turn after any state but itself, an assistant turn after a user turn."""
+    ways = (_with(x, "I", "5", "'user:'") for x in "esa")
+    user = f"SELECT {more} e, s, {_least('u', *ways)} AS u, a FROM {source}"
+    return f"SELECT {more} e, s, u, {_least('a', _with('u', 'I', '5', "'assistant:'"))} AS a FROM ({user})"
+
+
+def _row_step() -> str:
+    stays, late = "fault IS NULL OR fault = 'truncated'", "CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END"
+    when = lambda test, way: f"CASE WHEN ({stays}){test} THEN {way} END"
+    keep = lambda x, initial: when(f" AND role[1] = '{initial}'", _with(x, "K", late, "role || ':' || text"))
+    rerole = lambda x, to: when("", _with(x, "R", f"1 + {late}", f"'{to}:' || text"))
+    gone = lambda x: _with(x, "D", "2", None)
+    user = [way for x in "esa" for way in (keep(x, "u"), rerole(x, "user"))]
+    return (
+        f"{gone('e')} AS e, {_least(gone('s'), keep('e', 's'))} AS s, {_least(gone('u'), *user)} AS u, "
+        f"{_least(gone('a'), keep('u', 'a'), rerole('u', 'assistant'))} AS a"
+    )
+
+
+_NONE = "{'cost': 1000000000, 'audit': '', 'said': []::VARCHAR[]}"
+
+#: Row by row with the best way into each of four states; ways compare by price, then by their strings of edits.
+REPAIR = f"""
+WITH RECURSIVE
+damage AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {crc32_sql("(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '))")} % 20 AS kind
+  FROM conversations),
+kept AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, t.k
+  FROM damage, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS t(k)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, k) AS i FROM kept),
+judged AS (
+  SELECT conv_id, turn, role, text, i,
+    coalesce(lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) NOT IN ('su', 'ua', 'au'), false) AS illegal,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right(rtrim(text, concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13))), 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault
+  FROM numbered),
+told AS (
+  SELECT c.conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal, count(i) AS n
+  FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN judged j ON j.conv_id IS NOT DISTINCT FROM c.conv_id
+  GROUP BY c.conv_id),
+search AS (
+  SELECT conv_id, 0 AS taken, {{'cost': 0, 'audit': '', 'said': []::VARCHAR[]}} AS e, {_NONE} AS s, {_NONE} AS u, {_NONE} AS a FROM told
+  UNION ALL
+  SELECT x.conv_id, x.taken + 1, {_row_step()}
+  FROM ({_inserted("search", "conv_id, taken,")}) x JOIN judged j ON j.conv_id IS NOT DISTINCT FROM x.conv_id AND j.i = x.taken + 1)
+SELECT conv_id, gaps::BIGINT AS gaps, blank, duplicate, truncated, illegal, best.cost::BIGINT AS cost, best.audit AS audit,
+  sha256(array_to_string(best.said, chr(10))) AS repaired_sha256, len(best.said)::BIGINT AS n_turns
+FROM (SELECT t.*, {_least("f.e", "f.a")} AS best
+  FROM told t JOIN ({_inserted("search", "conv_id, taken,")}) f ON f.conv_id IS NOT DISTINCT FROM t.conv_id AND f.taken = t.n)
+"""
