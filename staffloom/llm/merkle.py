@@ -31,10 +31,9 @@ from pyspark.sql import functions as F
 
 from staffloom.llm.common import columns_of, small, stored
 
-STRIDE = 5
-BLOCK = 2 * STRIDE
+STRIDE = BLOCK = 10
 HELD = 4096
-#: Linked nodes are sent to every task while they are no more; a row has ``STRIDE`` digests at most, so 30 MB.
+#: Linked nodes are sent to every task while they are no more; a row has ``STRIDE`` digests at most, so 50 MB.
 BROADCAST_NODES = 100_000
 TOP = -1  # the tree of subroots
 NODE, ON, ROOT = 0, 1, 2  # a linked node; a block's top that goes on to the next round; the top of a tree
@@ -154,7 +153,7 @@ def built(nodes: DataFrame, most: int, top: bool) -> list[DataFrame]:
 
 FOLD = """aggregate(n.steps, {start}, (own, s) -> unhex(sha2(CASE
     WHEN s.side = 1 THEN concat(lower(hex(s.hash)), lower(hex(own))) ELSE concat(lower(hex(own)), coalesce(lower(hex(s.hash)), '')) END, 256)))"""
-PASSED = "transform(filter(n.steps, s -> s.hash IS NOT NULL), s -> s.hash)"
+PASSED = "aggregate(n.steps, cast('' AS binary), (own, s) -> concat(own, coalesce(s.hash, cast('' AS binary))))"
 CLIMB = f"""
 WITH RECURSIVE climb(doc_id, leaf, own_place, at_tree, at_level, at_place, at_copy, fold, siblings, subroot, root) AS (
   SELECT n.doc_id, n.hash, n.place, n.up_tree, n.up_level, n.up_place, pmod(n.place, n.up_copies),
@@ -173,6 +172,8 @@ SELECT doc_id, leaf, subroot, root, siblings, fold AS folded FROM climb WHERE at
 def climb(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
     """``doc_id, leaf, subroot, root, siblings, folded`` of every leaf, as one recursive query, written.
 
+    ``siblings`` is their digests, one after another: an array of them would cost a quarter more on every step.
+
     The session's limit on rows of a recursive query is lifted while this one runs: it has a row a leaf and link.
     """
     spark = leaf_rows.sparkSession
@@ -188,7 +189,7 @@ def climb(leaf_rows: DataFrame, nodes: DataFrame) -> DataFrame:
 
 
 def manifest(docs: DataFrame, tampered: Column | None = None) -> DataFrame:
-    """Every row's proof: ``doc_id, leaf, subroot, root, siblings, folded`` (binary digests)."""
+    """Every row's proof: ``doc_id, leaf, subroot, root, siblings, folded`` (binary digests, those of the siblings joined)."""
     each, groups = placed(leaves(docs, tampered), ["lang"], ["doc_id", "leaf"])
     facts = groups.agg(F.max("n").alias("most"), F.count(F.lit(1)).alias("trees")).first()
     rows = each.select("tree", "n", "place", F.col("leaf").alias("hash"), F.lit(1).cast("long").alias("below"), "doc_id", "changed")

@@ -126,10 +126,9 @@ def op11(spark: SparkSession, folder: str) -> DataFrame:
     tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
     out = merkle.manifest(table(spark, folder, "documents"), tampered)
     hexed = merkle.digest
-    siblings = F.array_join(F.transform("siblings", lambda h: F.lower(F.hex(h))), "")
     return out.select(
         "doc_id", hexed("leaf").alias("leaf"), hexed("subroot").alias("subroot"), hexed("root").alias("root"),
-        F.sha2(siblings.cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
+        F.sha2(hexed("siblings").cast("binary"), 256).alias("proof_sha256"), hexed("folded").alias("folded_root"), (F.col("folded") == F.col("root")).alias("verified"),
     )
 
 

@@ -58,7 +58,7 @@ def result(docs):
     assert out.columns == ["doc_id", "leaf", "subroot", "root", "siblings", "folded"]
     rows = []
     for r in out.collect():
-        proof = h("".join(s.hex() for s in r["siblings"]))
+        proof = h(r["siblings"].hex())
         rows.append((r["doc_id"], r["leaf"].hex(), r["subroot"].hex(), r["root"].hex(), proof, r["folded"].hex(), r["folded"] == r["root"]))
     return sorted(rows, key=repr)
 
