@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from staffloom.functions.text import is_blank
-from staffloom.names import c
+from staffloom.names import c, q
 from staffloom.specs import RowFilter
 
 
@@ -23,11 +23,7 @@ def filter_not_blank(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 
 def drop_all_null_rows(df: DataFrame) -> DataFrame:
-    filled = F.coalesce(*[c(n).cast("string") for n in df.columns]).isNotNull().cast("int")
-    # A predicate over many columns must stay where it is: pushed below a projection,
-    # the optimiser spells it in all 2^n mixtures of names and expressions.  Only
-    # deterministic predicates are pushed, and the partition number is not one.
-    return df.filter(filled + F.spark_partition_id() * 0 > 0)
+    return df.na.drop("all", subset=[q(n) for n in df.columns])
 
 
 def split_by(df: DataFrame, predicate: Column) -> tuple[DataFrame, DataFrame]:

@@ -113,6 +113,31 @@ def range_rules(df: DataFrame, spec: TableSpec, severity: str) -> list[tuple[str
     return rules
 
 
+def row_rules(df: DataFrame, spec: TableSpec, severity: str = WARNING) -> list[tuple[str, str, str, Column]]:
+    """Rules over several columns.  One whose columns are absent, or not typed as it needs them, is skipped."""
+    kinds = {name: kind.partition("(")[0] for name, kind in df.dtypes}
+    return [
+        (rule.rule, rule.reported, severity, rule.broken())
+        for rule in spec.row_rules
+        if all(name in kinds and (not need or kinds[name] in need) for name, need in rule.columns.items())
+    ]
+
+
+def counted_rules(df: DataFrame, spec: TableSpec, list_severity: str = WARNING) -> list[tuple[str, str, str, Column]]:
+    """All rules of a spec that are a condition on one row."""
+    return [
+        *not_null_rules(df, spec),
+        *allowed_rules(df, spec, list_severity),
+        *range_rules(df, spec, list_severity),
+        *row_rules(df, spec),
+    ]
+
+
+def check_rows(df: DataFrame, spec: TableSpec, severity: str = WARNING) -> DataFrame:
+    """Rows that break each rule over several columns."""
+    return _count_rules(df, row_rules(df, spec, severity), spec.name)
+
+
 def check_not_null(df: DataFrame, spec: TableSpec) -> DataFrame:
     return _count_rules(df, not_null_rules(df, spec), spec.name)
 
@@ -163,12 +188,8 @@ def check_unique(df: DataFrame, keys: Sequence[str], source: str = "") -> DataFr
 
 
 def check_table(df: DataFrame, spec: TableSpec, list_severity: str = WARNING) -> DataFrame:
-    """All counted checks of a spec; null, list and range counts share one scan."""
-    rules = [
-        *not_null_rules(df, spec),
-        *allowed_rules(df, spec, list_severity),
-        *range_rules(df, spec, list_severity),
-    ]
+    """All counted checks of a spec; null, list, range and row-rule counts share one scan."""
+    rules = counted_rules(df, spec, list_severity)
     parts = [check_columns(df, spec), check_types(df, spec), _count_rules(df, rules, spec.name)]
     if spec.primary_key and any(k in df.columns for k in spec.primary_key):
         parts.append(check_unique(df, spec.primary_key, spec.name))

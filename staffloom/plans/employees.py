@@ -9,29 +9,39 @@ from pyspark.sql import Column, DataFrame, functions as F
 from staffloom.functions.dates import ddmmyyyy_to_iso, document_date_from_filename
 from staffloom.functions.flags import age_flag, contract_alert
 from staffloom.functions.service import service_text, service_years
-from staffloom.functions.text import is_blank, null_tokens
+from staffloom.functions.text import null_tokens
 from staffloom.names import c
 from staffloom.operators.aggregates import dedup_keep_first
 from staffloom.operators.casting import cast_spec
 from staffloom.operators.filters import split_by
 from staffloom.operators.projection import select_spec
-from staffloom.sources.sheets import crop_at_first_blank, promote_header
+from staffloom.sources.layouts import FIRST_BLANK, Sheets, discover, first_with_words
 from staffloom.specs import contracts, rules, tables
 
-DOCUMENT_DATE = "FECHA_DOCUMENTO"
+DOCUMENT, DOCUMENT_DATE = "NUMERO DE DOC", "FECHA_DOCUMENTO"
+
+
+def employee_sheets(rows: DataFrame) -> Sheets:
+    """The layouts of the employee sheets, whose data ends at the first blank document number.
+
+    The document's header is the first one with both words, in any case; a sheet without one is an error.
+    """
+    sheet = contracts.EMPLOYEES.sheets[0]
+    mine = rows.filter(F.col("sheet") == sheet.sheet)
+    key = first_with_words(*rules.DOCUMENT_WORDS)
+    return discover(mine, sheet.header_row, sheet.start_col, "first_blank", key, FIRST_BLANK).require_key(DOCUMENT)
 
 
 def employees_silver(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Sheet rows up to the first blank document number, as clean text.
+    """Sheet rows up to the first blank document number, as clean text: declared columns, then those of any other header.
 
-    ``extra`` names headers to keep besides those of the spec.
+    ``extra`` names headers that are columns even if no file has them.
     """
     contract = contracts.EMPLOYEES
-    sheet = contract.sheets[0]
+    sheets = employee_sheets(rows)
     wanted = [*[n for n in tables.EMPLOYEES.names if n != DOCUMENT_DATE], *extra]
-    mine = rows.filter(F.col("sheet") == sheet.sheet)
-    named = promote_header(mine, wanted, sheet.header_row, sheet.start_col, stop="first_blank")
-    data = crop_at_first_blank(named, is_blank(c("NUMERO DE DOC")))
+    wanted += sheets.undeclared(wanted, [DOCUMENT_DATE])
+    data = sheets.table(wanted, keyed=DOCUMENT)
     return data.select(
         "source_file",
         "row_idx",

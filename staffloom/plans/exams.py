@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from staffloom.functions.dates import month_name, month_of, parse_stamp_or_date, year_of
-from staffloom.functions.text import error_cells_to_null, fill_null, is_blank, strip, strip_dot_zero, whole_float_text
+from staffloom.functions.text import error_cells_to_null, fill_null, strip, strip_dot_zero, whole_float_text
 from staffloom.names import c
 from staffloom.operators.aggregates import first_value_by_priority
 from staffloom.operators.casting import cast_spec
@@ -15,20 +15,26 @@ from staffloom.operators.filters import apply_filters
 from staffloom.operators.joins import left_join, match_status
 from staffloom.operators.projection import insert_after, map_columns, select_spec, string_columns
 from staffloom.operators.sets import order_by, union_all
-from staffloom.sources.sheets import crop_at_first_blank, promote_header
+from staffloom.sources.layouts import FIRST_BLANK, Sheets, discover
 from staffloom.specs import contracts, tables
 
 
+def exam_sheets(rows: DataFrame) -> Sheets:
+    """The layouts of the exam sheets, whose data ends at the first blank first cell."""
+    sheet = contracts.EXIT_EXAMS.sheets[0]
+    mine = rows.filter(F.col("sheet") == sheet.sheet)
+    return discover(mine, sheet.header_row, sheet.start_col, "first_blank", key=0, cut=FIRST_BLANK)
+
+
 def exit_exams_silver(rows: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
-    """Sheet rows up to the first blank first cell; clean text without nulls, dates typed.
+    """Sheet rows up to the first blank first cell; clean text without nulls, dates typed: declared columns, then those of any other header.
 
     Dates are taken with or without a time of day.
     """
-    spec, sheet = tables.EXIT_EXAMS, contracts.EXIT_EXAMS.sheets[0]
+    spec, sheets = tables.EXIT_EXAMS, exam_sheets(rows)
     wanted = list(dict.fromkeys([*spec.source_names, *extra]))
-    mine = rows.filter(F.col("sheet") == sheet.sheet)
-    named = promote_header(mine, wanted, sheet.header_row, sheet.start_col, stop="first_blank", keep_cells=True)
-    data = crop_at_first_blank(named, is_blank(F.get(F.col("cells"), F.lit(0))))
+    wanted += sheets.undeclared(wanted, [n for n in spec.names if n not in wanted])
+    data = sheets.table(wanted)
     out = data.select(*[strip(whole_float_text(error_cells_to_null(c(n)))).alias(n) for n in wanted])
     out = map_columns(out, tables.EXIT_EXAM_DATES, parse_stamp_or_date)
     out = map_columns(out, ["DNI"], strip_dot_zero)

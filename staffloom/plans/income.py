@@ -13,7 +13,8 @@ from staffloom.names import c
 from staffloom.operators.casting import cast_spec
 from staffloom.operators.filters import drop_all_null_rows
 from staffloom.operators.projection import insert_after, map_columns, move_first, select_spec
-from staffloom.sources.sheets import crop_at_blank_row, promote_header
+from staffloom.operators.watch import Watch
+from staffloom.sources.layouts import BLANK_ROW, Sheets, discover
 from staffloom.specs import contracts, rules, tables
 
 # The gold tables need these columns beyond the usual headers of the two sheets.
@@ -21,11 +22,18 @@ EMPLOYEE_EXTRA = ("FECHA NACIMIENTO", "SERVICIO", "REGIMEN")
 INTERN_EXTRA = ("Jefe Directo", "Lugar de Trabajo", "Modalidad")
 
 
-def _sheet(rows: DataFrame, name: str, wanted: Sequence[str]) -> DataFrame:
+def income_sheets(rows: DataFrame, name: str) -> Sheets:
+    """The layouts of one of the two sheets, whose data ends at the first row that is blank under all headers."""
     sheet = contracts.INCOME.sheet(name)
     mine = rows.filter(F.col("sheet") == name)
-    named = promote_header(mine, wanted, sheet.header_row, sheet.start_col, stop="first_blank")
-    return crop_at_blank_row(named, wanted).select(*[c(n) for n in wanted])
+    return discover(mine, sheet.header_row, sheet.start_col, "first_blank", cut=BLANK_ROW)
+
+
+def _sheet(rows: DataFrame, name: str, wanted: Sequence[str]) -> DataFrame:
+    """Wanted columns, then those of any other header."""
+    sheets = income_sheets(rows, name)
+    wanted = [*wanted, *sheets.undeclared(wanted, ["PERIODO"])]
+    return sheets.table(wanted).select(*[c(n) for n in wanted])
 
 
 def cleaning_rules() -> dict[str, Column]:
@@ -46,12 +54,22 @@ def clean_income(df: DataFrame) -> DataFrame:
     return out
 
 
-def income_employees_silver(rows: DataFrame, extra: Sequence[str] = EMPLOYEE_EXTRA) -> DataFrame:
-    return clean_income(_sheet(rows, "EMPLEADOS", [*tables.INCOME_EMPLOYEE_HEADERS, *extra]))
+def _watched(raw: DataFrame, source: str, watch: Watch | None) -> DataFrame:
+    if watch is None:
+        return raw
+    mine = {name: cond for name, cond in cleaning_rules().items() if name in raw.columns}
+    return watch.changes(raw, source, mine)
+
+
+def income_employees_silver(rows: DataFrame, extra: Sequence[str] = EMPLOYEE_EXTRA, watch: Watch | None = None) -> DataFrame:
+    """``watch`` counts the rows that each cleaning rule touches."""
+    raw = _sheet(rows, "EMPLEADOS", [*tables.INCOME_EMPLOYEE_HEADERS, *extra])
+    return clean_income(_watched(raw, "income_employees rows", watch))
 
 
-def income_interns_silver(rows: DataFrame, extra: Sequence[str] = INTERN_EXTRA) -> DataFrame:
-    return clean_income(_sheet(rows, "PRACTICANTES", [*tables.INCOME_INTERN_HEADERS, *extra]))
+def income_interns_silver(rows: DataFrame, extra: Sequence[str] = INTERN_EXTRA, watch: Watch | None = None) -> DataFrame:
+    raw = _sheet(rows, "PRACTICANTES", [*tables.INCOME_INTERN_HEADERS, *extra])
+    return clean_income(_watched(raw, "income_interns rows", watch))
 
 
 def _gold(silver: DataFrame, spec) -> DataFrame:

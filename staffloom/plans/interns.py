@@ -9,23 +9,26 @@ from staffloom.functions.service import days_between, remaining_months, service_
 from staffloom.functions.text import float_text_to_text, strip
 from staffloom.names import c
 from staffloom.operators.sets import order_by
-from staffloom.sources.sheets import crop_after_blank_run, promote_header, select_by_header
+from staffloom.sources.layouts import BLANK_RUN, Sheets, discover
 from staffloom.specs import contracts, rules, tables
 
 _DATES = ("FECHA ING", "F. RENOVACION")
 
 
+def intern_sheets(rows: DataFrame) -> Sheets:
+    """The layouts of the intern sheets, whose data ends at the first long run of rows without a document."""
+    sheet = contracts.INTERNS.sheets[0]
+    mine = rows.filter(F.col("sheet") == sheet.sheet)
+    return discover(mine, sheet.header_row, sheet.start_col, key="DNI", cut=BLANK_RUN, run=rules.BLANK_RUN)
+
+
 def intern_control_silver(rows: DataFrame, check_headers: bool = True) -> DataFrame:
     """Sheet rows with a document, up to the first long run without one.
 
-    ``check_headers`` reads the header rows first and fails when a sheet lacks
-    a column; turn it off when preflight has done so.
+    ``check_headers`` makes a sheet that lacks a column an error.
     """
-    spec, sheet = tables.INTERN_CONTROL, contracts.INTERNS.sheets[0]
-    mine = rows.filter(F.col("sheet") == sheet.sheet)
-    pick = select_by_header if check_headers else promote_header
-    named = pick(mine, spec.names, sheet.header_row, sheet.start_col)
-    data = crop_after_blank_run(named, "DNI", rules.BLANK_RUN)
+    spec, sheets = tables.INTERN_CONTROL, intern_sheets(rows)
+    data = (sheets.require(spec.names) if check_headers else sheets).table(spec.names)
     return data.select(
         *[
             (parse_excel_date(c(n)) if n in _DATES else strip(float_text_to_text(c(n)))).alias(n)

@@ -10,7 +10,8 @@ from staffloom.functions.text import strip_dot_zero
 from staffloom.names import c
 from staffloom.operators.filters import filter_not_blank
 from staffloom.operators.quality import ERROR, check_table, require
-from staffloom.sources.sheets import promote_header, skip_blank_key
+from staffloom.sources.layouts import promote_header
+from staffloom.sources.sheets import skip_blank_key
 from staffloom.specs import contracts, tables
 
 

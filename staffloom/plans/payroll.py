@@ -16,28 +16,43 @@ from staffloom.operators.filters import filter_not_null
 from staffloom.operators.joins import left_join
 from staffloom.operators.projection import insert_after, map_columns, select_spec, string_columns
 from staffloom.operators.quality import WARNING
-from staffloom.sources.sheets import drop_non_data_rows, promote_header
+from staffloom.operators.watch import Watch
+from staffloom.sources.layouts import Sheets, discover
+from staffloom.sources.sheets import is_data_row
 from staffloom.specs import TableSpec, contracts, tables
 
 PERSON_PERIOD = ["DNI/CEX", "PERIODO"]
 _FROM_FILE = ("PERIODO", "AÑO", "MES")
 
 
-def payroll_silver(rows: DataFrame, spec: TableSpec = tables.PAYROLL, extra: Sequence[str] = ()) -> DataFrame:
-    """Monthly sheets under one set of columns, with the period of the file name.
+def not_earlier_output(rows: DataFrame) -> DataFrame:
+    """Rows of files that are a payroll source: no lock file, and no earlier consolidated output."""
+    for prefix in contracts.PAYROLL_EXCLUDED:
+        rows = rows.filter(~F.col("source_file").startswith(prefix))
+    return rows
 
-    Files without a period in their name are left out; ``skipped_files`` lists them.
-    """
+
+def payroll_sheets(rows: DataFrame, every: bool = False) -> Sheets:
+    """The layouts of the monthly sheets: of files with a period in their name, and not of an earlier output."""
     sheet = contracts.PAYROLL.sheets[0]
+    mine = not_earlier_output(rows).filter((F.col("sheet") == sheet.sheet) & period_from_filename(F.col("source_file")).isNotNull())
+    return discover(mine, sheet.header_row, sheet.start_col, "gap", every=every)
+
+
+def payroll_silver(
+    rows: DataFrame, spec: TableSpec = tables.PAYROLL, extra: Sequence[str] = (), watch: Watch | None = None
+) -> DataFrame:
+    """Monthly sheets under one set of columns, with the period of the file name: declared columns, then those of any other header.
+
+    Files without a period in their name are left out; ``skipped_files`` lists them.  ``watch`` counts the rows left out.
+    """
+    sheets = payroll_sheets(rows)
     wanted = [*[n for n in spec.names if n not in _FROM_FILE], *extra]
-    mine = rows.filter((F.col("sheet") == sheet.sheet) & period_from_filename(F.col("source_file")).isNotNull())
-    # the header lies above the data, so footers are dropped without touching it
-    body = drop_non_data_rows(mine.filter(F.col("row_idx") > sheet.header_row))
-    header = mine.filter(F.col("row_idx") == sheet.header_row)
-    data = promote_header(
-        header.unionByName(body), wanted, sheet.header_row, sheet.start_col,
-        stop="gap",
-    )
+    wanted += sheets.undeclared(wanted, _FROM_FILE)
+    data = sheets.table(wanted, keep_cells=True)
+    if watch:
+        data = watch.losses(data, f"{spec.name} rows", {"first cell": is_data_row(F.col("cells")), "DNI/CEX": c("DNI/CEX").isNotNull()})
+    data = data.filter(is_data_row(F.col("cells")))
     period = period_from_filename(F.col("source_file"))
     return filter_not_null(data, "DNI/CEX").select(
         period.alias("PERIODO"),

@@ -1,12 +1,17 @@
-"""Whole pipelines: bronze rows to written silver and gold tables."""
+"""Whole pipelines: landed rows to published silver and gold tables.
+
+Every run begins with the gate: the landed files are classified against their contract, and a run stops on problems.  Counts of
+the reports come with the writes; only the uniqueness of a key reads a table again.
+"""
 
 from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame
 
-from staffloom.operators.quality import check_table, check_types, check_unique, require
+from staffloom.operators.quality import check_unique, require
+from staffloom.operators.watch import Watch
 from staffloom.plans.employees import cost_centers, employee_flags, employees_silver, split_employees
 from staffloom.plans.exams import exit_exams_enriched, exit_exams_gold, exit_exams_silver
 from staffloom.plans.income import (
@@ -17,22 +22,34 @@ from staffloom.plans.income import (
 )
 from staffloom.plans.interns import intern_control_gold, intern_control_silver
 from staffloom.plans.leave import leave_silver, validated_leave
-from staffloom.plans.payroll import mining_payroll_gold, payroll_gold, payroll_silver, payroll_with_leave, skipped_report
-from staffloom.sources.layers import read_layer, write_current, write_current_and_history, write_if_nonempty
-from staffloom.sources.preflight import preflight
-from staffloom.specs import SourceContract, contracts, tables
+from staffloom.plans.payroll import mining_payroll_gold, not_earlier_output, payroll_gold, payroll_silver, payroll_with_leave, skipped_report
+from staffloom.sources.layers import read_current, write_current, write_current_and_history, write_if_nonempty
+from staffloom.sources.preflight import files_of, preflight
+from staffloom.specs import SourceContract, TableSpec, contracts, tables
+
 
+def _gate(landed: DataFrame, contract: SourceContract, files: DataFrame | None) -> DataFrame:
+    """The readable rows, once no landed file breaks the contract.
+
+    The files are those of ``landed`` (with the errors of unreadable ones, if it has a column ``error``), unless given.
+    """
+    rows = landed.filter("error IS NULL").drop("error") if "error" in landed.columns else landed
+    require(preflight(files_of(landed) if files is None else files, rows, contract))
+    return rows
 
-def _stored(df: DataFrame, path: str) -> DataFrame:
-    """Write a layer and go on from the written table, so nothing upstream runs twice."""
-    write_current(df, path)
-    return read_layer(df.sparkSession, path)
 
+def _stored(df: DataFrame, base: str) -> DataFrame:
+    """Publish a layer and go on from the written table, so nothing upstream runs twice."""
+    write_current(df, base)
+    return read_current(df.sparkSession, base)
 
-def _sound(files: DataFrame | None, rows: DataFrame, contract: SourceContract) -> None:
-    """Stop the run on preflight errors of the landed files (``source_file, error``), when they are given."""
-    if files is not None:
-        require(preflight(files, rows, contract))
+
+def _report(watch: Watch, gold: DataFrame, spec: TableSpec) -> DataFrame:
+    """What the writes counted, and the one check that reads the table: its key."""
+    found = watch.report(gold.sparkSession)
+    if spec.primary_key:
+        found = found.unionByName(check_unique(gold, spec.primary_key, spec.name))
+    return found.filter("n_bad > 0")
 
 
 def run_payroll(
@@ -45,70 +62,84 @@ def run_payroll(
 ) -> DataFrame:
     """Payroll and leave to the enriched payroll; returns the payroll report (it never stops the run).
 
-    The report names the payroll files that were left out for want of a period.
+    The report names the payroll files that were left out for want of a period, and counts the rows left out.
     """
-    _sound(payroll_files, payroll_rows, contracts.PAYROLL)
-    _sound(leave_files, leave_rows, contracts.LEAVE)
-    silver = _stored(payroll_silver(payroll_rows), f"{base}/silver/payroll")
+    payroll_rows = _gate(not_earlier_output(payroll_rows), contracts.PAYROLL, payroll_files)
+    leave_rows = _gate(leave_rows, contracts.LEAVE, leave_files)
+    watch = Watch()
+    silver = _stored(payroll_silver(payroll_rows, watch=watch), f"{base}/silver/payroll")
     leave = validated_leave(_stored(leave_silver(leave_rows), f"{base}/silver/leave"))
-    gold = _stored(payroll_gold(silver), f"{base}/gold/payroll")
+    gold = _stored(watch.table(payroll_gold(silver), tables.PAYROLL), f"{base}/gold/payroll")
     write_current_and_history(payroll_with_leave(gold, leave), f"{base}/gold/payroll_with_leave", run_ts)
-    sheet = F.col("sheet") == contracts.PAYROLL.sheets[0].sheet
-    return check_table(gold, tables.PAYROLL).unionByName(skipped_report(payroll_rows.filter(sheet)))
+    return _report(watch, gold, tables.PAYROLL).unionByName(skipped_report(payroll_rows))
 
 
-def run_mining_payroll(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> None:
-    _sound(files, rows, contracts.MINING_PAYROLL)
-    silver = _stored(payroll_silver(rows, tables.MINING_PAYROLL), f"{base}/silver/mining_payroll")
-    write_current_and_history(mining_payroll_gold(silver), f"{base}/gold/mining_payroll", run_ts)
+def run_mining_payroll(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> DataFrame:
+    """Mining payroll; returns its report, which never stops the run."""
+    rows = _gate(rows, contracts.MINING_PAYROLL, files)
+    watch, spec = Watch(), tables.MINING_PAYROLL
+    silver = _stored(payroll_silver(rows, spec, watch=watch), f"{base}/silver/mining_payroll")
+    write_current_and_history(watch.table(mining_payroll_gold(silver), spec), f"{base}/gold/mining_payroll", run_ts)
+    return _report(watch, read_current(rows.sparkSession, f"{base}/gold/mining_payroll"), spec)
 
 
 def run_employees(
     rows: DataFrame, base: str, run_ts: datetime, as_of: Column, files: DataFrame | None = None
-) -> None:
-    """Employee master: silver, cost centres, gold split, flags."""
-    _sound(files, rows, contracts.EMPLOYEES)
-    centers = [n for n in tables.COST_CENTERS.names if n not in tables.EMPLOYEES.names]
+) -> DataFrame:
+    """Employee master: silver, cost centres, gold split, flags; returns the report of the employees.
+
+    Document numbers that repeat stop the run before the flags.
+    """
+    rows = _gate(rows, contracts.EMPLOYEES, files)
+    spark, watch, spec = rows.sparkSession, Watch(), tables.EMPLOYEES
+    centers = [n for n in tables.COST_CENTERS.names if n not in spec.names]
     silver = _stored(employees_silver(rows, extra=centers), f"{base}/silver/employees")
     write_current_and_history(
         cost_centers(silver, ["source_file", "row_idx"]), f"{base}/gold/cost_centers", run_ts
     )
     employees, interns = split_employees(silver)
-    written = write_if_nonempty(employees, f"{base}/gold/employees", run_ts)
+    written = write_if_nonempty(watch.table(employees, spec), f"{base}/gold/employees", run_ts)
     write_if_nonempty(interns, f"{base}/gold/interns", run_ts)
     if written:
-        gold = read_layer(rows.sparkSession, f"{base}/gold/employees/current")
-        require(check_unique(gold, tables.EMPLOYEES.primary_key, tables.EMPLOYEES.name))
+        gold = read_current(spark, f"{base}/gold/employees")
+        require(check_unique(gold, spec.primary_key, spec.name))
         write_current_and_history(employee_flags(gold, as_of), f"{base}/gold/employee_flags", run_ts)
+    return watch.report(spark)
 
 
-def run_income(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> None:
-    _sound(files, rows, contracts.INCOME)
-    for name, to_silver, to_gold in (
-        ("income_employees", income_employees_silver, income_employees_gold),
-        ("income_interns", income_interns_silver, income_interns_gold),
+def run_income(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> DataFrame:
+    """Both income tables; returns their report: rows changed by cleaning, and broken rules."""
+    rows = _gate(rows, contracts.INCOME, files)
+    report = None
+    for name, to_silver, to_gold, spec in (
+        ("income_employees", income_employees_silver, income_employees_gold, tables.INCOME_EMPLOYEES),
+        ("income_interns", income_interns_silver, income_interns_gold, tables.INCOME_INTERNS),
     ):
-        silver = _stored(to_silver(rows), f"{base}/silver/{name}")
-        write_current_and_history(to_gold(silver), f"{base}/gold/{name}", run_ts)
+        watch = Watch()
+        silver = _stored(to_silver(rows, watch=watch), f"{base}/silver/{name}")
+        write_current_and_history(watch.table(to_gold(silver), spec), f"{base}/gold/{name}", run_ts)
+        found = _report(watch, read_current(rows.sparkSession, f"{base}/gold/{name}"), spec)
+        report = found if report is None else report.unionByName(found)
+    return report
 
 
 def run_interns(rows: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None) -> DataFrame:
-    """Intern control; returns the type report, which never stops the run."""
-    _sound(files, rows, contracts.INTERNS)
-    silver = _stored(intern_control_silver(rows), f"{base}/silver/intern_control")
-    write_current_and_history(
-        intern_control_gold(silver), f"{base}/gold/intern_control", run_ts
-    )
-    return check_types(silver, tables.INTERN_CONTROL)
+    """Intern control; returns the report of its silver table, which never stops the run."""
+    rows = _gate(rows, contracts.INTERNS, files)
+    watch = Watch()
+    silver = _stored(watch.table(intern_control_silver(rows), tables.INTERN_CONTROL), f"{base}/silver/intern_control")
+    write_current_and_history(intern_control_gold(silver), f"{base}/gold/intern_control", run_ts)
+    return watch.report(rows.sparkSession)
 
 
 def run_exit_exams(
     rows: DataFrame, current: DataFrame, old: DataFrame, base: str, run_ts: datetime, files: DataFrame | None = None
-) -> None:
-    _sound(files, rows, contracts.EXIT_EXAMS)
+) -> DataFrame:
+    """Exit exams and their cost centres; returns the report of the exams."""
+    rows = _gate(rows, contracts.EXIT_EXAMS, files)
+    watch, spec = Watch(), tables.EXIT_EXAMS
     silver = _stored(exit_exams_silver(rows), f"{base}/silver/exit_exams")
-    write_current_and_history(exit_exams_gold(silver), f"{base}/gold/exit_exams", run_ts)
-    gold = read_layer(rows.sparkSession, f"{base}/gold/exit_exams/current")
-    write_current_and_history(
-        exit_exams_enriched(gold, current, old), f"{base}/gold/exit_exams_enriched", run_ts
-    )
+    write_current_and_history(watch.table(exit_exams_gold(silver), spec), f"{base}/gold/exit_exams", run_ts)
+    gold = read_current(rows.sparkSession, f"{base}/gold/exit_exams")
+    write_current_and_history(exit_exams_enriched(gold, current, old), f"{base}/gold/exit_exams_enriched", run_ts)
+    return _report(watch, gold, spec)

@@ -43,7 +43,9 @@ SELECT r.source_file, r.row_idx, cast(o_orderkey AS VARCHAR) AS "NUMERO DE DOC",
        o_orderpriority AS "Modalidad de Contrato",
        CASE WHEN o_orderstatus = 'P' THEN '31/02/2001' ELSE strftime(o_orderdate, '%Y-%m-%d 00:00:00') END AS "Fecha de Termino",
        'S' AS "SERVICIO", 'R' AS "REGIMEN DE TRABAJO", strftime(o_orderdate, '%Y-%m-%d 00:00:00') AS "FECH_INGR.",
-       cast(NULL AS VARCHAR) AS "FECHA DE NAC.", strftime(o_orderdate, '%Y-%m-01') AS "FECHA_DOCUMENTO"
+       cast(NULL AS VARCHAR) AS "FECHA DE NAC.", strftime(o_orderdate, '%Y-%m-01') AS "FECHA_DOCUMENTO",
+       CASE WHEN year(o_orderdate) % 2 = 0 THEN o_custkey || '@x' END AS "CORREO",
+       CASE WHEN year(o_orderdate) = 1995 THEN cast(o_orderkey AS VARCHAR) END AS "Numero de Doc."
 FROM r LEFT JOIN cut ON r.source_file = cut.source_file WHERE cut.cut IS NULL OR r.row_idx < cut.cut""")
 def q1c(t):
     return employees.employees_silver(t["employees_bronze"])
@@ -69,7 +71,8 @@ SELECT strftime(o_orderdate, '%Y-%m') AS "PERIODO", strftime(o_orderdate, '%Y')
        cast(month(o_orderdate) AS INTEGER) AS "MES", {PAYROLL_FIRST} AS "CÓDIGO CORPORATIVO",
        cast(o_orderkey AS VARCHAR) AS "DNI/CEX", 'Nombre ' || o_orderkey AS "NOMBRES",
        CASE WHEN {PAYROLL_EVEN} THEN o_orderpriority END AS "MOTIVO CESE",
-       cast(o_totalprice AS VARCHAR) AS "SUBS. POR ENFERMEDAD", """ + ", ".join(
+       cast(o_totalprice AS VARCHAR) AS "SUBS. POR ENFERMEDAD",
+       CASE WHEN {PAYROLL_EVEN} THEN cast(o_custkey AS VARCHAR) END AS "BONO ESPECIAL", """ + ", ".join(
     f'cast(NULL AS VARCHAR) AS "{n}"' for n in tables.PAYROLL.names if n not in _SILVER_GIVEN
 ) + """ FROM orders
 WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P' AND o_totalprice BETWEEN 8000 AND 490000""")
@@ -200,7 +203,8 @@ SELECT 'Persona ' || o_orderkey AS "NOMBRE", cast(o_orderkey AS VARCHAR) AS "DNI
        CASE WHEN o_orderpriority = '1-URGENT' THEN '' ELSE 'RENUNCIA' END AS "CAUSA DE SALIDA",
        CASE WHEN o_orderpriority = '2-HIGH' THEN '' ELSE o_orderpriority END AS "CARGO",
        CASE WHEN o_totalprice = floor(o_totalprice) THEN cast(cast(o_totalprice AS BIGINT) AS VARCHAR)
-            ELSE cast(o_totalprice AS VARCHAR) END AS "NOMBRE DE CC"
+            ELSE cast(o_totalprice AS VARCHAR) END AS "NOMBRE DE CC",
+       CASE WHEN month(o_orderdate) IN (3, 7, 11) THEN 'obs ' || o_custkey ELSE '' END AS "OBSERVACION"
 FROM orders LEFT JOIN cut ON strftime(o_orderdate, '%Y-%m') = m WHERE cut IS NULL OR o_orderkey < cut""")
 def q13(t):
     return exams.exit_exams_silver(t["exams_bronze"])

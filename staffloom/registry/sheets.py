@@ -9,22 +9,14 @@ from staffloom.functions.dates import (
     has_document_date_fragment,
     period_from_filename,
 )
-from staffloom.functions.text import WHITESPACE, header_key, is_blank, normalize_header
+from staffloom.functions.text import WHITESPACE, header_key, normalize_header
 from staffloom.names import c
 from staffloom.operators.filters import drop_all_null_rows
 from staffloom.operators.projection import with_constant
 from staffloom.registry.core import query
 from staffloom.sources.layers import read_layer
-from staffloom.sources.sheets import (
-    crop_after_blank_run,
-    crop_at_first_blank,
-    drop_non_data_rows,
-    header_scan,
-    missing_headers,
-    promote_header,
-    select_by_header,
-    skip_blank_key,
-)
+from staffloom.sources.layouts import BLANK_RUN, FIRST_BLANK, discover, missing_headers, promote_header, select_by_header
+from staffloom.sources.sheets import drop_non_data_rows, header_scan, skip_blank_key
 from staffloom.specs import contracts
 
 # White space as a SQL literal, and the pattern of a run of it.
@@ -49,7 +41,7 @@ SELECT {PAYROLL_FILE} AS source_file, CASE WHEN o_orderstatus = 'P' THEN 'Resume
        cast(o_totalprice AS VARCHAR) AS "SUBS. POR ENFERMEDAD", cast(NULL AS VARCHAR) AS "SEXO"
 FROM orders""")
 def promote(t):
-    return promote_header(t["payroll_bronze"], PAYROLL_COLUMNS, 6, stop="gap").drop("chunk")
+    return promote_header(t["payroll_bronze"], PAYROLL_COLUMNS, 6, stop="gap")
 
 
 @query("S3_normalize_header", f"""
@@ -67,7 +59,7 @@ SELECT 'BD Practicantes ' || strftime(o_orderdate, '%d.%m.%Y') || '.xlsx' AS sou
        o_orderkey + 5 AS row_idx, ' Practicante ' || o_orderkey AS "APELLIDOS Y NOMBRES", 'G' AS "GERENCIA"
 FROM orders""")
 def by_header(t):
-    return select_by_header(t["interns_bronze"], ["APELLIDOS Y NOMBRES", "GERENCIA"], 4).drop("chunk")
+    return select_by_header(t["interns_bronze"], ["APELLIDOS Y NOMBRES", "GERENCIA"], 4)
 
 
 @query("S4_missing_headers", """
@@ -85,8 +77,8 @@ cut AS (SELECT source_file, min(row_idx) AS cut FROM r WHERE nombre IS NULL GROU
 SELECT r.source_file, r.row_idx, nombre AS "NOMBRE" FROM r LEFT JOIN cut ON r.source_file = cut.source_file
 WHERE cut.cut IS NULL OR r.row_idx < cut.cut""")
 def crop_first(t):
-    named = promote_header(t["exams_bronze"], ["NOMBRE"], 3, stop="first_blank")
-    return crop_at_first_blank(named, is_blank(c("NOMBRE"))).select("source_file", "row_idx", "NOMBRE")
+    sheets = discover(t["exams_bronze"], 3, stop="first_blank", key="NOMBRE", cut=FIRST_BLANK)
+    return sheets.table(["NOMBRE"]).select("source_file", "row_idx", "NOMBRE")
 
 
 @query("S6_skip_blank_key", """
@@ -105,8 +97,8 @@ cut AS (SELECT source_file, min(row_idx) AS cut FROM g WHERE nxt - row_idx > 100
 SELECT v.source_file, v.row_idx, v.dni AS "DNI" FROM v LEFT JOIN cut ON v.source_file = cut.source_file
 WHERE cut.cut IS NULL OR v.row_idx <= cut.cut""")
 def crop_run(t):
-    named = promote_header(t["interns_bronze"], ["DNI"], 4)
-    return crop_after_blank_run(named, "DNI").select("source_file", "row_idx", "DNI")
+    sheets = discover(t["interns_bronze"], 4, key="DNI", cut=BLANK_RUN)
+    return sheets.table(["DNI"]).select("source_file", "row_idx", "DNI")
 
 
 @query("S8_drop_non_data_rows", f"""

@@ -267,6 +267,7 @@ def employees_bronze(spark: SparkSession, folder: str) -> DataFrame:
         F.lit("S"), F.lit("R"),
         F.concat(_text(_odate()), F.lit(" 00:00:00")),
         F.lit("NaT"),
+        F.when(F.year(_odate()) % 2 == 0, F.concat(_text("o_custkey"), F.lit("@x"))),
         F.lit(None).cast("string"),
         F.lit("fuera"),
     )
@@ -274,7 +275,12 @@ def employees_bronze(spark: SparkSession, folder: str) -> DataFrame:
         name.alias("source_file"), F.lit("METSO").alias("sheet"),
         (F.col("o_orderkey") + 11).alias("row_idx"), cells.alias("cells"),
     )
-    return _with_header(data, 10, _words(*EMPLOYEE_SHEET, None, "NOTA"))
+    # files of even years have a header that the spec does not know, those of 1995 spell the document's otherwise
+    year = F.substring("source_file", 11, 4)
+    other = _words("Numero de Doc.", *EMPLOYEE_SHEET[1:])
+    known = F.when(year == "1995", other).otherwise(_words(*EMPLOYEE_SHEET))
+    mail = F.when(year.cast("int") % 2 == 0, "CORREO")
+    return _with_header(data, 10, F.concat(known, F.array(mail), _words(None, "NOTA")))
 
 
 def payroll_bronze(spark: SparkSession, folder: str) -> DataFrame:
@@ -298,13 +304,13 @@ def payroll_bronze(spark: SparkSession, folder: str) -> DataFrame:
         .withColumn("row_idx", F.col("o_orderkey") + 7)
         .withColumn(
             "cells",
-            F.when(even, F.array(first, names, gap, extra, money, document)).otherwise(
+            F.when(even, F.array(first, names, gap, extra, money, document, _text("o_custkey"))).otherwise(
                 F.array(first, document, gap, names, money)
             ),
         )
     )
     header = F.when(
-        even, _words("CÓDIGO CORPORATIVO", "NOMBRES", None, "MOTIVO CESE", "SUBS. POR ENFERMEDAD", " DNI/CEX ")
+        even, _words("CÓDIGO CORPORATIVO", "NOMBRES", None, "MOTIVO CESE", "SUBS. POR ENFERMEDAD", " DNI/CEX ", "BONO ESPECIAL")
     ).otherwise(_words("CÓDIGO CORPORATIVO", "DNI/CEX", None, "NOMBRES", "SUBS. POR\n ENFERMEDAD"))
     return _with_header(data, 6, header)
 
@@ -381,14 +387,17 @@ def exams_bronze(spark: SparkSession, folder: str) -> DataFrame:
         F.when(F.col("o_orderpriority") == "1-URGENT", "#N/A").otherwise("  RENUNCIA "),
         F.when(F.col("o_orderpriority") != "2-HIGH", F.col("o_orderpriority")),
         _text("o_totalprice"),
+        F.concat(F.lit(" obs "), _text("o_custkey")),
     )
     data = o.select(
         F.concat(F.lit("Examenes "), F.date_format(_odate(), "yyyy-MM"), F.lit(".xlsx")).alias("source_file"),
         F.lit("DATA").alias("sheet"),
         (F.col("o_orderkey") + 4).alias("row_idx"), cells.alias("cells"),
     )
-    header = _words("NOMBRE", "DNI", "FECHA DE CESE", "CAUSA DE SALIDA", "CARGO", "NOMBRE DE CC")
-    return _with_header(data, 3, header)
+    known = _words("NOMBRE", "DNI", "FECHA DE CESE", "CAUSA DE SALIDA", "CARGO", "NOMBRE DE CC")
+    # only the files of one month in four have this header
+    more = F.when(F.substring("source_file", 15, 2).isin("03", "07", "11"), "OBSERVACION")
+    return _with_header(data, 3, F.concat(known, F.array(more)))
 
 
 def chat_bronze(spark: SparkSession, folder: str) -> DataFrame:

@@ -1,37 +1,40 @@
-"""From row-numbered sheet rows to tables with named columns.
-
-``bronze_rows`` is ``(source_file, sheet, row_idx, cells array<string>)``.  Row
-numbers are 1-based as in the spreadsheet.  A run of blank rows is there with
-its first row; the others may be absent.  No operator relies on file or
-partition order: order always means ``row_idx``.
-
-Facts about a sheet (its header, its crop row) are joined to its rows on
-``(source_file, sheet, chunk)``: fixed stretches of row numbers are dealt over
-``CHUNKS`` numbers in turn.  A sheet with a third of all rows is so split over
-many tasks, and its facts are repeated ``CHUNKS`` times, without a look at the
-rows.  ``promote_header`` keeps the chunk as a column, so that a crop after it
-finds its rows already partitioned the way it needs them.
+"""Headers of sheets, and rules for their rows.
+
+``bronze_rows`` is ``(source_path, source_file, sheet, row_idx, cells array<string>)``;
+the full path, which tells files of one name apart, may be absent.  Row numbers
+are 1-based as in the spreadsheet.  A run of blank rows is there with its first
+row; the others may be absent.  No operator relies on file or partition order:
+order always means ``row_idx``.
+
+Facts about very many sheets are joined to their rows on the sheet and a
+``chunk``: fixed stretches of row numbers are dealt over ``CHUNKS`` numbers in
+turn.  A sheet with a third of all rows is so split over many tasks, and its
+facts are repeated ``CHUNKS`` times, without a look at the rows.
+``staffloom.sources.layouts`` turns rows into tables with named columns.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from staffloom.functions.text import header_key, is_blank, normalize_header
-from staffloom.names import c
-from staffloom.operators.projection import MissingColumns
+from staffloom.functions.text import FLOAT_TEXT, is_blank, normalize_header
 from staffloom.specs import rules
 
 BRONZE_SCHEMA = "source_file string, sheet string, row_idx long, cells array<string>"
-SHEET = ["source_file", "sheet"]
+PATH = "source_path"
 CHUNK_ROWS = 65_536
 CHUNKS = 16  # a full spreadsheet of 1,048,576 rows has one stretch per number
 
 _CHUNK = "chunk"
 
 
+def sheet_key(rows: DataFrame) -> list[str]:
+    """The columns that name a sheet: the full path, where it is known, tells files of one name apart."""
+    return [*([PATH] if PATH in rows.columns else []), "source_file", "sheet"]
+
+
 def _stretch(row: str) -> Column:
     return F.expr(f"{row} div {CHUNK_ROWS}L")
 
@@ -44,13 +47,13 @@ def with_chunk(rows: DataFrame) -> DataFrame:
 def join_sheet_facts(rows: DataFrame, facts: DataFrame, how: str = "inner") -> DataFrame:
     """Give every row of ``with_chunk`` the facts of its sheet; ``facts`` has one row per sheet."""
     chunks = F.sequence(F.lit(0).cast("long"), F.lit(CHUNKS - 1).cast("long"))
-    return rows.join(facts.withColumn(_CHUNK, F.explode(chunks)), [*SHEET, _CHUNK], how)
+    return rows.join(facts.withColumn(_CHUNK, F.explode(chunks)), [*sheet_key(rows), _CHUNK], how)
 
 
 # --- headers --------------------------------------------------------------------
 
 
-def _cut(names: Column, stop: str) -> Column:
+def header_end(names: Column, stop: str) -> Column:
     """Header names up to where the stop rule ends the header; later ones become absent."""
     gaps = F.filter(
         F.transform(names, lambda name, i: F.when(name.isNull(), i)), lambda i: i.isNotNull()
@@ -83,180 +86,44 @@ def sheet_headers(
     header_row: int | Column,
     start_col: int | Column = 0,
     stop: str = "skip_blank",
-    max_cols: int | None = None,
 ) -> DataFrame:
     """One row per sheet: ``headers``, an array with the name (or null) at each cell position.
 
     Position 0 is ``start_col``.  The filter on the row number reaches the scan.
     """
     cells = F.col("cells")
-    length = F.greatest(F.size(cells) - start_col, F.lit(0))
-    if max_cols is not None:
-        length = F.least(length, F.lit(max_cols))
-    window = F.slice(cells, F.lit(start_col) + 1, length)
+    window = F.slice(cells, F.lit(start_col) + 1, F.greatest(F.size(cells) - start_col, F.lit(0)))
     names = F.transform(window, lambda v: F.when(~is_blank(v), normalize_header(v)))
-    return (
-        rows.filter(F.col("row_idx") == header_row)
-        .select(*SHEET, names.alias("headers"))
-        .select(*SHEET, _cut(F.col("headers"), stop).alias("headers"))
-    )
+    by = sheet_key(rows)
+    heads = rows.filter(F.col("row_idx") == header_row).select(*by, names.alias("headers"))
+    return heads.select(*by, header_end(F.col("headers"), stop).alias("headers"))
 
 
-def header_scan(rows: DataFrame, header_row: int, start_col: int = 0, max_cols: int | None = None):
+def header_scan(rows: DataFrame, header_row: int, start_col: int = 0) -> DataFrame:
     """Long form of the header: one row per non-empty header cell, with its position."""
-    headers = sheet_headers(rows, header_row, start_col, "run", max_cols)
-    return headers.select(*SHEET, F.posexplode("headers").alias("pos", "header")).filter(
+    headers = sheet_headers(rows, header_row, start_col, "run")
+    return headers.select(*sheet_key(rows), F.posexplode("headers").alias("pos", "header")).filter(
         F.col("header").isNotNull()
     )
 
 
-def discover_headers(rows: DataFrame, header_row: int, start_col: int = 0, stop: str = "skip_blank") -> list[str]:
-    """Superset of the headers of all sheets, in order of smallest position, then name.
-
-    For tables without a declared column list.  The names become columns, so
-    the driver has to know them.
-    """
-    headers = sheet_headers(rows, header_row, start_col, stop)
-    names = (
-        headers.select(F.posexplode("headers").alias("pos", "name"))
-        .filter(F.col("name").isNotNull())
-        .groupBy("name")
-        .agg(F.min("pos").alias("pos"))
-    )
-    return [row["name"] for row in names.orderBy("pos", "name").collect()]
-
-
-def promote_header(
-    rows: DataFrame,
-    wanted: Sequence[str],
-    header_row: int,
-    start_col: int = 0,
-    stop: str = "skip_blank",
-    max_cols: int | None = None,
-    aliases: Mapping[str, str] | None = None,
-    keep_cells: bool = False,
-) -> DataFrame:
-    """Data rows below the header: sheet, chunk and row number, then the wanted headers as columns.
-
-    The position of each wanted header is looked up once per sheet; a row then
-    only picks cells.  A header a sheet lacks gives null, which makes this the
-    union by name of any number of differing sheets.  Of two equal headers the
-    last one counts.  ``aliases`` maps a header to the column it feeds.
-    """
-    spelled = {name: [name] for name in wanted}
-    for header, target in (aliases or {}).items():
-        if target in spelled and header not in spelled[target]:
-            spelled[target].append(header)
-
-    def position(name: str) -> Column:
-        size = F.size("headers")
-        backwards = F.reverse(F.col("headers"))
-        found = [F.nullif(F.array_position(backwards, F.lit(s)), F.lit(0).cast("long")) for s in spelled[name]]
-        return (size - F.coalesce(*found) + start_col).cast("int")
-
-    headers = sheet_headers(rows, header_row, start_col, stop, max_cols)
-    facts = headers.select(*SHEET, F.array(*[position(n) for n in wanted]).alias("__pos"))
-    data = join_sheet_facts(with_chunk(rows.filter(F.col("row_idx") > header_row)), facts)
-    cell = lambda i: F.get(F.col("cells"), F.get(F.col("__pos"), F.lit(i)))
-    return data.select(
-        *SHEET,
-        _CHUNK,
-        "row_idx",
-        *(["cells"] if keep_cells else []),
-        *[cell(i).alias(name) for i, name in enumerate(wanted)],
-    )
-
-
-def missing_headers(rows: DataFrame, wanted: Sequence[str], header_row: int, start_col: int = 0) -> DataFrame:
-    """One row per sheet and wanted header it lacks; names are compared in normal form."""
-    headers = sheet_headers(rows, header_row, start_col)
-    keys = F.transform(F.filter("headers", lambda h: h.isNotNull()), header_key)
-    asked = F.array(*[F.lit(w) for w in wanted])
-    return headers.select(
-        *SHEET, F.explode(F.filter(asked, lambda w: ~F.array_contains(keys, header_key(w)))).alias("header")
-    )
-
-
-def select_by_header(rows: DataFrame, wanted: Sequence[str], header_row: int, start_col: int = 0) -> DataFrame:
-    """Only the wanted columns; a sheet without one of them is an error that names the headers.
-
-    The check reads header rows only.  The error names all headers that the
-    first sheet (by file and name) lacks; ``missing_headers`` lists the others.
-    """
-    lacking = missing_headers(rows, wanted, header_row, start_col).groupBy(*SHEET).agg(F.sort_array(F.collect_set("header")).alias("names"))
-    first = lacking.orderBy(*SHEET).first()
-    if first:
-        raise MissingColumns(f"{first['source_file']} [{first['sheet']}]", first["names"])
-    return promote_header(rows, wanted, header_row, start_col)
-
-
 # --- row rules -------------------------------------------------------------------
 
 
-def crop_at_first_blank(df: DataFrame, blank: Column) -> DataFrame:
-    """Rows of each sheet before its first row where ``blank`` holds.
-
-    The cut is one ``min`` per sheet with map-side partials, not a window.
-    """
-    facts = (
-        df.groupBy(*SHEET)
-        .agg(F.min(F.when(blank, F.col("row_idx"))).alias("__cut"))
-        .filter(F.col("__cut").isNotNull())
-    )
-    joined = join_sheet_facts(with_chunk(df), facts, "left")
-    kept = joined.filter(F.coalesce(F.col("row_idx") < F.col("__cut"), F.lit(True)))
-    return kept.select(*[c(n) for n in df.columns])
-
-
-def crop_at_blank_row(df: DataFrame, names: Sequence[str]) -> DataFrame:
-    """Rows before the first row that is blank in all of ``names``."""
-    blank = is_blank(c(names[0]))
-    for name in names[1:]:
-        blank = blank & is_blank(c(name))
-    return crop_at_first_blank(df, blank)
-
-
 def skip_blank_key(df: DataFrame, key: Column) -> DataFrame:
     """Drop rows with a blank key, and go on after them."""
     return df.filter(~is_blank(key))
 
 
-def crop_after_blank_run(df: DataFrame, key: str, run: int = rules.BLANK_RUN) -> DataFrame:
-    """Rows with a key, up to the first run of ``run`` rows without one.
-
-    Gaps are found inside each stretch first; then only one summary row per stretch
-    (its first and last row with a key) is compared with its neighbour.
-    """
-    valid = with_chunk(df.filter(~is_blank(c(key))))
-    stretch = [*SHEET, _CHUNK, "__stretch"]
-    in_stretch = Window.partitionBy(*stretch).orderBy("row_idx")
-    gaps = (
-        valid.select(*SHEET, "row_idx", _CHUNK, _stretch("row_idx").alias("__stretch"))
-        .withColumn("__next", F.lead("row_idx").over(in_stretch))
-        .groupBy(*stretch)
-        .agg(
-            F.min("row_idx").alias("__first"),
-            F.max("row_idx").alias("__last"),
-            F.min(F.when(F.col("__next") - F.col("row_idx") > run, F.col("row_idx"))).alias("__cut"),
-        )
-    )
-    across = Window.partitionBy(*SHEET).orderBy("__stretch")
-    facts = (
-        gaps.withColumn("__next", F.lead("__first").over(across))
-        .withColumn("__edge", F.when(F.col("__next") - F.col("__last") > run, F.col("__last")))
-        .groupBy(*SHEET)
-        .agg(F.min(F.least("__cut", "__edge")).alias("__cut"))
-        .filter(F.col("__cut").isNotNull())
-    )
-    joined = join_sheet_facts(valid, facts, "left")
-    kept = joined.filter(F.coalesce(F.col("row_idx") <= F.col("__cut"), F.lit(True)))
-    return kept.select(*[c(n) for n in df.columns])
+def is_footer(cells: Column, max_len: int = rules.FOOTER_LENGTH) -> Column:
+    """A first cell of more than ``max_len`` characters that is no number: a title or a total, not data."""
+    first = F.get(cells, F.lit(0))
+    return F.coalesce((F.length(first) > max_len) & ~first.rlike(FLOAT_TEXT), F.lit(False))
 
 
 def is_data_row(cells: Column, max_len: int = rules.FOOTER_LENGTH) -> Column:
-    """A filled first cell of at most ``max_len`` characters (footers and totals are longer)."""
-    first = F.get(cells, F.lit(0))
-    return first.isNotNull() & (F.length(first) <= max_len)
+    """A first cell that is there and no footer."""
+    return F.get(cells, F.lit(0)).isNotNull() & ~is_footer(cells, max_len)
 
 
 def drop_non_data_rows(rows: DataFrame, max_len: int = rules.FOOTER_LENGTH) -> DataFrame:

@@ -6,6 +6,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import types as T
 
+from staffloom.specs.row_rules import RowRule
+
 SPARK_TYPES: dict[str, T.DataType] = {
     "string": T.StringType(),
     "integer": T.LongType(),
@@ -49,6 +51,7 @@ class TableSpec:
     primary_key: tuple[str, ...] = ()
     renames: dict[str, str] = field(default_factory=dict)
     filters: tuple[RowFilter, ...] = ()
+    row_rules: tuple[RowRule, ...] = ()
 
     @property
     def names(self) -> list[str]:

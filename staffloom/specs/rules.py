@@ -23,6 +23,12 @@ DAYS_PER_YEAR = 365.25
 DAYS_PER_MONTH = 30.44
 EXCEL_EPOCH = "1899-12-30"
 FOOTER_LENGTH = 20
+DOCUMENT_WORDS = ("NUMERO", "DOC")
+PERIOD_PATTERN = r"\d{4}-\d{2}"
+# Contract types that have no alert for their length, besides those of interns.
+NO_CONTRACT_ALERT = ("PLAZO INDETERMINADO", "CONTRATO EXTRANJERO")
+# "About equal": the source's config gives no figure; amounts have two decimals.
+NET_TOLERANCE = 0.05
 BLANK_RUN = 1000
 REASON_SEPARATOR = " | "
 

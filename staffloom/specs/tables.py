@@ -1,6 +1,8 @@
 """Typed table specs of the eight datasets."""
 
+from staffloom.specs import rules
 from staffloom.specs.model import Col, RowFilter, TableSpec
+from staffloom.specs.row_rules import After, Balance, NotNegative, OneOf, OnlyWith, Pattern, WithinPeriod
 
 # --- fixed values: column names, types and limits of the published tables ---
 
@@ -23,6 +25,10 @@ EMPLOYEES = TableSpec(
         Col("FECHA_DOCUMENTO", required=True),
     ),
     primary_key=("NUMERO DE DOC",),
+    row_rules=(
+        After("Fecha de Termino", "FECH_INGR."),
+        OneOf("Modalidad de Contrato", (*[r.modality for r in rules.CONTRACT_RULES], *rules.NO_CONTRACT_ALERT), (rules.INTERN_CONTRACT,)),
+    ),
 )
 
 COST_CENTERS = TableSpec(
@@ -71,6 +77,11 @@ PAYROLL = TableSpec(
         Col("SUBS. POR ACCIDENTE", "float", min_value=0),
     ),
     primary_key=("PERIODO", "DNI/CEX"),
+    row_rules=(
+        After("FECHA CESE", "FECHA DE INGRESO"),
+        OnlyWith("MOTIVO CESE", "FECHA CESE"),
+        Pattern("PERIODO", rules.PERIOD_PATTERN),
+    ),
 )
 
 MINING_PAYROLL = TableSpec(
@@ -104,6 +115,12 @@ MINING_PAYROLL = TableSpec(
         Col("NETO", "float"),
     ),
     primary_key=("PERIODO", "DNI/CEX"),
+    row_rules=(
+        Balance("NETO", "TOTAL INGRESOS", "TOTAL DESCUENTOS", rules.NET_TOLERANCE),
+        NotNegative("NETO"),
+        WithinPeriod("FECHA DE INGRESO", "PERIODO"),
+        Pattern("PERIODO", rules.PERIOD_PATTERN),
+    ),
 )
 
 LEAVE = TableSpec(
@@ -143,6 +160,7 @@ INCOME_EMPLOYEES = TableSpec(
         Col("REGIMEN", nullable=False),
     ),
     primary_key=("PERIODO", "DNI"),
+    row_rules=(Pattern("PERIODO", rules.PERIOD_PATTERN),),
 )
 
 INCOME_INTERNS = TableSpec(
@@ -161,6 +179,7 @@ INCOME_INTERNS = TableSpec(
         Col("Modalidad"),
     ),
     primary_key=("PERIODO", "Numero Documento"),
+    row_rules=(Pattern("PERIODO", rules.PERIOD_PATTERN),),
 )
 
 INTERN_CONTROL = TableSpec(

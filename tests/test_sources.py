@@ -11,7 +11,7 @@ from staffloom.plans import pipelines
 from staffloom.plans.employees import employee_flags
 from staffloom.plans.payroll import skipped_files
 from staffloom.session import RECOMMENDED, configure
-from staffloom.sources import layers, workbooks
+from staffloom.sources import landing, layers, workbooks
 from staffloom.sources.preflight import preflight
 from staffloom.specs import contracts, tables
 from tests.workbook import write_workbook
@@ -36,7 +36,7 @@ def land(spark, folder):
 
 def files_of(spark, folder, errors):
     names = workbooks.discover_sources(spark, str(folder)).select("source_file")
-    return names.join(errors, "source_file", "left")
+    return names.join(errors.drop("source_path"), "source_file", "left")
 
 
 def test_cells_as_text(spark, tmp_path):
@@ -132,20 +132,20 @@ def test_employee_pipeline(spark, tmp_path):
     write_workbook(f"{src}/BD. 21.12.2025..xlsx", {"METSO": {10: EMPLOYEE_HEADER, **dict(enumerate(people, 11))}})
     rows, _ = land(spark, src)
     pipelines.run_employees(rows, out, RUN, F.lit("2026-01-01").cast("date"))
-    silver = {r["NUMERO DE DOC"]: r for r in layers.read_layer(spark, f"{out}/silver/employees").collect()}
+    silver = {r["NUMERO DE DOC"]: r for r in layers.read_current(spark, f"{out}/silver/employees").collect()}
     assert set(silver) == {"1", "2", "3"}
     assert silver["1"]["FECHA DE NAC."] == "1960-02-01 00:00:00" and silver["1"]["SERVICIO"] is None
     assert silver["1"]["FECHA_DOCUMENTO"] == "2025-12-21"
-    centers = layers.read_layer(spark, f"{out}/gold/cost_centers/current").collect()
+    centers = layers.read_current(spark, f"{out}/gold/cost_centers").collect()
     assert [(r["CC"], r["NOMBRE CC"]) for r in sorted(centers)] == [("100", "Centro 1"), ("200", "Centro 2")]
-    flags = layers.read_layer(spark, f"{out}/gold/employee_flags/current").collect()
+    flags = layers.read_current(spark, f"{out}/gold/employee_flags").collect()
     assert [(r["NUMERO DE DOC"], r.tiempo_servicio_texto, r.alerta_contrato_obra) for r in flags] == [
         ("1", "5 años, 11 meses", True)
     ]
     assert flags[0]["cumple_65_esteaño"] is False and flags[0]["FECH_INGR."] == date(2020, 1, 1)
-    interns = layers.read_layer(spark, f"{out}/gold/interns/current").collect()
+    interns = layers.read_current(spark, f"{out}/gold/interns").collect()
     assert [r["NUMERO DE DOC"] for r in interns] == ["2"]
-    history = spark.read.parquet(f"{out}/gold/employee_flags/history")
+    history = layers.read_history(spark, f"{out}/gold/employee_flags")
     assert [str(r.run_ts) for r in history.select("run_ts").distinct().collect()] == ["20260102T030405"]
 
 
@@ -159,7 +159,7 @@ def test_flags_keep_other_columns_and_need_a_key(spark):
 
 
 def payroll_sheet(*people):
-    header = ["CÓDIGO CORPORATIVO", "DNI/CEX", "NOMBRES", "DIAS GOCE HABER(D)", "SUBS. POR ACCIDENTE", "F. NACIMIENTO"]
+    header = ["CÓDIGO CORPORATIVO", "DNI/CEX", "NOMBRES", "DIAS GOCE HABER(D)", "SUBS. POR ACCIDENTE", "F. NACIMIENTO", "APELLIDO PATERNO", "TIPO DE DOCUMENTO"]
     return {6: header, **dict(enumerate(people, 7))}
 
 
@@ -172,20 +172,22 @@ def test_payroll_pipeline(spark, tmp_path):
                                   ["TOTAL GENERAL DE PLANILLA", 5, "x", 1, 1.0, None], [None, 9, "x", 1, 1.0, None]),
     })
     write_workbook(f"{src}/Planilla 2024-06 Empleados.xlsx", {
-        "Planilla": {6: ["CÓDIGO CORPORATIVO", "NOMBRES", "DNI/CEX", "SEXO", "DIAS GOCE HABER(D)"],
-                     7: ["C1", "Ana", 111, "X", "31.0"]},
+        "Planilla": {6: ["CÓDIGO CORPORATIVO", "NOMBRES", "DNI/CEX", "SEXO", "DIAS GOCE HABER(D)", "APELLIDO PATERNO", "TIPO DE DOCUMENTO", "BONO"],
+                     7: ["C1", "Ana", 111, "X", "31.0", "P", "DNI", 7.5]},
     })
     write_workbook(f"{src}/Planilla vieja.xlsx", {"Planilla": payroll_sheet(["C9", 999, "y", 1, 1.0, None])})
     leave_rows = [["2024-05", 111.0, "P", "M", "Ana", "vacaciones"], ["2024-05", 111, "P", "M", "Ana", "duelo"],
                   [None, 111, "P", "M", "Ana", "x"], ["2024-05", 111, "P", "M", "Ana", "  "]]
     head = ["PERIODO", "DNI/CEX", "APELLIDO PATERNO", "APELLIDO MATERNO", "NOMBRES"]
-    write_workbook(f"{src}/CONTROL_DE_LICENCIAS.xlsx", {
+    (tmp_path / "leave").mkdir()
+    write_workbook(f"{tmp_path}/leave/CONTROL_DE_LICENCIAS.xlsx", {
         "LICENCIA CON GOCE": {2: [*head, "MOTIVO DE LIC.CON GOCE"], **dict(enumerate(leave_rows, 3))},
         "LICENCIA SIN GOCE": {2: [*head, "MOTIVO DE LIC.S.G.H"], 3: ["2024-06", "111", "P", "M", "Ana", "permiso"]},
     })
     rows, _ = land(spark, src)
-    findings = pipelines.run_payroll(rows, rows, out, RUN)
-    got = {r.PERIODO: r for r in layers.read_layer(spark, f"{out}/gold/payroll_with_leave/current").collect()}
+    findings = pipelines.run_payroll(rows, land(spark, tmp_path / "leave")[0], out, RUN)
+    assert {r.BONO for r in layers.read_current(spark, f"{out}/silver/payroll").collect()} == {None, "7.5"}
+    got = {r.PERIODO: r for r in layers.read_current(spark, f"{out}/gold/payroll_with_leave").collect()}
     assert set(got) == {"2024-05", "2024-06"}
     may, june = got["2024-05"], got["2024-06"]
     assert (may.MOTIVO_CON_GOCE, may.MOTIVO_SIN_GOCE) == ("duelo | vacaciones", None)
@@ -199,8 +201,13 @@ def test_payroll_pipeline(spark, tmp_path):
     skipped = findings.filter("rule = 'no_period'").collect()
     assert [(r.sample, r.severity) for r in skipped] == [("Planilla vieja.xlsx", "warning")]
     assert [r.source_file for r in skipped_files(rows.filter(c("sheet") == "Planilla")).collect()] == ["Planilla vieja.xlsx"]
-    pipelines.run_mining_payroll(rows.filter(c("sheet") == "Planilla"), out, RUN)
-    mining = layers.read_layer(spark, f"{out}/gold/mining_payroll/current")
+    lost = {r["column"]: r.n_bad for r in findings.filter("rule = 'lost'").collect()}
+    assert lost == {"first cell": 2, "DNI/CEX": 1}
+    assert findings.filter("rule = 'not_allowed'").first().sample == "X"
+    with pytest.raises(quality.QualityError, match="file_name"):
+        pipelines.run_mining_payroll(rows, out, RUN)
+    pipelines.run_mining_payroll(rows.filter(c("source_file") != "Planilla vieja.xlsx"), out, RUN)
+    mining = layers.read_current(spark, f"{out}/gold/mining_payroll")
     assert mining.columns[:4] == ["PERIODO", "MES", "NOMBRE_MES", "AÑO"] and mining.count() == 2
 
 
@@ -232,12 +239,12 @@ def test_income_pipeline(spark, tmp_path):
     rows, errors = land(spark, src)
     assert preflight(files_of(spark, src, errors), rows, contracts.INCOME).isEmpty()
     pipelines.run_income(rows, out, RUN)
-    silver = layers.read_layer(spark, f"{out}/silver/income_employees").collect()
+    silver = layers.read_current(spark, f"{out}/silver/income_employees").collect()
     assert [(r.PERIODO, r.PROYECTO, r["CODIGO SAP"]) for r in silver] == [("2024-03", "Staff", None)]
-    gold = layers.read_layer(spark, f"{out}/gold/income_employees/current").first()
+    gold = layers.read_current(spark, f"{out}/gold/income_employees").first()
     assert (gold["AÑO"], gold["NOMBRE_MES"], gold["SERVICIO"], gold["REGIMEN"]) == (2024, "March", "Personal_Interno", "R")
     assert gold["FECHA NACIMIENTO"] == date(1990, 1, 2)
-    intern_gold = layers.read_layer(spark, f"{out}/gold/income_interns/current").first()
+    intern_gold = layers.read_current(spark, f"{out}/gold/income_interns").first()
     assert (intern_gold["NOMBRE_MES"], intern_gold["Universidad de Procedencia"]) == ("", "POR DEFINIR")
 
 
@@ -252,7 +259,9 @@ def test_intern_pipeline(spark, tmp_path):
     write_workbook(f"{src}/BD Practicantes 30.03.2026.xlsx", {"Practicantes": {4: header, **dict(enumerate(people, 5))}})
     rows, _ = land(spark, src)
     assert pipelines.run_interns(rows, out, RUN).isEmpty()
-    got = {r.DNI: r for r in layers.read_layer(spark, f"{out}/gold/intern_control/current").collect()}
+    with pytest.raises(quality.QualityError, match="missing_sheet Practicantes"):
+        pipelines.run_interns(rows.withColumn("sheet", F.lit("Otra")), out, RUN)
+    got = {r.DNI: r for r in layers.read_current(spark, f"{out}/gold/intern_control").collect()}
     assert set(got) == {"12345678", "7.5"}
     luis = got["12345678"]
     assert (luis.dias_servicio, luis.por_cumplir_1, luis.tiempo_servicio) == (363, "SI", "1 año (En límite)")
@@ -270,7 +279,7 @@ def test_exam_pipeline(spark, tmp_path):
     cc = "CC string, `NOMBRE CC` string, `CATEGORIA CC` string, GERENCIA string"
     current, old = spark.createDataFrame([("100", "Centro", "SGA", "G")], cc), spark.createDataFrame([], cc)
     pipelines.run_exit_exams(rows, current, old, out, RUN)
-    got = layers.read_layer(spark, f"{out}/gold/exit_exams_enriched/current").orderBy("NOMBRE").collect()
+    got = layers.read_current(spark, f"{out}/gold/exit_exams_enriched").orderBy("NOMBRE").collect()
     assert [(r.NOMBRE, r.DNI, r.MES, r.NOMBRE_MES, r["CAUSA DE SALIDA"], r.nombre_cc_completo, r.status_match) for r in got] == [
         ("Ana", "1", 1, "January", "", "Centro", "OK"), ("Bea", "2", 12, "December", "x", None, "SIN_CODIGO"),
     ]
@@ -279,11 +288,102 @@ def test_exam_pipeline(spark, tmp_path):
 def test_layers(spark, tmp_path):
     df = spark.range(3)
     assert layers.write_if_nonempty(df, f"{tmp_path}/t", RUN) is True
+    assert layers.write_if_nonempty(df.filter("id > 9"), f"{tmp_path}/t", datetime(2026, 1, 3)) is False
+    assert layers.read_current(spark, f"{tmp_path}/t").count() == 3
     assert layers.write_if_nonempty(df.filter("id > 9"), f"{tmp_path}/e", RUN) is False
+    with pytest.raises(FileNotFoundError):
+        layers.read_current(spark, f"{tmp_path}/e")
     layers.write_current_and_history(df, f"{tmp_path}/h", RUN)
     layers.write_current_and_history(df.filter("id = 0"), f"{tmp_path}/h", datetime(2026, 1, 3))
-    assert layers.read_layer(spark, f"{tmp_path}/h/current").count() == 1
-    assert spark.read.parquet(f"{tmp_path}/h/history").groupBy("run_ts").count().count() == 2
+    assert layers.read_current(spark, f"{tmp_path}/h").count() == 1
+    assert layers.read_history(spark, f"{tmp_path}/h").groupBy("run_ts").count().count() == 2
+    layers.write_current_and_history(df.withColumn("more", F.lit(1)), f"{tmp_path}/h", RUN)  # a run again
+    assert {(r.run_ts, r.id, r.more) for r in layers.read_history(spark, f"{tmp_path}/h").collect()} == {
+        ("20260103T000000", 0, None), *(("20260102T030405", i, 1) for i in range(3)),
+    }
+
+
+def test_a_failed_write_leaves_the_old_table(spark, tmp_path):
+    base = f"{tmp_path}/t"
+    layers.write_current(spark.range(3), base)
+    before = layers.read_current(spark, base)
+    fails = spark.range(100, numPartitions=8).select(F.when(F.col("id") == 99, F.raise_error(F.lit("stop")).cast("long")).otherwise(F.col("id")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        layers.write_current(fails, base)
+    assert layers.read_current(spark, base).count() == before.count() == 3
+    # a table can be written from itself, and a reader of the old version goes on
+    layers.write_current(before.selectExpr("id + 1 AS id"), base)
+    assert [sorted(r.id for r in df.collect()) for df in (before, layers.read_current(spark, base))] == [[0, 1, 2], [1, 2, 3]]
+    assert layers.vacuum(spark, base, keep=1) >= 1
+    assert layers.read_current(spark, base).count() == 3
+
+
+def test_watch_counts_while_it_writes(spark, tmp_path):
+    from staffloom.operators.watch import Watch
+    from staffloom.specs import Col, TableSpec
+
+    spec = TableSpec("t", (Col("k", nullable=False), Col("s", allowed=("M", "F")), Col("n", "integer", min_value=0)))
+    df = spark.createDataFrame([("a", "M", 1), (None, "X", -1), ("b", "A", None), ("c", None, -2)], "k string, s string, n long")
+    watch = Watch()
+    watched = watch.losses(watch.table(df, spec), "t rows", {"k": c("k").isNotNull(), "n": c("n") >= 0})
+    layers.write_current(watched.filter("k IS NOT NULL AND n >= 0"), f"{tmp_path}/t")
+    got = {(r.source, r.rule, r["column"]): (r.n_bad, r.sample) for r in watch.report(spark).collect()}
+    assert got == {
+        ("t", "null", "k"): (1, None), ("t", "not_allowed", "s"): (2, "A, X"), ("t", "below_min", "n"): (2, None),
+        ("t rows", "lost", "k"): (1, None), ("t rows", "lost", "n"): (2, None),
+    }
+    assert watch.rows() == {"t": 4, "t rows": 4}
+    assert layers.read_current(spark, f"{tmp_path}/t").count() == 1
+
+
+def test_landing_reads_only_what_is_new(spark, tmp_path):
+    src, base = tmp_path / "in [1]{a}", str(tmp_path / "bronze")
+    (src / "b").mkdir(parents=True)
+    write_workbook(f"{src}/x.xlsx", {"S": {1: ["A", "B"], 2: ["1", "2"]}})
+    write_workbook(f"{src}/b/x.xlsx", {"S": {1: ["B", "A"], 2: ["3", "4"]}})
+    write_workbook(f"{src}/~$x.xlsx", {"S": {1: ["lock"]}})
+    (src / "bad.xlsx").write_bytes(b"no")
+    assert landing.land_new(spark, str(src).replace("[", "\\[").replace("]", "\\]").replace("{", "\\{").replace("}", "\\}"), base, RUN) == 3
+    where = str(tmp_path).replace("[", "\\[") + "/in*"
+    assert landing.land_new(spark, where, base, RUN) == 0  # nothing is new
+
+    def values():
+        rows = landing.bronze(spark, base)
+        return sorted((r.source_file, *r.cells) for r in rows.where("row_idx = 2").collect())
+
+    assert values() == [("x.xlsx", "1", "2"), ("x.xlsx", "3", "4")]
+    assert {r.source_file: r.error is None for r in landing.landed_files(spark, base).collect()} == {"x.xlsx": True, "bad.xlsx": False}
+    write_workbook(f"{src}/b/x.xlsx", {"S": {1: ["B", "A"], 2: ["3", "changed"]}})
+    write_workbook(f"{src}/y.xlsx", {"S": {1: ["A"], 2: ["5"]}})
+    assert landing.land_new(spark, where, base, datetime(2026, 1, 3)) == 2
+    assert values() == [("x.xlsx", "1", "2"), ("x.xlsx", "3", "changed"), ("y.xlsx", "5")]
+    assert landing.landings(spark, base).count() == 5
+
+
+def test_rows_of_a_failed_landing_are_never_read(spark, tmp_path):
+    src, base = tmp_path / "in", str(tmp_path / "bronze")
+    src.mkdir()
+    write_workbook(f"{src}/x.xlsx", {"S": {1: ["A"], 2: ["1"]}})
+    workbooks.land_workbooks(spark, str(src)).write.parquet(f"{base}/rows/landing=20250101T000000-dead")  # no manifest
+    assert landing.landed_files(spark, base).isEmpty() and landing.bronze(spark, base).isEmpty()
+    assert landing.land_new(spark, str(src), base, RUN) == 1 and landing.bronze(spark, base).count() == 3
+
+
+def test_classified_files(spark):
+    from staffloom.sources.preflight import classified, files_of, sound_rows
+
+    schema = "source_path string, source_file string, sheet string, row_idx long, cells array<string>, error string"
+    rows = spark.createDataFrame([
+        ("/a/e.xlsx", "e.xlsx", "DATA", 3, ["NOMBRE", "DNI", "FECHA DE CESE"], None), ("/a/e.xlsx", "e.xlsx", "DATA", 4, ["x"], None),
+        ("/b/e.xlsx", "e.xlsx", "DATA", 4, ["headless"], None), ("/c.xlsx", "c.xlsx", None, None, None, "broken"),
+    ], schema)
+    files, readable = files_of(rows), rows.where("error IS NULL").drop("error")
+    got = {r.source_path: [(p.rule, p.column) for p in r.problems] for r in classified(files, readable, contracts.EXIT_EXAMS).collect()}
+    assert got["/a/e.xlsx"] == [] and got["/c.xlsx"] == [("unreadable", None)]
+    assert got["/b/e.xlsx"] == [("header_position", "DATA row 3 column 1"), *(("missing_header", n) for n in ("NOMBRE", "DNI", "FECHA DE CESE"))]
+    assert {r.source_path for r in sound_rows(files, readable, contracts.EXIT_EXAMS).collect()} == {"/a/e.xlsx"}
+    plan = classified(files, readable, contracts.EXIT_EXAMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("LogicalRDD") + plan.count("LocalRelation") <= 3
 
 
 def test_session(spark, tmp_path):
