@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staffloom.names import c
 from staffloom.specs import rules
 
-_N, _PAIR = "__n", "__pair"
+_N, _PAIR = "__c", "__pair"
+#: Row numbers of a sheet are below this (a spreadsheet has 2^20 rows; a bronze sheet may have more).
+_ROWS_PER_FILE = 1 << 34
 
 
 def joined_text(pairs: Column, sep: str) -> Column:
@@ -57,24 +59,48 @@ def filtered_count(df: DataFrame, keys: Sequence[str], outputs: Mapping[str, Col
     return df.groupBy(*[c(k) for k in keys]).agg(*[F.count_if(cond).alias(n) for n, cond in outputs.items()])
 
 
-def _packed(names: Sequence[str]) -> Column:
-    return F.struct(*[c(n).alias(f"f{i}") for i, n in enumerate(names)])
+_MARK = 1 << 60
 
 
-def _unpacked(names: Sequence[str], field: str) -> list[Column]:
-    return [c(field).getField(f"f{i}").alias(n) for i, n in enumerate(names)]
+def row_mark(names: Sequence[str]) -> Column:
+    """A number below 2^60 that tells rows apart by their values: the first 15 digits of the md5 of all of them as text."""
+    fields = []
+    for name in names:
+        text = c(name).cast("string")
+        fields.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
+    return F.conv(F.substring(F.md5(F.concat(*fields).cast("binary")), 1, 15), 16, 10).cast("decimal(19,0)")
+
+
+def first_rows(df: DataFrame, key: str, order: Column, names: Sequence[str]) -> DataFrame:
+    """Per key, the row with the least ``order`` (a whole number); rows that tie are told apart by ``row_mark``.
+
+    The rank (order, mark) is one number of fixed width, so its minimum is a hash aggregate with partials before the
+    shuffle, and texts stay out of it.  A semi-join then fetches the rows of the winners, which are few.  Null is a key of its own.
+    """
+    rank = order.cast("decimal(18,0)") * F.lit(_MARK).cast("decimal(19,0)") + row_mark(names)
+    ranked = df.select(*[c(n) for n in dict.fromkeys([key, *names])], rank.cast("decimal(38,0)").alias(_PAIR))
+    best = ranked.groupBy(c(key)).agg(F.min(_PAIR).alias("__rank")).select(c(key).alias("__key"), "__rank")
+    won = ranked.join(best, c(key).eqNullSafe(F.col("__key")) & (F.col(_PAIR) == F.col("__rank")), "left_semi")
+    return won.drop(_PAIR).distinct()  # rows that are equal in everything are one
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """One row per key: the one that comes first by ``order``.
+    """One row per key: the one that comes first by ``order``, columns of whole numbers or text (see ``first_rows``).
 
-    ``min`` of (order, row) instead of ``row_number``: partial results are made
-    before the shuffle, so no key is sorted whole.  Null is a key of its own.
+    Text columns of the order are numbered first, by their distinct values; files, say, of which there are few against their rows.
     """
-    rest = [n for n in df.columns if n != key and n not in set(order)]
-    first = df.groupBy(c(key)).agg(F.min(_packed([*order, *rest])).alias(_PAIR))
-    out = {n: col for n, col in zip([*order, *rest], _unpacked([*order, *rest], _PAIR))}
-    return first.select(*[c(key) if n == key else out[n] for n in df.columns])
+    for i, name in enumerate(order):
+        if dict(df.dtypes)[name] == "string":
+            values = df.select(c(name)).distinct()
+            numbered = values.select(c(name).alias("__value"), F.row_number().over(Window.orderBy(c(name))).alias(f"__n{i}"))
+            df = df.join(numbered, c(name).eqNullSafe(F.col("__value"))).drop("__value")
+        else:
+            df = df.withColumn(f"__n{i}", c(name))
+    names = [n for n in df.columns if not n.startswith("__n")]
+    place = F.col("__n0").cast("decimal(18,0)")
+    for i in range(1, len(order)):
+        place = (place * _ROWS_PER_FILE + F.col(f"__n{i}")).cast("decimal(18,0)")
+    return first_rows(df.withColumn("__order", place), key, F.col("__order"), names).select(*[c(n) for n in names])
 
 
 def first_value_by_priority(
@@ -82,18 +108,10 @@ def first_value_by_priority(
 ) -> DataFrame:
     """Per key, the values of the row with the highest priority (nulls respected).
 
-    ``values`` maps source to output name.  Rows that tie on priority are told
-    apart by their values, smallest first with nulls last.
+    ``values`` maps source to output name.  Rows that tie on priority are told apart by the mark of their values.
     """
-    names = list(values)
-    rank = F.struct(
-        (-c(priority)).alias("p"),
-        *[part for i, n in enumerate(names) for part in (c(n).isNull().alias(f"n{i}"), c(n).alias(f"f{i}"))],
-    )
-    best = df.groupBy(c(key)).agg(F.min(rank).alias(_PAIR))
-    return best.select(
-        c(key), *[c(_PAIR).getField(f"f{i}").alias(out) for i, out in enumerate(values.values())]
-    )
+    best = first_rows(df, key, -c(priority), list(values))
+    return best.select(c(key), *[c(n).alias(out) for n, out in values.items()])
 
 
 def group_count(df: DataFrame, keys: Sequence[str], name: str = "cantidad") -> DataFrame:

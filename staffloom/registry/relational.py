@@ -23,7 +23,7 @@ from staffloom.plans.employees import employee_flags, flag_columns
 from staffloom.plans.exams import unified_cost_centers
 from staffloom.plans.payroll import PERSON_PERIOD, leave_reasons
 from staffloom.registry.core import query
-from staffloom.registry.functions import AS_OF_SQL, TEXT_SQL, YEARS_SQL, as_of
+from staffloom.registry.functions import AS_OF_SQL, DAYS_SQL, TEXT_SQL, as_of
 from staffloom.specs import rules
 
 REASONS_SQL = """
@@ -32,39 +32,32 @@ FROM <<leave>> WHERE "TIPO_LICENCIA" = '{kind}' GROUP BY "DNI/CEX", "PERIODO" ""
 PAID_SQL = REASONS_SQL.format(name="MOTIVO_CON_GOCE", kind="CON_GOCE")
 UNPAID_SQL = REASONS_SQL.format(name="MOTIVO_SIN_GOCE", kind="SIN_GOCE")
 
-# One row per code over both catalogues; the library breaks ties by value.
-_BEST = """first_value({col}) OVER (PARTITION BY "CC" ORDER BY fuente DESC,
-    "NOMBRE CC" NULLS LAST, "CATEGORIA CC" NULLS LAST, "GERENCIA" NULLS LAST)"""
-UNIFIED_SQL = f"""
-SELECT DISTINCT "CC", {_BEST.format(col='"NOMBRE CC"')} AS nombre_cc,
-       {_BEST.format(col='"CATEGORIA CC"')} AS categoria_cc, {_BEST.format(col='"GERENCIA"')} AS gerencia
-FROM (SELECT "CC", "NOMBRE CC", "CATEGORIA CC", "GERENCIA", 2 AS fuente FROM <<cc_actual>>
-      UNION ALL SELECT "CC", "NOMBRE CC", "CATEGORIA CC", "GERENCIA", 1 AS fuente FROM <<cc_old>>)"""
+def mark_sql(*columns: str) -> str:
+    """The order of rows that tie: the first 15 digits of the md5 of their values, each with its length."""
+    fields = (f"coalesce(strlen({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in columns)
+    return f"substr(md5({' || '.join(fields)}), 1, 15)"
 
-# The flags as three self-joins; on unique keys the library's one projection gives the same rows.
-FLAGS_SQL = (
-    f"""
-WITH e AS (SELECT * FROM <<employees>>),
-b AS (SELECT *, {YEARS_SQL} AS y, {TEXT_SQL} AS tiempo_servicio_texto FROM e),
-ages AS (SELECT "NUMERO DE DOC", """
-    + ", ".join(
-        f"""(year("FECHA DE NAC.") = year({AS_OF_SQL}) + {r.year_offset} - {r.age}) AS "{r.column}" """
-        for r in rules.AGE_RULES
-    )
-    + """ FROM b),
-terms AS (SELECT "NUMERO DE DOC", """
-    + ", ".join(
-        f"""("Modalidad de Contrato" = '{r.modality}' AND y >= {r.alert_years}) AS "{r.column}" """
+
+# One row per code: all rows of the current catalogue go before those of the old one.
+_CENTER = ('"NOMBRE CC"', '"CATEGORIA CC"', '"GERENCIA"')
+UNIFIED_SQL = f"""
+SELECT code AS "CC", won.n AS nombre_cc, won.k AS categoria_cc, won.g AS gerencia
+FROM (SELECT "CC" AS code, arg_min({{'n': {_CENTER[0]}, 'k': {_CENTER[1]}, 'g': {_CENTER[2]}}}, source || {mark_sql(*_CENTER)}) AS won
+      FROM (SELECT 'a' AS source, * FROM <<cc_actual>> UNION ALL BY NAME SELECT 'b' AS source, * FROM <<cc_old>>) GROUP BY code)"""
+
+# One SELECT: a flag is null without a document; service is compared in days.
+_FLAGS = {
+    "tiempo_servicio_texto": TEXT_SQL,
+    **{r.column: f"""year({AS_OF_SQL}) - year("FECHA DE NAC.") = {r.age - r.year_offset}""" for r in rules.AGE_RULES},
+    **{
+        r.column: f"""({DAYS_SQL} >= {r.alert_years * 365.25}) AND "Modalidad de Contrato" = '{r.modality}'"""
         for r in rules.CONTRACT_RULES
-    )
-    + """ FROM b)
-SELECT e.*, b.tiempo_servicio_texto, """
-    + ", ".join(f'ages."{r.column}"' for r in rules.AGE_RULES)
-    + ", "
-    + ", ".join(f'terms."{r.column}"' for r in rules.CONTRACT_RULES)
-    + """ FROM e LEFT JOIN b ON e."NUMERO DE DOC" = b."NUMERO DE DOC"
-LEFT JOIN ages ON e."NUMERO DE DOC" = ages."NUMERO DE DOC"
-LEFT JOIN terms ON e."NUMERO DE DOC" = terms."NUMERO DE DOC" """
+    },
+}
+FLAGS_SQL = (
+    "SELECT *, "
+    + ", ".join(f"""CASE WHEN "NUMERO DE DOC" IS NOT NULL THEN {value} END AS "{name}" """ for name, value in _FLAGS.items())
+    + " FROM <<employees>>"
 )
 
 
@@ -95,9 +88,9 @@ def self_join(t):
 @query("J4_match_status", """
 SELECT e."NOMBRE", e."NOMBRE DE CC", CASE WHEN e."NOMBRE DE CC" = '' THEN 'SIN_CODIGO'
     WHEN cc."CC" IS NULL THEN 'CODIGO_NO_ENCONTRADO' ELSE 'OK' END AS status_match
-FROM <<exams>> e LEFT JOIN (SELECT DISTINCT "CC" FROM <<cc_actual>>) cc ON e."NOMBRE DE CC" = cc."CC" """)
+FROM <<exams>> e LEFT JOIN (SELECT "CC" FROM <<cc_actual>> UNION SELECT "CC" FROM <<cc_old>>) cc ON e."NOMBRE DE CC" = cc."CC" """)
 def status(t):
-    codes = select_distinct(t["cc_actual"], ["CC"]).select(c("CC").alias("NOMBRE DE CC"), "CC")
+    codes = select_distinct(union_all(t["cc_actual"], t["cc_old"]), ["CC"]).select(c("CC").alias("NOMBRE DE CC"), "CC")
     joined = left_join(t["exams"].select("NOMBRE", c("NOMBRE DE CC")), codes, ["NOMBRE DE CC"])
     code = c("NOMBRE DE CC")
     return joined.select("NOMBRE", code, match_status(code, c("CC")).alias("status_match"))
@@ -127,9 +120,9 @@ def filtered(t):
     return filtered_count(t["leave"], ["PERIODO"], {"con_goce": kind == "CON_GOCE", "sin_goce": kind == "SIN_GOCE"})
 
 
-@query("A3_dedup_keep_first", """
+@query("A3_dedup_keep_first", f"""
 SELECT row_idx, "CC", "NOMBRE CC", "CATEGORIA CC", "GERENCIA" FROM <<cc_rows>>
-QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, "NOMBRE CC" NULLS FIRST, "CATEGORIA CC" NULLS FIRST, "GERENCIA" NULLS FIRST) = 1""")
+QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx, {mark_sql("row_idx", '"CC"', '"NOMBRE CC"', '"CATEGORIA CC"', '"GERENCIA"')}) = 1""")
 def dedup(t):
     return dedup_keep_first(t["cc_rows"], "CC", ["row_idx"])
 
@@ -173,10 +166,9 @@ def distinct_rows(t):
     return select_distinct(t["cc_rows"], ["CC", "CATEGORIA CC"])
 
 
-@query("W1_first_value_by_priority", """
-SELECT DISTINCT "CC", first_value("NOMBRE CC") OVER w AS nombre, first_value("CATEGORIA CC") OVER w AS categoria
-FROM (SELECT *, row_idx % 8 AS fuente FROM <<cc_rows>>)
-WINDOW w AS (PARTITION BY "CC" ORDER BY fuente DESC, "NOMBRE CC" NULLS LAST, "CATEGORIA CC" NULLS LAST)""")
+@query("W1_first_value_by_priority", f"""
+SELECT "CC", "NOMBRE CC" AS nombre, "CATEGORIA CC" AS categoria FROM <<cc_rows>>
+QUALIFY row_number() OVER (PARTITION BY "CC" ORDER BY row_idx % 8 DESC, {mark_sql('"NOMBRE CC"', '"CATEGORIA CC"')}) = 1""")
 def by_priority(t):
     rows = t["cc_rows"].withColumn("fuente", F.col("row_idx") % 8)
     return first_value_by_priority(rows, "CC", {"NOMBRE CC": "nombre", "CATEGORIA CC": "categoria"}, "fuente")
