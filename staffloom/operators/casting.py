@@ -21,7 +21,7 @@ def cast_all_string(df: DataFrame, except_: Iterable[str] = ()) -> DataFrame:
     return map_columns(df, [n for n in df.columns if n not in keep], lambda col: col.cast("string"))
 
 
-def _lenient(df: DataFrame, spec: Col, fraction: bool) -> Column:
+def typed_column(df: DataFrame, spec: Col, fraction: bool) -> Column:
     """Value of the declared type, null where the text does not hold one.
 
     Spark trims text before a cast and takes Java suffixes such as ``1d``; the
@@ -51,7 +51,7 @@ def cast_spec(
     column as text when any of its values is bad; finding that out is one
     aggregate over all such columns, which moves one row per task.
     """
-    typed = {col.name: _lenient(df, col, fraction) for col in spec.columns if col.name in df.columns}
+    typed = {col.name: typed_column(df, col, fraction) for col in spec.columns if col.name in df.columns}
     if mode == "keep_on_failure":
         source = dict(df.dtypes)
         strict = [

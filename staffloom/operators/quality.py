@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from staffloom.names import c
 from staffloom.operators.aggregates import count_true, share_of
+from staffloom.operators.casting import typed_column
 from staffloom.operators.filters import not_in
 from staffloom.specs import TableSpec
 
@@ -58,6 +59,14 @@ def check_types(df: DataFrame, spec: TableSpec, severity: str = ERROR) -> DataFr
     return df.sparkSession.createDataFrame(rows, REPORT_SCHEMA)
 
 
+def check_headers(missing: DataFrame, source: str, severity: str = ERROR) -> DataFrame:
+    """Headers that sheets lack (``source_file, header``, one row per sheet), with the number of sheets and one file of them."""
+    return missing.groupBy("header").agg(F.count(F.lit(1)).alias("n_bad"), F.min("source_file").alias("sample")).select(
+        F.lit(source).alias("source"), F.lit("missing_column").alias("rule"), F.col("header").alias("column"),
+        F.lit(severity).alias("severity"), "n_bad", "sample",
+    )
+
+
 # --- counted checks: one aggregate ---------------------------------------------
 
 
@@ -175,6 +184,17 @@ def check_allowed(df: DataFrame, spec: TableSpec, severity: str = WARNING) -> Da
     )
 
 
+def check_castable(df: DataFrame, spec: TableSpec, severity: str = ERROR) -> DataFrame:
+    """Text columns of a table that are declared otherwise: values that do not cast to the declared type."""
+    kinds = dict(df.dtypes)
+    rules = [
+        ("wrong_type", col.name, severity, c(col.name).isNotNull() & typed_column(df, col, True).isNull())
+        for col in _present(df, spec)
+        if col.type != "string" and kinds[col.name] == "string"
+    ]
+    return _count_rules(df, rules, spec.name)
+
+
 def check_unique(df: DataFrame, keys: Sequence[str], source: str = "") -> DataFrame:
     """Number of key groups with more than one row; absent key columns shorten the key."""
     present = [k for k in keys if k in df.columns]

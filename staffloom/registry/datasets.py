@@ -228,3 +228,56 @@ SELECT {", ".join(f'"{n}"' for n in _OUT)}, "NOMBRE DE CC" AS codigo_cc_original
 FROM <<exams>> LEFT JOIN center ON "CC" = "NOMBRE DE CC" """)
 def q15(t):
     return exams.exit_exams_enriched(t["exams"], t["cc_actual"], t["cc_old"])
+
+
+# --- from the sheet on --------------------------------------------------------------
+
+
+_INCOME_CUT = """r AS (SELECT *, strftime(o_orderdate, '%Y-%m') AS f, (o_orderpriority = '5-LOW') AS intern FROM orders),
+cut AS (SELECT f, intern, min(o_orderkey) AS cut FROM r WHERE o_totalprice < 2000 GROUP BY f, intern),
+kept AS (SELECT r.* FROM r LEFT JOIN cut ON r.f = cut.f AND r.intern = cut.intern WHERE cut IS NULL OR o_orderkey < cut)"""
+_CODE = "CASE WHEN o_orderstatus NOT IN ('P', 'F') THEN cast(o_custkey AS VARCHAR) END"
+_GIVEN = {
+    "AÑO": "strftime(o_orderdate, '%Y')", "MES": "cast(month(o_orderdate) AS VARCHAR)", "DNI": "cast(o_orderkey AS VARCHAR)",
+    "N° DOCUM.": "cast(o_custkey AS VARCHAR)", "PROYECTO": "if(o_orderpriority IN ('1-URGENT', '2-HIGH'), 'Staff', 'P')", "CODIGO SAP": _CODE,
+    "SEXO": "if(o_orderstatus = 'F', 'F', 'M')", "FECHA INICIO": "strftime(o_orderdate, '%Y-%m-%d 00:00:00')", "TURNO": "'T'",
+    "Numero Documento": "cast(o_orderkey AS VARCHAR)", "Universidad de Procedencia": "if(o_orderstatus <> 'O', 'U', NULL)",
+    "Sexo": "if(o_orderstatus = 'F', 'F', 'M')",
+}
+
+
+def _income_sql(names, intern: bool) -> str:
+    given = [n for n in _GIVEN if n not in ("Numero Documento", "Universidad de Procedencia", "Sexo")] if not intern else [
+        "AÑO", "MES", "Numero Documento", "CODIGO SAP", "Universidad de Procedencia", "Sexo"]
+    picked = ", ".join(f'{_GIVEN[n] if n in given else "cast(NULL AS VARCHAR)"} AS "{n}"' for n in names)
+    return f"""WITH {_INCOME_CUT}
+SELECT strftime(o_orderdate, '%Y-%m') AS "PERIODO", {picked} FROM kept WHERE {"" if intern else "NOT "}intern"""
+
+
+@query("Q9_income_employees_silver", _income_sql([*tables.INCOME_EMPLOYEE_HEADERS, *income.EMPLOYEE_EXTRA, "TURNO"], False))
+def q9_sheet(t):
+    return income.income_employees_silver(t["income_bronze"])
+
+
+@query("Q10_income_interns_silver", _income_sql([*tables.INCOME_INTERN_HEADERS, *income.INTERN_EXTRA], True))
+def q10_sheet(t):
+    return income.income_interns_silver(t["income_bronze"])
+
+
+_MINING_GIVEN = {
+    "PERIODO": "strftime(o_orderdate, '%Y-%m')", "AÑO": "strftime(o_orderdate, '%Y')", "MES": "cast(month(o_orderdate) AS BIGINT)",
+    "CÓDIGO CORPORATIVO": "'C' || o_custkey", "DNI/CEX": "cast(o_orderkey AS VARCHAR)", "PUESTO": "o_orderpriority",
+    "FECHA DE INGRESO": "cast(o_orderdate AS DATE)", "DIAS TRABAJADOS": "if(o_orderstatus = 'P', NULL, o_custkey % 40)",
+    "TOTAL INGRESOS": "o_totalprice", "TOTAL DESCUENTOS": "o_totalprice / 4",
+    "NETO": "o_totalprice - o_totalprice / 4 + if(o_orderstatus = 'F', 1, 0)",
+}
+_MINING_KINDS = {"string": "VARCHAR", "integer": "BIGINT", "float": "DOUBLE", "date": "DATE"}
+
+
+@query("Q6_mining_payroll_from_sheets", "SELECT " + ", ".join(
+    f'{_MINING_GIVEN.get(n.name, f"cast(NULL AS {_MINING_KINDS[n.type]})")} AS "{n.name}"' for n in tables.MINING_PAYROLL.columns
+) + f""", {_MONTHS.replace("CASE m", "CASE month(o_orderdate)")} END AS "NOMBRE_MES"
+FROM orders WHERE o_totalprice BETWEEN 5000 AND 490000""")
+def q6_sheet(t):
+    silver = payroll.payroll_silver(t["mining_bronze"], tables.MINING_PAYROLL)
+    return payroll.mining_payroll_gold(silver)

@@ -2,21 +2,27 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from staffloom.functions.text import is_blank
 from staffloom.names import c
 from staffloom.operators import quality as checks
 from staffloom.operators.casting import cast_spec
-from staffloom.plans.employees import employee_flags, flag_columns
-from staffloom.plans.exams import exit_exams_enriched
-from staffloom.plans.income import cleaning_rules
-from staffloom.plans.payroll import payroll_gold
+from staffloom.operators.watch import Watch
+from staffloom.plans.employees import employee_flags, employees_typed, flag_columns
+from staffloom.plans.exams import exam_sheets, exit_exams_enriched, exit_exams_gold
+from staffloom.plans.income import clean_income, cleaning_rules, income_employees_gold
+from staffloom.plans.payroll import mining_payroll_gold, payroll_gold, payroll_sheets
 from staffloom.registry.core import query
 from staffloom.registry.functions import as_of
 from staffloom.registry.relational import FLAGS_SQL
-from staffloom.registry.shaping import PAYROLL_PRESENT, number
+from staffloom.registry.shaping import PAYROLL_PRESENT, number, stamp
+from staffloom.registry.sheets import PAYROLL_EVEN, PAYROLL_FILE
+from staffloom.sources.layers import write_current
 from staffloom.sources.preflight import preflight
+from staffloom.sources.scratch import shared_folder
 from staffloom.specs import Col, SheetContract, SourceContract, TableSpec, contracts, tables
 
 _NO_SAMPLE = "cast(NULL AS VARCHAR) AS sample"
@@ -27,16 +33,15 @@ def finding(source: str, rule: str, column: str, severity: str, condition: str,
     count(*) FILTER (WHERE {condition}) AS n_bad, {_NO_SAMPLE} FROM {table}"""
 
 
-def _rows_sql(source: str, rule: str, found: dict[str, str | None], extra: str = "") -> str:
-    """SQL rows of a metadata finding per column, with an optional further column."""
+def _rows_sql(source: str, rule: str, found: dict[str, str | None]) -> str:
+    """SQL rows of a metadata finding per column."""
     return " UNION ALL ".join(
         f"""SELECT '{source}' AS source, '{rule}' AS rule, '{column}' AS "column", 'error' AS severity,
-    cast(1 AS BIGINT) AS n_bad, {f"'{sample}'" if sample else "cast(NULL AS VARCHAR)"} AS sample{extra}"""
+    cast(1 AS BIGINT) AS n_bad, {f"'{sample}'" if sample else "cast(NULL AS VARCHAR)"} AS sample"""
         for column, sample in found.items()
     )
 
 
-_ROWS = ", (SELECT count(*) FROM <<payroll_silver>>) AS n_rows"
 _ABSENT = {n: None for n in tables.PAYROLL.names if n not in PAYROLL_PRESENT}
 _STILL_TEXT = {
     "F. NACIMIENTO": "date", "FECHA DE INGRESO": "date", "FECHA CESE": "date", "DIAS SUBSIDIO ENFERMEDAD": "integer",
@@ -45,21 +50,26 @@ _STILL_TEXT = {
 }
 
 
-def _with_rows(report, df):
-    """The report, with the number of rows each finding stands for."""
-    return report.withColumn("n_rows", df.agg(F.count(F.lit(1))).scalar())
+@query("V1_check_columns", f"""
+WITH sheets AS (SELECT DISTINCT {PAYROLL_FILE} AS file, {PAYROLL_EVEN} AS wide FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P'),
+asked(header, only_wide) AS (VALUES ('APELLIDO PATERNO', NULL), ('TIPO DE DOCUMENTO', NULL), ('MOTIVO CESE', true), ('bono  especial', true), ('nombres', false))
+SELECT 'payroll' AS source, 'missing_column' AS rule, header AS "column", 'error' AS severity, count(*) AS n_bad, min(file) AS sample
+FROM sheets, asked WHERE only_wide IS NULL OR (only_wide AND NOT wide) GROUP BY header""")
+def columns(t):
+    asked = ["APELLIDO PATERNO", "TIPO DE DOCUMENTO", "MOTIVO CESE", "bono  especial", "nombres"]
+    return checks.check_headers(payroll_sheets(t["payroll_bronze"]).missing(asked), "payroll")
 
 
-@query("V1_check_columns", _rows_sql("payroll", "missing_column", _ABSENT, _ROWS))
-def columns(t):
-    return _with_rows(checks.check_columns(t["payroll_silver"], tables.PAYROLL), t["payroll_silver"])
+_DATE, _BIGINT, _DOUBLE = (lambda n: stamp(n)), (lambda n: number(n, "BIGINT")), (lambda n: number(n, "DOUBLE"))
+_VALUE = {"date": _DATE, "integer": _BIGINT, "float": _DOUBLE}
 
 
-@query("V2_check_types", _rows_sql(
-    "payroll", "wrong_type", {n: f"{k} expected, string found" for n, k in _STILL_TEXT.items()}, _ROWS
+@query("V2_check_types", " UNION ALL ".join(
+    finding("payroll", "wrong_type", n, "error", f'"{n}" IS NOT NULL AND ({_VALUE[k](n)}) IS NULL', "<<payroll_silver>>")
+    for n, k in _STILL_TEXT.items()
 ))
 def types(t):
-    return _with_rows(checks.check_types(t["payroll_silver"], tables.PAYROLL), t["payroll_silver"])
+    return checks.check_castable(t["payroll_silver"], tables.PAYROLL)
 
 
 _NOT_NULL = [
@@ -227,3 +237,95 @@ SELECT 'c_mktsegment' AS "column", string_agg(v, ', ' ORDER BY v) AS sample FROM
 (SELECT DISTINCT c_mktsegment AS v FROM customer WHERE c_mktsegment <> 'BUILDING' ORDER BY v LIMIT 2)""")
 def head(t):
     return checks.invalid_samples(t["customer"], _MARKET, size=2)
+
+
+# --- rules over several columns -----------------------------------------------------
+
+
+def _dates(later: str, earlier: str, fraction: bool = True) -> str:
+    return f"({stamp(later, fraction)}) <= ({stamp(earlier, fraction)})"
+
+
+@query("V15_row_rules_payroll", " UNION ALL ".join([
+    finding("payroll", "not_after", "FECHA CESE, FECHA DE INGRESO", "warning", _dates("FECHA CESE", "FECHA DE INGRESO"), "<<payroll_silver>>"),
+    finding("payroll", "pattern", "PERIODO", "warning", "NOT regexp_full_match(\"PERIODO\", '[0-9]{4}-[0-9]{2}')", "<<payroll_silver>>"),
+]))
+def payroll_rules(t):
+    return checks.check_rows(payroll_gold(t["payroll_silver"]), tables.PAYROLL)
+
+
+@query("V15_row_rules_mining", " UNION ALL ".join([
+    finding("mining_payroll", "no_balance", "NETO", "warning",
+            f"abs({number('NETO', 'DOUBLE')} - {number('TOTAL INGRESOS', 'DOUBLE')} + {number('TOTAL DESCUENTOS', 'DOUBLE')}) > 0.05", "<<mining_silver>>"),
+    finding("mining_payroll", "negative", "NETO", "warning", f"{number('NETO', 'DOUBLE')} < 0", "<<mining_silver>>"),
+    finding("mining_payroll", "after_period", "FECHA DE INGRESO, PERIODO", "warning",
+            f"strftime({stamp('FECHA DE INGRESO')}, '%Y-%m') > \"PERIODO\"", "<<mining_silver>>"),
+    finding("mining_payroll", "pattern", "PERIODO", "warning", "NOT regexp_full_match(\"PERIODO\", '[0-9]{4}-[0-9]{2}')", "<<mining_silver>>"),
+]))
+def mining_rules(t):
+    return checks.check_rows(mining_payroll_gold(t["mining_silver"]), tables.MINING_PAYROLL)
+
+
+@query("V15_row_rules_employees", " UNION ALL ".join([
+    finding("employees", "not_after", "Fecha de Termino, FECH_INGR.", "warning", _dates("Fecha de Termino", "FECH_INGR.", False), "<<employees_silver>>"),
+    finding("employees", "no_rule", "Modalidad de Contrato", "warning",
+            "\"Modalidad de Contrato\" = 'CONTRATO POR OBRA' OR NOT (\"Modalidad de Contrato\" SIMILAR TO "
+            "'CONTRATO POR OBRA O SERVICIO ESPECIFICO|CONTRATO POR INCREMENTO DE ACTIVIDAD|PLAZO INDETERMINADO|CONTRATO EXTRANJERO|.*TERMINO DE CONVENIO.*')",
+            "<<employees_silver>>"),
+]))
+def employee_rules(t):
+    return checks.check_rows(employees_typed(t["employees_silver"]), tables.EMPLOYEES)
+
+
+@query("V15_pattern_income", finding(
+    "income_employees", "pattern", "PERIODO", "warning",
+    "NOT regexp_full_match(\"AÑO\" || '-' || lpad(\"MES\", 2, '0'), '[0-9]{4}-[0-9]{2}')", "<<income_raw>>"
+))
+def income_pattern(t):
+    return checks.check_rows(income_employees_gold(clean_income(t["income_raw"])), tables.INCOME_EMPLOYEES)
+
+
+@query("V15_exam_key", f"""
+WITH g AS (SELECT "DNI", {stamp("FECHA DE CESE", False)} AS d FROM <<exams_silver>> WHERE "CARGO" <> 'STUDENT INTERNAL')
+SELECT 'exit_exams' AS source, 'duplicate_key' AS rule, 'DNI, FECHA DE CESE' AS "column", 'error' AS severity,
+       count(*) AS n_bad, cast(NULL AS VARCHAR) AS sample FROM (SELECT 1 FROM g GROUP BY "DNI", d HAVING count(*) > 1)""")
+def exam_key(t):
+    return checks.check_unique(exit_exams_gold(t["exams_silver"]), tables.EXIT_EXAMS.primary_key, "exit_exams")
+
+
+@query("V16_watched_report", " UNION ALL ".join([
+    finding("payroll", "null", "APELLIDO PATERNO", "error", '"APELLIDO PATERNO" IS NULL', "<<payroll_silver>>"),
+    finding("payroll", "below_min", "SUBS. POR ENFERMEDAD", "warning",
+            'cast("SUBS. POR ENFERMEDAD" AS DOUBLE) < 0', "<<payroll_silver>>"),
+    """SELECT 'payroll', 'not_allowed', 'SEXO', 'warning', count(*), min("SEXO") || ', ' || max("SEXO")
+       FROM <<payroll_silver>> WHERE "SEXO" NOT IN ('M', 'F')""",
+    """SELECT 'payroll rows', 'lost', 'SEXO', 'warning', count(*), NULL FROM <<payroll_silver>> WHERE length("SEXO") > 1""",
+]))
+def watched_report(t):
+    """Counts that came with the write of a layer."""
+    watch = Watch()
+    gold = watch.table(payroll_gold(t["payroll_silver"]), tables.PAYROLL)
+    gold = watch.losses(gold, "payroll rows", {"SEXO": F.length("SEXO") == 1})
+    write_current(gold.filter(F.length("SEXO") == 1), f"{shared_folder(t.spark)}/staffloom/watched-{uuid.uuid4().hex}")
+    return watch.report(t.spark).filter(F.col("rule").isin("null", "not_allowed", "below_min", "lost"))
+
+
+# --- sheets: what became of their rows ------------------------------------------------
+
+
+@query("S5_accounting_of_sheets", """
+WITH r AS (SELECT 'Examenes ' || strftime(o_orderdate, '%Y-%m') || '.xlsx' AS source_file, o_orderkey + 4 AS row_idx, o_totalprice < 2000 AS blank FROM orders),
+cut AS (SELECT source_file, min(row_idx) FILTER (blank) AS first_cut FROM r GROUP BY source_file)
+SELECT source_file, count(*) AS landed, count(*) FILTER (row_idx >= first_cut) AS cut, count(*) FILTER (first_cut IS NULL OR row_idx < first_cut) AS kept, any_value(first_cut) AS first_cut
+FROM r JOIN cut USING (source_file) GROUP BY source_file""")
+def exam_accounting(t):
+    return exam_sheets(t["exams_bronze"]).accounting().select("source_file", "landed", "cut", "kept", "first_cut")
+
+
+@query("S8_accounting_of_footers", f"""
+SELECT {PAYROLL_FILE} AS source_file, count(*) AS landed, count(*) FILTER (o_totalprice > 490000) AS footer,
+       count(*) FILTER (o_totalprice < 5000) AS no_first_cell, count(*) FILTER (o_totalprice BETWEEN 5000 AND 490000) AS kept
+FROM orders WHERE o_orderpriority <> '5-LOW' AND o_orderstatus <> 'P' GROUP BY 1""")
+def footer_accounting(t):
+    told = payroll_sheets(t["payroll_bronze"], every=True).accounting(footers=True)
+    return told.select("source_file", "landed", "footer", "no_first_cell", "kept")

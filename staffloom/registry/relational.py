@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from staffloom.names import c
@@ -18,12 +20,15 @@ from staffloom.operators.aggregates import (
     value_counts,
 )
 from staffloom.operators.joins import left_join, match_status
+from staffloom.operators.quality import check_unique
 from staffloom.operators.sets import order_by, union_all, union_diagonal
 from staffloom.plans.employees import employee_flags, flag_columns
 from staffloom.plans.exams import unified_cost_centers
 from staffloom.plans.payroll import PERSON_PERIOD, leave_reasons
 from staffloom.registry.core import query
 from staffloom.registry.functions import AS_OF_SQL, DAYS_SQL, TEXT_SQL, as_of
+from staffloom.sources.buckets import write_bucketed
+from staffloom.sources.scratch import shared_folder
 from staffloom.specs import rules
 
 REASONS_SQL = """
@@ -70,6 +75,32 @@ def two_keys(t):
     return left_join(payroll, leave_reasons(t["leave"]), PERSON_PERIOD)
 
 
+def _bucketed(t, name: str):
+    df = t[name]
+    path = f"{shared_folder(t.spark)}/staffloom/{name}-{uuid.uuid4().hex}"
+    return write_bucketed(df, path, PERSON_PERIOD, BUCKETS, name)
+
+
+BUCKETS = 8
+
+
+@query("J1_bucketed_layers", f"""
+SELECT n."DNI/CEX", n."PERIODO", n."SEXO", l.paid AS MOTIVO_CON_GOCE, l.unpaid AS MOTIVO_SIN_GOCE FROM <<payroll_silver>> n LEFT JOIN (
+    SELECT "DNI/CEX", "PERIODO", string_agg("MOTIVO", ' | ' ORDER BY "MOTIVO") FILTER ("TIPO_LICENCIA" = 'CON_GOCE') AS paid,
+           string_agg("MOTIVO", ' | ' ORDER BY "MOTIVO") FILTER ("TIPO_LICENCIA" = 'SIN_GOCE') AS unpaid
+    FROM <<leave>> GROUP BY ALL) l USING ("DNI/CEX", "PERIODO")""")
+def bucketed_join(t):
+    """J1 and A1 over layers that are bucketed by person and period: nothing is shuffled."""
+    payroll = _bucketed(t, "payroll_silver").select(c("DNI/CEX"), "PERIODO", "SEXO")
+    return left_join(payroll, leave_reasons(_bucketed(t, "leave")), PERSON_PERIOD)
+
+
+@query("V6_bucketed_key", """
+SELECT count(*) AS n_bad FROM (SELECT 1 FROM <<leave>> GROUP BY "DNI/CEX", "PERIODO" HAVING count(*) > 1)""")
+def bucketed_key(t):
+    return check_unique(_bucketed(t, "leave"), PERSON_PERIOD, "leave").select("n_bad")
+
+
 @query("J2_left_join_catalog", f"""
 SELECT e."NOMBRE", e."NOMBRE DE CC", cc.nombre_cc, cc.gerencia FROM <<exams>> e
 LEFT JOIN ({UNIFIED_SQL}) cc ON e."NOMBRE DE CC" = cc."CC" """)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from datetime import datetime
+
 from pyspark.sql import functions as F
 
 from staffloom.functions.dates import (
@@ -14,8 +17,9 @@ from staffloom.names import c
 from staffloom.operators.filters import drop_all_null_rows
 from staffloom.operators.projection import with_constant
 from staffloom.registry.core import query
-from staffloom.sources.layers import read_layer
+from staffloom.sources.layers import read_current, read_history, read_layer, write_current, write_current_and_history, write_if_nonempty
 from staffloom.sources.layouts import BLANK_RUN, FIRST_BLANK, discover, missing_headers, promote_header, select_by_header
+from staffloom.sources.scratch import shared_folder
 from staffloom.sources.sheets import drop_non_data_rows, header_scan, skip_blank_key
 from staffloom.specs import contracts
 
@@ -156,6 +160,39 @@ def layer(t):
     return read_layer(t.spark, f"{t.folder}/supplier.parquet")
 
 
+def _base(t):
+    return f"{shared_folder(t.spark)}/staffloom/layer-{uuid.uuid4().hex}"
+
+
+@query("S16_write_current", "SELECT * FROM supplier")
+def current(t):
+    """A table written twice: the second version is the current one."""
+    base, df = _base(t), t["supplier"]
+    write_current(df.filter(F.col("s_suppkey") % 2 == 0), base)
+    write_current(df, base)
+    return read_current(t.spark, base)
+
+
+@query("S17_write_current_and_history", """
+SELECT c_custkey, c_mktsegment, '20250101T000000' AS run_ts FROM customer WHERE c_custkey % 3 = 0
+UNION ALL SELECT c_custkey, c_mktsegment, '20250201T120000' FROM customer""")
+def history(t):
+    """Three runs, the second of them repeated by the third."""
+    base, df = _base(t), t["customer"].select("c_custkey", "c_mktsegment")
+    for part, stamp in ((df.filter(F.col("c_custkey") % 3 == 0), datetime(2025, 1, 1)), (df.limit(1), datetime(2025, 2, 1, 12)), (df, datetime(2025, 2, 1, 12))):
+        write_current_and_history(part, base, stamp)
+    return read_history(t.spark, base)
+
+
+@query("S18_write_if_nonempty", "SELECT p_partkey, p_name FROM part")
+def nonempty(t):
+    """A run without rows leaves the table as it was."""
+    base, df = _base(t), t["part"].select("p_partkey", "p_name")
+    write_if_nonempty(df, base, datetime(2025, 1, 1))
+    write_if_nonempty(df.filter(F.col("p_partkey") < 0), base, datetime(2025, 2, 1))
+    return read_current(t.spark, base)
+
+
 @query("V13_header_scan", rf"""
 WITH t AS (SELECT cast(conv_id AS VARCHAR) AS source_file, string_split_regex(text, '[ \n]') AS l
            FROM conversations WHERE turn = 0),

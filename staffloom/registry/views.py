@@ -400,6 +400,54 @@ def exams_bronze(spark: SparkSession, folder: str) -> DataFrame:
     return _with_header(data, 3, F.concat(known, F.array(more)))
 
 
+INCOME_SHEET = ("AÑO", "MES", "DNI", "N° DOCUM.", "PROYECTO", "CODIGO SAP", "SEXO", "FECHA INICIO", "TURNO")
+INCOME_INTERN_SHEET = ("AÑO", "MES", "Numero Documento", "CODIGO SAP", "Universidad de Procedencia", "Sexo")
+
+
+def income_bronze(spark: SparkSession, folder: str) -> DataFrame:
+    """Two sheets in one file per month; a row that is blank under all headers (but not beside them) ends a sheet."""
+    o = read_base(spark, folder, "orders")
+    intern = F.col("o_orderpriority") == "5-LOW"
+    blank = F.col("o_totalprice") < 2000
+    year, month, document, none = _text(F.year(_odate())), _text(F.month(_odate())), _text("o_orderkey"), F.lit(None).cast("string")
+    code = F.when(F.col("o_orderstatus") == "P", "#N/D").when(F.col("o_orderstatus") == "F", "x error").otherwise(_text("o_custkey"))
+    project = F.when(F.col("o_orderpriority") == "1-URGENT", "0").when(F.col("o_orderpriority") == "2-HIGH", " ").otherwise("P")
+    sex = F.when(F.col("o_orderstatus") == "F", "F").otherwise("M")
+    people = F.array(F.lit("nota"), year, month, document, _text("o_custkey"), project, code, sex, F.concat(_text(_odate()), F.lit(" 00:00:00")), F.lit("T"))
+    empty = F.concat(F.array(F.lit("nota")), F.array_repeat(F.lit(" "), len(INCOME_SHEET)))
+    interns = F.array(year, month, document, code, F.when(F.col("o_orderstatus") != "O", "U"), sex)
+    data = o.select(
+        F.concat(F.lit("Ingresos "), F.date_format(_odate(), "yyyy-MM"), F.lit(".xlsx")).alias("source_file"),
+        F.when(intern, "PRACTICANTES").otherwise("EMPLEADOS").alias("sheet"),
+        (F.col("o_orderkey") + 3).alias("row_idx"),
+        F.when(intern, F.when(blank, F.array(none, none)).otherwise(interns)).otherwise(F.when(blank, empty).otherwise(people)).alias("cells"),
+    )
+    header = F.when(F.col("sheet") == "EMPLEADOS", _words(None, *INCOME_SHEET)).otherwise(_words(*INCOME_INTERN_SHEET))
+    return _with_header(data, 2, header)
+
+
+MINING_SHEET = (
+    "CÓDIGO CORPORATIVO", "DNI/CEX", "PUESTO", "FECHA DE INGRESO", "DIAS TRABAJADOS", "TOTAL INGRESOS", "TOTAL DESCUENTOS", "NETO", "TURNO",
+)
+
+
+def mining_bronze(spark: SparkSession, folder: str) -> DataFrame:
+    """Monthly sheets of the mining payroll, with a header that its spec does not know."""
+    o = read_base(spark, folder, "orders")
+    first = F.when(F.col("o_totalprice") > 490000, "TOTAL GENERAL DE LA PLANILLA").otherwise(F.concat(F.lit("C"), _text("o_custkey")))
+    cells = F.array(
+        first, F.when(F.col("o_totalprice") >= 5000, _text("o_orderkey")), F.concat(F.lit(" "), F.col("o_orderpriority")),
+        F.concat(_text(_odate()), F.lit(" 00:00:00")), F.when(F.col("o_orderstatus") == "P", "31.0").otherwise(_text(F.col("o_custkey") % 40)),
+        _text("o_totalprice"), _text(F.col("o_totalprice") / 4), _text(F.col("o_totalprice") - F.col("o_totalprice") / 4 + F.when(F.col("o_orderstatus") == "F", 1).otherwise(0)),
+        F.lit("N"),
+    )
+    data = o.select(
+        F.concat(F.lit("Planilla "), F.date_format(_odate(), "yyyy-MM"), F.lit(" minera.xlsx")).alias("source_file"),
+        F.lit("Planilla").alias("sheet"), (F.col("o_orderkey") + 7).alias("row_idx"), cells.alias("cells"),
+    )
+    return _with_header(data, 6, _words(*MINING_SHEET))
+
+
 def chat_bronze(spark: SparkSession, folder: str) -> DataFrame:
     """Conversations as sheets: one file each, the turn as row number, words as cells."""
     t = read_base(spark, folder, "conversations")
@@ -415,6 +463,8 @@ BRONZE: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "leave_bronze": leave_bronze,
     "interns_bronze": interns_bronze,
     "exams_bronze": exams_bronze,
+    "income_bronze": income_bronze,
+    "mining_bronze": mining_bronze,
     "chat_bronze": chat_bronze,
 }
 

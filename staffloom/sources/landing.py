@@ -13,9 +13,9 @@ import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from staffloom.sources.scratch import exists
 from staffloom.sources.workbooks import LANDED_SCHEMA, discover_sources, land_workbooks
 
 MANIFEST = "source_path string, source_file string, length long, modificationTime timestamp, error string, landing string"
@@ -26,12 +26,9 @@ _GLOB = re.compile(r"([\\\[\]{}*?])")
 
 def landings(spark: SparkSession, base: str) -> DataFrame:
     """The manifest: every version of every file that was read; empty before the first landing."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{base}/files")
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
+    if not exists(spark, f"{base}/files"):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{base}/files")
 
 
 def landed_files(spark: SparkSession, base: str) -> DataFrame:

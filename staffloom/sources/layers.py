@@ -10,9 +10,10 @@ from __future__ import annotations
 import uuid
 from datetime import datetime
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession, functions as F
 
+from staffloom.sources.scratch import exists
+
 MANIFEST = "seq long, version string, run_ts string"
 HISTORY, VERSIONS = "history", "versions"
 
@@ -28,12 +29,9 @@ def stamp_of(run_ts: datetime) -> str:
 
 def published(spark: SparkSession, base: str) -> DataFrame:
     """The manifest of a table: ``seq, version`` (its folder), ``run_ts``; empty before the first run."""
-    try:
-        return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
-    except AnalysisException as problem:
-        if "PATH_NOT_FOUND" not in str(problem):
-            raise
+    if not exists(spark, f"{base}/manifest"):
         return spark.createDataFrame([], MANIFEST)
+    return spark.read.schema(MANIFEST).parquet(f"{base}/manifest")
 
 
 def _last(spark: SparkSession, base: str):

@@ -20,6 +20,12 @@ def shared_folder(spark: SparkSession) -> str:
     return _LOCAL.setdefault("dir", tempfile.mkdtemp(prefix="staffloom-"))
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is a file or folder at ``path``, on any storage that Spark reaches."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(place)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` once and go on from the written table."""
     path = f"{shared_folder(df.sparkSession)}/staffloom/{name}-{uuid.uuid4().hex}"
