@@ -19,6 +19,7 @@ def main() -> None:
     from pyspark.sql import SparkSession
 
     from staffloom.registry import QUERIES
+    from staffloom.session import RECOMMENDED
 
     folder = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     cpus = os.environ.get("BENCH_CPUS", "8")
@@ -31,6 +32,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.driver.memory", os.environ.get("BENCH_MEMORY", "12g"))
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", RECOMMENDED["spark.sql.codegen.hugeMethodLimit"])
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -45,10 +45,10 @@ def parse_stamp_or_date(col: Column) -> Column:
 def ddmmyyyy_to_iso(col: Column) -> Column:
     """``d/m/yyyy`` text to ``YYYY-MM-DD 00:00:00`` text; other or impossible text is kept."""
     text = strip(col)
-    part = lambda i: F.regexp_extract(text, DAY_FIRST_SLASH, i)
-    parsed = _date(part(3), part(2), part(1))
-    iso = F.concat(parsed.cast("string"), F.lit(" 00:00:00"))
-    return F.when(text.rlike(DAY_FIRST_SLASH), F.coalesce(iso, text)).otherwise(text)
+    turned = F.regexp_replace(text, DAY_FIRST_SLASH, "$3-$2-$1").try_cast("date")
+    iso = F.concat(turned.cast("string"), F.lit(" 00:00:00"))
+    # few cells hold a slash: the others are not matched at all
+    return F.when(F.contains(col, F.lit("/")) & text.rlike(DAY_FIRST_SLASH), F.coalesce(iso, text)).otherwise(text)
 
 
 def parse_excel_date(col: Column) -> Column:

@@ -18,14 +18,21 @@ INTEGER_TEXT = r"^[+-]?[0-9]+\z"
 FLOAT_TEXT = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
 
 
+def _begins_visibly(col: Column) -> Column:
+    """The first character is an ASCII one that shows: one comparison of bytes at each end."""
+    return (col >= "!") & (col < "\x7f")
+
+
 def strip(col: Column) -> Column:
-    """Remove white space of any kind from both ends."""
-    return F.btrim(col, F.lit(WHITESPACE))
+    """Remove white space of any kind from both ends; text that shows at both ends is not looked at further."""
+    plain = _begins_visibly(col) & _begins_visibly(F.substring(col, -1, 1))
+    return F.when(plain, col).otherwise(F.btrim(col, F.lit(WHITESPACE)))
 
 
 def is_blank(col: Column) -> Column:
     """True for null, empty and white-space-only text; never null."""
-    return F.coalesce(F.length(strip(col)) == 0, F.lit(True))
+    filled = F.coalesce(_begins_visibly(col), F.lit(False))
+    return ~(filled | F.coalesce(F.length(F.btrim(col, F.lit(WHITESPACE))) > 0, F.lit(False)))
 
 
 def normalize_header(col: Column) -> Column:

@@ -59,36 +59,35 @@ def filtered_count(df: DataFrame, keys: Sequence[str], outputs: Mapping[str, Col
     return df.groupBy(*[c(k) for k in keys]).agg(*[F.count_if(cond).alias(n) for n, cond in outputs.items()])
 
 
-_MARK = 1 << 60
-
-
 def row_mark(names: Sequence[str]) -> Column:
     """A number below 2^60 that tells rows apart by their values: the first 15 digits of the md5 of all of them as text."""
     fields = []
     for name in names:
         text = c(name).cast("string")
         fields.append(F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-")))
-    return F.conv(F.substring(F.md5(F.concat(*fields).cast("binary")), 1, 15), 16, 10).cast("decimal(19,0)")
+    return F.conv(F.substring(F.md5(F.concat(*fields).cast("binary")), 1, 15), 16, 10).cast("long")
 
 
-def first_rows(df: DataFrame, key: str, order: Column, names: Sequence[str]) -> DataFrame:
-    """Per key, the row with the least ``order`` (a whole number); rows that tie are told apart by ``row_mark``.
+def first_rows(df: DataFrame, key: str, order: str, names: Sequence[str]) -> DataFrame:
+    """Per key, the row with the least ``order`` (a column of whole numbers); rows that tie are told apart by ``row_mark``.
 
-    The rank (order, mark) is one number of fixed width, so its minimum is a hash aggregate with partials before the
-    shuffle, and texts stay out of it.  A semi-join then fetches the rows of the winners, which are few.  Null is a key of its own.
+    The least order of a key is a hash aggregate of one number, with partials before the shuffle, and texts stay out of it.
+    A semi-join then fetches the rows that have it, which are few; where a key has several, Spark keeps one of each task
+    before it shuffles them.  Null is a key of its own, and an order before all others only where a key has no other.
     """
-    rank = order.cast("decimal(18,0)") * F.lit(_MARK).cast("decimal(19,0)") + row_mark(names)
-    ranked = df.select(*[c(n) for n in dict.fromkeys([key, *names])], rank.cast("decimal(38,0)").alias(_PAIR))
-    best = ranked.groupBy(c(key)).agg(F.min(_PAIR).alias("__rank")).select(c(key).alias("__key"), "__rank")
-    won = ranked.join(best, c(key).eqNullSafe(F.col("__key")) & (F.col(_PAIR) == F.col("__rank")), "left_semi")
-    return won.drop(_PAIR).distinct()  # rows that are equal in everything are one
+    best = df.groupBy(c(key)).agg(F.min(c(order)).alias("__least")).select(c(key).alias("__key"), "__least")
+    won = df.join(best, c(key).eqNullSafe(F.col("__key")) & c(order).eqNullSafe(F.col("__least")), "left_semi")
+    place = F.row_number().over(Window.partitionBy(c(key)).orderBy(F.col("__mark")))
+    picked = won.select(*[c(n) for n in dict.fromkeys([key, *names])], row_mark(names).alias("__mark"))
+    return picked.withColumn("__place", place).filter(F.col("__place") == 1).drop("__mark", "__place")
 
 
 def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """One row per key: the one that comes first by ``order``, columns of whole numbers or text (see ``first_rows``).
 
-    Text columns of the order are numbered first, by their distinct values; files, say, of which there are few against their rows.
+    Text columns of the order are numbered first, by their distinct values: files, of which there are few against their rows.
     """
+    names, place = df.columns, None
     for i, name in enumerate(order):
         if dict(df.dtypes)[name] == "string":
             values = df.select(c(name)).distinct()
@@ -96,11 +95,9 @@ def dedup_keep_first(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame
             df = df.join(numbered, c(name).eqNullSafe(F.col("__value"))).drop("__value")
         else:
             df = df.withColumn(f"__n{i}", c(name))
-    names = [n for n in df.columns if not n.startswith("__n")]
-    place = F.col("__n0").cast("decimal(18,0)")
-    for i in range(1, len(order)):
-        place = (place * _ROWS_PER_FILE + F.col(f"__n{i}")).cast("decimal(18,0)")
-    return first_rows(df.withColumn("__order", place), key, F.col("__order"), names).select(*[c(n) for n in names])
+        own = F.col(f"__n{i}").cast("long")
+        place = own if place is None else place * _ROWS_PER_FILE + own
+    return first_rows(df.withColumn("__order", place), key, "__order", names).select(*[c(n) for n in names])
 
 
 def first_value_by_priority(
@@ -110,7 +107,7 @@ def first_value_by_priority(
 
     ``values`` maps source to output name.  Rows that tie on priority are told apart by the mark of their values.
     """
-    best = first_rows(df, key, -c(priority), list(values))
+    best = first_rows(df.withColumn("__order", -c(priority)), key, "__order", list(values))
     return best.select(c(key), *[c(n).alias(out) for n, out in values.items()])
 
 

@@ -11,6 +11,8 @@ RECOMMENDED = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
+    # wide cleaning projections make methods that the JVM would not compile; beyond this size Spark splits them instead
+    "spark.sql.codegen.hugeMethodLimit": "8000",
 }
 
 

@@ -1,15 +1,13 @@
 """Sheet layouts: what must be known of every sheet before its rows become a table with named columns.
 
-Two phases.  ``discover`` reads the rows once and writes one row of facts for each sheet: its header names, where its key
-column is, and where its data ends.  ``Sheets.table`` is then one plan over the rows, without a shuffle of them: the
-columns come from the stored facts, so headers that only some files have are columns too (null elsewhere), and the facts
-of a sheet are joined to its rows by broadcast while there are few sheets.
-
-The facts of a sheet whose data ends at a blank come from one aggregate over the raw cells.  Where the key column is
-depends on the header, which stands in the same sheet, so the aggregate keeps a positional state: rows are counted by
-their pattern of blank cells (with first and last row number), and the header row's cells are a key of their own.  A sheet
-has few patterns, and partial counts are made before the shuffle.  Which patterns lack the key is asked once the
-header is known.
+Two phases.  ``discover`` writes one row of facts for each sheet: its header names, where its key column is, and where its data
+ends.  ``Sheets.table`` is then one plan over the rows, without a shuffle of them: the columns come from the stored facts, so
+headers that only some files have are columns too (null elsewhere), and the facts of a sheet are joined to its rows by
+broadcast while there are few sheets.
+
+Facts come from header rows, whose filter reaches the scan, and (for sheets whose data ends at a blank) from one aggregate
+over the rows, with partial results before the shuffle: the first row with a blank key, or the first and last row with a key
+in each stretch of rows.
 """
 
 from __future__ import annotations
@@ -27,6 +25,8 @@ from staffloom.specs import rules
 
 #: Facts are sent to every task while sheets times columns are no more: 16 MB of positions.
 BROADCAST_POSITIONS = 4_000_000
+#: Sheets whose key positions are sent to every task.
+BROADCAST_SHEETS = 100_000
 FIRST_BLANK, BLANK_ROW, BLANK_RUN = "first_blank", "blank_row", "blank_run"
 Key = str | int | Callable[[Column], Column] | None
 
@@ -62,59 +62,39 @@ def _key_cell(key: Key, headers: Column, start_col: int) -> Column:
     return (place - 1 + start_col).cast("int")
 
 
-def _blanks(cells: Column) -> Column:
-    """The row's blank cells as a text of 0 (filled) and 1 (blank); what follows the last filled cell is left out."""
-    marks = F.transform(cells, lambda v: F.when(is_blank(v), "1").otherwise("0"))
-    return F.rtrim(F.array_join(marks, ""), F.lit("1"))
+def _with_facts(rows: DataFrame, facts: DataFrame, broadcast: bool, how: str = "inner") -> DataFrame:
+    """Rows with the facts of their sheet: by broadcast, or (very many sheets) on stretches of row numbers."""
+    if broadcast:
+        return rows.join(F.broadcast(facts), sheet_key(rows), how)
+    return join_sheet_facts(with_chunk(rows), facts, how).drop("chunk")
 
 
-def _profile(rows: DataFrame, header_row: int, patterns: bool, stretch: int | None) -> DataFrame:
-    """The one look at the rows: header cells, and rows counted by their pattern of blanks."""
-    row = F.col("row_idx")
-    below = row > header_row
-    keys = [F.when(row == header_row, F.col("cells")).alias("head")]
-    if patterns:
-        keys.append(F.when(below, _blanks(F.col("cells"))).alias("blanks"))
-    if stretch:
-        keys.append(F.when(below, F.expr(f"row_idx div {stretch}L")).alias("stretch"))
-    return rows.groupBy(*sheet_key(rows), *keys).agg(F.min(row).alias("first"), F.max(row).alias("last"), F.count_if(below).alias("landed"))
-
-
-def _sheet_facts(
-    rows: DataFrame, header_row: int, start_col: int, stop: str, key: Key, cut: str | None, run: int, every: bool
-) -> DataFrame:
-    by = sheet_key(rows)
-    if cut is None and not every:  # header rows only: the filter reaches the scan
-        heads = sheet_headers(rows, header_row, start_col, stop)
-        return heads.select(*by, "headers", _key_cell(key, F.col("headers"), start_col).alias("key_cell"), F.lit(None).cast("long").alias("cut"))
-    seen = _profile(rows, header_row, cut is not None, run if cut == BLANK_RUN else None)
-    sheet = Window.partitionBy(*by)
-    seen = seen.withColumn("cells", F.first("head", ignorenulls=True).over(sheet))
-    width = F.greatest(F.size("cells") - start_col, F.lit(0))
-    names = F.transform(F.slice("cells", F.lit(start_col + 1), width), lambda v: F.when(~is_blank(v), normalize_header(v)))
-    seen = seen.withColumn("headers", header_end(names, stop)).withColumn("key_cell", _key_cell(key, F.col("headers"), start_col))
-    at = [*by, "headers", "key_cell"]
+def _ends(rows: DataFrame, heads: DataFrame, header_row: int, start_col: int, cut: str | None, run: int) -> DataFrame:
+    """Where the data of each sheet ends, and its number of rows below the header; sheets without a header are there too."""
+    by, row = sheet_key(rows), F.col("row_idx")
+    few = heads.count() <= BROADCAST_SHEETS
+    width = F.size("headers").alias("width")
+    below = _with_facts(rows.filter(row > header_row), heads.select(*by, "key_cell", width), few, "left")
+    landed = F.count(F.lit(1)).alias("landed")
     if cut is None:
-        return seen.groupBy(*at).agg(F.lit(None).cast("long").alias("cut"), F.sum("landed").alias("landed"))
+        return below.groupBy(*by).agg(landed, F.lit(None).cast("long").alias("cut"))
     if cut == BLANK_ROW:
-        window = F.substring(F.col("blanks"), F.lit(start_col + 1), F.size("headers"))
-        blank = ~F.contains(window, F.lit("0"))
+        window = F.slice("cells", F.lit(start_col + 1), F.greatest(F.col("width"), F.lit(0)))
+        blank = F.col("width").isNotNull() & F.forall(window, is_blank)
     else:
-        blank = F.substring(F.col("blanks"), F.col("key_cell") + 1, F.lit(1)) != "0"
+        blank = F.when(F.col("key_cell").isNotNull(), is_blank(F.get(F.col("cells"), F.col("key_cell"))))
     if cut != BLANK_RUN:
-        end = F.min(F.when(blank, F.col("first")))
-        return seen.groupBy(*at).agg(end.alias("cut"), F.sum("landed").alias("landed"))
+        return below.groupBy(*by).agg(landed, F.min(F.when(blank, row)).alias("cut"))
     # rows with a key that lie further apart than the run are in different stretches of that length
-    parts = seen.groupBy(*at, "stretch").agg(
-        F.min(F.when(~blank, F.col("first"))).alias("first"), F.max(F.when(~blank, F.col("last"))).alias("last"), F.sum("landed").alias("landed")
-    )
+    stretch = F.expr(f"row_idx div {run}L").alias("stretch")
+    parts = below.groupBy(*by, stretch).agg(landed, F.min(F.when(~blank, row)).alias("first"), F.max(F.when(~blank, row)).alias("last"))
     later = Window.partitionBy(*by).orderBy(F.col("stretch").desc()).rowsBetween(Window.unboundedPreceding, -1)
     following = F.last("first", ignorenulls=True).over(later)
     parts = parts.withColumn("end", F.when(following - F.col("last") > run, F.col("last")))
-    return parts.groupBy(*at).agg(F.min("end").alias("cut"), F.sum("landed").alias("landed"))
+    return parts.groupBy(*by).agg(F.sum("landed").alias("landed"), F.min("end").alias("cut"))
 
 
-@dataclass(frozen=True)
+@dataclass
 class Sheets:
     """Rows with the stored facts of their sheets."""
 
@@ -124,15 +104,19 @@ class Sheets:
     header_row: int
     start_col: int
     cut: str | None
+    _names: list[str] | None = None
 
     def names(self) -> list[str]:
         """Headers of all sheets: in order of their smallest position, then by name.
 
         The names become columns, so the driver has to know them.
         """
+        if self._names is not None:
+            return self._names
         found = self.facts.select(F.posexplode("headers").alias("pos", "name")).where(F.col("name").isNotNull())
         first = found.groupBy("name").agg(F.min("pos").alias("pos"))
-        return [row["name"] for row in first.orderBy("pos", "name").collect()]
+        self._names = [row["name"] for row in first.orderBy("pos", "name").collect()]
+        return self._names
 
     def undeclared(self, declared: Sequence[str], reserved: Sequence[str] = ()) -> list[str]:
         """Headers that are not among ``declared``, and whose names the table does not need for itself.
@@ -181,9 +165,7 @@ class Sheets:
         return self
 
     def _joined(self, rows: DataFrame, facts: DataFrame, width: int) -> DataFrame:
-        if self.count * width <= BROADCAST_POSITIONS:
-            return rows.join(F.broadcast(facts), sheet_key(rows))
-        return join_sheet_facts(with_chunk(rows), facts).drop("chunk")
+        return _with_facts(rows, facts, self.count * width <= BROADCAST_POSITIONS)
 
     def _kept(self) -> Column:
         """Rows before the sheet's end; where a run of blanks ends it, rows without a key go too."""
@@ -279,7 +261,14 @@ def discover(
     after one with it; None if nothing does: then only header rows are read, unless ``every`` asks for the facts of sheets without
     one.  A sheet without the key column is not cut.
     """
-    facts = stored(_sheet_facts(rows, header_row, start_col, stop, key, cut, run, every), "sheet-facts")
+    by = sheet_key(rows)
+    heads = sheet_headers(rows, header_row, start_col, stop)
+    heads = heads.select(*by, "headers", _key_cell(key, F.col("headers"), start_col).alias("key_cell"))
+    if cut is None and not every:
+        facts = stored(heads.withColumn("cut", F.lit(None).cast("long")), "sheet-facts")
+    else:
+        heads = stored(heads, "sheet-heads")
+        facts = stored(heads.join(_ends(rows, heads, header_row, start_col, cut, run), by, "full"), "sheet-facts")
     return Sheets(rows, facts, facts.count(), header_row, start_col, cut)
 
 

@@ -170,6 +170,7 @@ def test_skip_blank_key_goes_on(spark):
 @pytest.mark.parametrize("most", [layouts.BROADCAST_POSITIONS, 0])
 def test_big_sheet_is_read_twice_and_not_shuffled(spark, monkeypatch, most):
     monkeypatch.setattr(layouts, "BROADCAST_POSITIONS", most)
+    monkeypatch.setattr(layouts, "BROADCAST_SHEETS", most)
     keys = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "64"}
     before = {k: spark.conf.get(k) for k in keys}
     header = spark.createDataFrame([("f", "s", 1, ["K"])], BRONZE_SCHEMA)
