@@ -1,16 +1,19 @@
 """Toxicity scores from two class-conditional Kneser-Ney language models.
 
-Labelled texts, split into words (at marks too) with A-Z lowered, are counted as bigrams, once as toxic and once as ordinary.
-Each class has an interpolated Kneser-Ney model: discounted bigram counts, then the class's own discounted
-continuation counts, then continuation counts shared by both classes, so that an expression too rare to judge
-costs both classes about the same.  A text is compared by its log-likelihood ratio per word, over the whole text,
-over its most telling word and over its three most telling words (toxic passages are short, texts may be long);
-a logistic curve turns these into a value from 0 to 1.  It is fitted with a first model on labelled texts (at most
-``curve_rows``, a fifth of the rows or less) that this model has not counted; then the final model counts these too.
-
-Counts cover every labelled row that may be learnt from and are made by Spark, once for the rows of either part.  What is sent to the executors has
-a fixed size whatever the input: words and bigrams are hashed into tables of 2**20 and 2**21 places.  The texts
-of the curve are chosen by hash.
+Labelled texts are split into words (at marks too, A-Z lowered) and counted as runs of ``ORDER`` bytes that end at each byte of a
+word or at its end, once as toxic and once as ordinary: models of letters, because expressions are bent and compounded, and
+a form never seen shares its stem with forms that were.  Each class has an interpolated Kneser-Ney model: discounted
+counts of the longest runs, then continuation counts of shorter ones (runs at a word's beginning have nothing before
+them and keep their counts), with discounts estimated from the numbers of runs seen once and twice.  Runs of up to
+``SHARED`` bytes are counted over both classes together, so that an expression too rare to judge costs both about the same.
+
+A word's ratio is its log-likelihood as toxic less that as ordinary.  A text is judged by the ratio per word of the whole
+(its length-normalised log-likelihoods compared), of the most telling word, of the three most telling words, and by its
+length; a logistic curve turns these into a value from 0 to 1.  It is fitted with a first model on labelled texts (at most
+``curve_rows``, chosen by hash) that this model has not counted; then the final model counts these too.
+
+Counts cover every labelled row that may be learnt from, and are made by Spark.  One row for each distinct run comes to
+the driver and one ratio for each goes out to the executors: as many as the words' spellings have, not as texts or words.
 
 Defined results: a null or empty text has no words and gets the curve's value for that; repeated rows are scored
 each; null labels, labels without a document and rows without a doc_id teach nothing (a doc_id labelled twice is
@@ -27,70 +30,143 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import WordHashes, columns_of, held_out, mix, raw, sliced, small, stored
+from staffloom.llm.common import WordHashes, columns_of, held_out, raw, sliced, small, stored
 
-WORD_BITS, PAIR_BITS = 20, 21
-#: Discounts of continuation counts and of bigram counts, and how many shared counts a context begins with.
-SINGLE_DISCOUNT, PAIR_DISCOUNT, STRENGTH = 5, 2, 1000
+#: Bytes of the longest runs (at most 7, as a run is a number), and of the longest ones that the classes share.
+ORDER, SHARED = 6, 2
+#: What stands before a word and at its end.
+BEGIN, END = 1, 32
 CURVE_ROWS = 20_000
 FEATURES = 4
 
 
 class Reader:
-    """Bigrams of texts as (context, word) places."""
+    """Words of texts, and the spellings of the distinct ones."""
 
     def __init__(self):
         self.hashes = WordHashes(lower=True, also=b".,;:!?\"()|")
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Contexts, words and the number of words by text, over all texts in one run."""
-        lists = [(self.hashes(t)[0] >> np.uint64(64 - WORD_BITS)).astype(np.int64) for t in texts]
-        sizes = np.fromiter(map(len, lists), np.int64, len(lists))
-        words = np.concatenate(lists or [np.zeros(0, np.int64)])
-        before = np.zeros_like(words)
-        before[1:] = words[:-1]
-        before[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
-        return before, words, sizes
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+        """Number of the distinct word at each place over all texts, words by text, and the distinct words."""
+        found = [self.hashes(t) for t in texts]
+        sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
+        if not sizes.sum():
+            return np.zeros(0, np.int64), sizes, []
+        _, first, number = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+        text_of = np.repeat(np.arange(len(texts)), sizes)[first]
+        begins, ends = (np.concatenate([f[k] for f in found])[first] for k in (1, 2))
+        return number, sizes, [texts[k][i:j].lower() for k, i, j in zip(text_of, begins.tolist(), ends.tolist())]
+
+
+def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The run of ``ORDER`` bytes up to each byte of each word and up to its end, as a number; where each word begins."""
+    spelled = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    place = np.arange(len(spelled))
+    begins = np.concatenate([[0], np.flatnonzero(spelled == END)[:-1] + 1])
+    begin = np.repeat(begins, np.diff(np.concatenate([begins, [len(spelled)]])))
+    out = np.zeros(len(spelled), np.uint64)
+    for back in range(ORDER - 1, -1, -1):
+        at = place - back
+        byte = np.where(at >= begin, spelled[np.maximum(at, 0)], np.where(at == begin - 1, BEGIN, 0))
+        out = (out << np.uint64(8)) | byte.astype(np.uint64)
+    return out, begins
+
+
+def count_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs by class of each batch of labelled texts."""
+    read = Reader()
+    for batch in sliced(it, 3000):
+        number, sizes, words = read(raw(batch["text"]))
+        if not words:
+            continue
+        toxic = np.repeat(np.asarray(batch["toxic"].to_pylist(), bool), sizes)
+        n = np.bincount(number, minlength=len(words))
+        bad = np.bincount(number[toxic], minlength=len(words))
+        run, _ = runs(words)
+        length = [len(w) + 1 for w in words]
+        own, at = np.unique(run, return_inverse=True)
+        all_, ill = (np.bincount(at, np.repeat(c, length), len(own)).astype(np.int64) for c in (n, bad))
+        yield pa.RecordBatch.from_pydict({"run": own.astype(np.int64), "toxic": ill, "plain": all_ - ill})
 
 
-def place(pair: np.ndarray) -> np.ndarray:
-    """Where a bigram is held in the fixed table."""
-    return (mix(pair.astype(np.uint64)) >> np.uint64(64 - PAIR_BITS)).astype(np.int64)
+def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places of ``wanted`` in the sorted ``table``, and whether they are there."""
+    if not len(table):
+        return np.zeros(len(wanted), np.int64), np.zeros(len(wanted), bool)
+    at = np.minimum(np.searchsorted(table, wanted), len(table) - 1)
+    return at, table[at] == wanted
 
 
-def count_pairs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Bigram counts by class of each batch of labelled texts."""
-    read = Reader()
-    for batch in sliced(it, 3000):
-        before, words, sizes = read(raw(batch["text"]))
-        toxic = np.repeat(np.asarray(batch["toxic"].to_pylist(), bool), sizes)
-        pair, at = np.unique((before << WORD_BITS) | words, return_inverse=True)
-        n = np.bincount(at, minlength=len(pair)).astype(np.int64)
-        bad = np.bincount(at[toxic], minlength=len(pair)).astype(np.int64)
-        yield pa.RecordBatch.from_pydict({"pair": pair, "toxic": bad, "plain": n - bad})
+def last(run: np.ndarray, n: int) -> np.ndarray:
+    return run & np.uint64((1 << 8 * n) - 1)
+
+
+def shorter(run: np.ndarray, n: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of ``size`` bytes that end those of ``size + 1``: by how many of these they are continued, or (at a word's beginning) how often they are seen."""
+    own, at = np.unique(last(run, size), return_inverse=True)
+    begins = (own >> np.uint64(8 * (size - 1))) <= BEGIN
+    return own, np.where(begins, np.bincount(at, n, len(own)), np.bincount(at, minlength=len(own))).astype(np.float64)
+
+
+def together(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    own, at = np.unique(np.concatenate([a[0], b[0]]), return_inverse=True)
+    return own, np.bincount(at, np.concatenate([a[1], b[1]]), len(own))
+
+
+class Level:
+    """One class's runs of one length: counts less the discount, and what is kept for shorter runs, by context."""
+
+    def __init__(self, run: np.ndarray, n: np.ndarray):
+        once, twice = (n == 1).sum(), (n == 2).sum()
+        discount = once / (once + 2 * twice) if once and twice else 0.5
+        self.run, self.seen = run, n - discount * np.minimum(n, 1)
+        self.context, at = np.unique(run >> np.uint64(8), return_inverse=True)
+        self.whole = np.bincount(at, n, len(self.context))
+        self.kept = discount * np.bincount(at, np.minimum(n, 1), len(self.context))
+
+    def probability(self, run: np.ndarray, shorter_one: np.ndarray) -> np.ndarray:
+        at, known = find(self.run, run)
+        seen = np.where(known, self.seen[at], 0) if len(self.run) else np.zeros(len(run))
+        at, known = find(self.context, run >> np.uint64(8))
+        if not len(self.context):
+            return shorter_one
+        return np.where(known, (seen + self.kept[at] * shorter_one) / self.whole[at], shorter_one)
 
 
 class Model:
-    """Both class models as arrays of fixed size, and the curve."""
-
-    def __init__(self, rows: pa.Table):
-        """``rows``: kind (0 bigram, 1 context, 2 word), place, toxic, plain, shared."""
-        kind, at = rows["kind"].to_numpy(), rows["place"].to_numpy()
-        pair, left, right = kind == 0, kind == 1, kind == 2
-        slots = {0: place(at[pair]), 1: at[left], 2: at[right]}
-        held = {0: pair, 1: left, 2: right}
-        n = 1 << WORD_BITS
-        col = lambda name, k, size=n: np.bincount(slots[k], rows[name].to_numpy()[held[k]], size)
-        shared = col("shared", 2)
-        shared = (shared + 1) / (shared.sum() + n)
-        self.seen, self.mass, self.whole, self.single = [], [], [], []
-        for c in ("toxic", "plain"):
-            spread = col(c, 2)
-            reserved = np.minimum(spread, SINGLE_DISCOUNT).sum()
-            self.single.append(((np.maximum(spread - SINGLE_DISCOUNT, 0) + (reserved + 1) * shared) / (spread.sum() + 1)).astype(np.float32))
-            self.whole.append((col(c, 1) + STRENGTH).astype(np.float32))
-            self.mass.append((col(f"{c}_reserved", 1) + STRENGTH).astype(np.float32))
-            self.seen.append(col(c, 0, 1 << PAIR_BITS).astype(np.float32))
+    """Log ratios of all known runs and contexts, by length, and the curve."""
+
+    def __init__(self, run: np.ndarray, toxic: np.ndarray, plain: np.ndarray):
+        counts = [{}, {}]
+        for c, n in enumerate((toxic, plain)):
+            own = run[n > 0], n[n > 0].astype(np.float64)
+            for size in range(ORDER, 0, -1):
+                counts[c][size] = own
+                if size > 1:
+                    own = shorter(*own, size - 1)
+        for size in range(1, SHARED + 1):
+            counts[0][size] = counts[1][size] = together(counts[0][size], counts[1][size])
+        single = np.bincount(counts[0][1][0].astype(np.int64), counts[0][1][1], 256) + 1
+        self.base = single / single.sum()
+        levels = [{size: Level(*counts[c][size]) for size in range(1, ORDER + 1)} for c in (0, 1)]
+
+        def logs(c: int, wanted: np.ndarray, size: int) -> np.ndarray:
+            p = self.base[last(wanted, 1).astype(np.int64)]
+            for k in range(1, size + 1):
+                p = levels[c][k].probability(last(wanted, k), p)
+            return np.log(p)
+
+        self.runs, self.ratios, self.contexts, self.backoffs = [], [], [], []
+        for size in range(1, ORDER + 1):
+            two = levels[0][size], levels[1][size]
+            self.runs.append(np.union1d(two[0].run, two[1].run))
+            self.ratios.append((logs(0, self.runs[-1], size) - logs(1, self.runs[-1], size)).astype(np.float32))
+            self.contexts.append(np.union1d(two[0].context, two[1].context))
+            parts = []
+            for level in two:
+                at, known = find(level.context, self.contexts[-1])
+                parts.append(np.log(np.where(known, level.kept[at] / level.whole[at], 1)) if len(level.context) else np.zeros(len(at)))
+            self.backoffs.append((parts[0] - parts[1]).astype(np.float32))
         self.curve = np.zeros(FEATURES + 1)
         self.curve[0] = -30.0  # until it is fitted
 
@@ -101,12 +177,27 @@ class Model:
         model.__dict__.update(state)
         return model
 
-    def features(self, texts: tuple[np.ndarray, np.ndarray, np.ndarray]) -> np.ndarray:
+    def ratio(self, run: np.ndarray) -> np.ndarray:
+        """Log ratio of each run: from the longest known end of it, and what its unknown contexts cost."""
+        out, rest = np.zeros(len(run)), np.arange(len(run))
+        for size in range(ORDER, 0, -1):
+            own = last(run[rest], size)
+            at, known = find(self.runs[size - 1], own)
+            out[rest[known]] += self.ratios[size - 1][at[known]]
+            rest, own = rest[~known], own[~known]
+            at, known = find(self.contexts[size - 1], own >> np.uint64(8))
+            out[rest[known]] += self.backoffs[size - 1][at[known]]
+        return out
+
+    def word_ratios(self, words: list[bytes]) -> np.ndarray:
+        run, begins = runs(words)
+        own, at = np.unique(run, return_inverse=True)
+        return np.add.reduceat(self.ratio(own)[at], begins)
+
+    def features(self, texts: tuple[np.ndarray, np.ndarray, list[bytes]]) -> np.ndarray:
         """By text: log-likelihood ratio per word of the whole, of the top word, of the top three; log of the length."""
-        before, words, sizes = texts
-        at = place((before << WORD_BITS) | words)
-        logs = [np.log((self.seen[c][at] + self.mass[c][before] * self.single[c][words]) / self.whole[c][before]) for c in (0, 1)]
-        ratio = (logs[0] - logs[1]).astype(np.float64)
+        number, sizes, words = texts
+        ratio = self.word_ratios(words)[number] if words else np.zeros(0)
         out, edge = np.zeros((len(sizes), FEATURES)), np.concatenate([[0], np.cumsum(sizes)])
         for i, n in enumerate(sizes):
             if n:
@@ -147,40 +238,26 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """``pair, toxic, plain``: bigram counts of labelled texts by class."""
-    pairs = rows.select("text", "toxic").mapInArrow(count_pairs, "pair long, toxic long, plain long")
-    return pairs.groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-
+    """``run, toxic, plain``: counts of runs in labelled texts by class."""
+    found = rows.select("text", "toxic").mapInArrow(count_runs, "run long, toxic long, plain long")
+    return found.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
-def tables(counts: DataFrame) -> pa.Table:
-    """The rows of :class:`Model`."""
-    t, p, one, none = F.col("toxic"), F.col("plain"), F.lit(1).cast("long"), F.lit(0).cast("long")
 
-    def entry(kind, at, toxic, plain, shared=none, toxic_reserved=none, plain_reserved=none):
-        parts = dict(kind=F.lit(kind), place=at, toxic=toxic, plain=plain, shared=shared, toxic_reserved=toxic_reserved, plain_reserved=plain_reserved)
-        return F.struct(*(c.alias(name) for name, c in parts.items()))
-
-    above = lambda c: F.greatest(c - PAIR_DISCOUNT, none)
-    upto = lambda c: F.least(c, F.lit(PAIR_DISCOUNT).cast("long"))
-    entries = F.array(
-        F.when((t > PAIR_DISCOUNT) | (p > PAIR_DISCOUNT), entry(0, F.col("pair"), above(t), above(p))),
-        entry(1, F.shiftright("pair", WORD_BITS), t, p, none, upto(t), upto(p)),
-        entry(2, F.col("pair").bitwiseAND(F.lit((1 << WORD_BITS) - 1).cast("long")), (t > 0).cast("long"), (p > 0).cast("long"), one),
-    )
-    sums = [F.sum(f"e.{c}").cast("int").alias(c) for c in ("toxic", "plain", "shared", "toxic_reserved", "plain_reserved")]
-    return counts.select(F.explode(entries).alias("e")).where("e is not null").groupBy("e.kind", "e.place").agg(*sums).toArrow()
+def model_of(counts: DataFrame) -> Model:
+    rows = counts.toArrow().sort_by("run")
+    return Model(rows["run"].to_numpy().astype(np.uint64), rows["toxic"].to_numpy(), rows["plain"].to_numpy())
 
 
 def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Model:
     """Count both class models with Spark, fit the curve on texts that were not counted, then count these too."""
     rows = learnable(docs, labels)
     first_counts = stored(count(rows.where("part <> 1")), "toxic-counts")
-    model = Model(tables(first_counts))
+    model = model_of(first_counts)
     held = docs.sparkSession.sparkContext.broadcast(vars(model))
 
     def describe(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         read, first = Reader(), Model.of(held.value)
-        for batch in sliced(it, 500):
+        for batch in sliced(it, 1000):
             x = first.features(read(raw(batch["text"])))
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["toxic"], pa.array(list(x), pa.list_(pa.float64()))], ["doc_id", "toxic", "x"]
@@ -192,10 +269,12 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     )
     x = np.asarray(curve["x"].to_pylist()).reshape(-1, FEATURES)
     model.fit_curve(x, np.asarray(curve["toxic"].to_pylist(), float))
+    fitted = model.curve
     held.unpersist()
-    both = first_counts.union(count(rows.where("part = 1"))).groupBy("pair").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    final = Model(tables(both))
-    final.curve = model.curve
+    del model
+    both = first_counts.union(count(rows.where("part = 1"))).groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
+    final = model_of(both)
+    final.curve = fitted
     return final
 
 
@@ -207,7 +286,7 @@ def score(docs: DataFrame, model: Model, name: str = "score") -> DataFrame:
     def rate(it: Iterator[pa.Array]) -> Iterator[pa.Array]:
         read, ready = Reader(), Model.of(held.value)
         for texts in it:
-            parts = [ready.features(read(raw(texts.slice(k, 500)))) for k in range(0, len(texts), 500)]
+            parts = [ready.features(read(raw(texts.slice(k, 1000)))) for k in range(0, len(texts), 1000)]
             yield pa.array(ready.scores(np.concatenate(parts)) if parts else [], pa.float64())
 
     return docs.withColumn(name, rate(F.col("text").cast("string")))

@@ -255,9 +255,70 @@ def test_toxicity_counts_the_rows_of_the_curve(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
     model = toxicity.fit(spark.createDataFrame(rows, "doc_id long, text string"), labels)
     known = model.features(toxicity.Reader()([b"zork blat zork blat", b"grim nasty grim nasty"]))[:, 0]
+    assert model.curve[1] > -1e-6 or model.curve[3] > 0
     assert known[0] > 1 and known[1] > 1
 
 
+def plain_kneser_ney(words, other):
+    """Log-likelihood of words as (class of ``words``) by its definition; ``other`` is the other class's words."""
+    order, shared = toxicity.ORDER, toxicity.SHARED
+
+    def grams(word):
+        text = bytes(order - 1)[:-1] + b"\x01" + word + b" "
+        return [text[i - order + 1 : i + 1] for i in range(order - 1, len(text))]
+
+    def levels(own):
+        out = {order: collections.Counter(g for w in own for g in grams(w))}
+        for n in range(order - 1, 0, -1):
+            out[n] = collections.Counter()
+            for g, k in out[n + 1].items():
+                out[n][g[1:]] += k if g[1] <= 1 else 1
+        return out
+
+    mine, theirs = levels(words), levels(other)
+    for n in range(1, shared + 1):
+        mine[n] = mine[n] + theirs[n]
+    base = np.ones(256)
+    for g, k in mine[1].items():
+        base[g[0]] += k
+    base /= base.sum()
+
+    def p(g):
+        if not g:
+            raise ValueError
+        low = p(g[1:]) if len(g) > 1 else base[g[-1]]
+        level = mine[len(g)]
+        once, twice = (sum(v == k for v in level.values()) for k in (1, 2))
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        same = [k for h, k in level.items() if h[:-1] == g[:-1]]
+        return (max(level[g] - d, 0) + d * len(same) * low) / sum(same) if same else low
+
+    return lambda word: sum(np.log(p(g)) for g in grams(word))
+
+
+def test_ratios_are_those_of_plain_kneser_ney(spark):
+    r = random.Random(8)
+    spell = lambda: "".join(r.choice("abcé") for _ in range(r.randint(1, 9)))
+    texts = [(i, " ".join(spell() for _ in range(r.randint(1, 8))), i % 3 == 0) for i in range(60)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, toxic boolean").repartition(3)
+    model = toxicity.model_of(toxicity.count(rows))
+    of = lambda toxic: [w.encode() for _, t, x in texts if x == toxic for w in t.split()]
+    bad, fine = plain_kneser_ney(of(True), of(False)), plain_kneser_ney(of(False), of(True))
+    words = sorted({*of(True)[:15], *of(False)[:15], b"zzz", "abcé".encode() * 5, b"a", b"q"})
+    assert np.allclose(model.word_ratios(words), [bad(w) - fine(w) for w in words], atol=1e-4)
+
+
+def test_toxicity_of_odd_rows(spark):
+    long = "vile " + prose(150_000, 4)
+    rows = [(1, "vile scum vile", "x"), (1, "vile scum vile", "x"), (2, long, "y"), (3, None, None), (4, " ", "z")]
+    docs = spark.createDataFrame([*rows, *((100 + i, prose(10 + i % 7, i) + (" vile scum" if i % 2 else " kind note"), "w") for i in range(200))], "doc_id long, text string, score string")
+    labels = spark.createDataFrame([(100 + i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    out = toxicity.score(docs, toxicity.fit(docs, labels))
+    assert out.columns == ["doc_id", "text", "score"] and dict(out.dtypes)["score"] == "double"
+    got = {i: [x.score for x in out.where(F.col("doc_id") == i).collect()] for i in (1, 2, 3, 4)}
+    assert len(got[1]) == 2 and got[1][0] == got[1][1] > 0.5 and got[3] == got[4] and all(0 <= v <= 1 for c in got.values() for v in c)
+
+
 def test_quality_counts_and_chain(spark, docs, empty):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     got = quality.judge(docs, quality.fit(docs, labels)).collect()
