@@ -111,7 +111,7 @@ def first_lines(rows: DataFrame, limits: Limits) -> DataFrame:
     return found.groupBy("h", "c", "n").agg(least, F.first("index").alias("index"), F.first("probe").alias("probe")).select("at.*", "h", "c", "index", "probe")
 
 
-ENTRY = "key long, who long, id long, mark int, line_no int, indexed boolean"
+ENTRY = "key long, id long, mark int, line_no int, indexed boolean"
 
 
 def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -119,9 +119,10 @@ def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rest: list[pa.RecordBatch] = []
 
     def chosen(table: pa.Table) -> pa.Table:
-        key, who = table["key"].to_numpy(), table["who"].to_numpy()
+        key = table["key"].to_numpy()
         edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        several = who[edge[:-1]] != who[edge[1:] - 1]
+        places = [table[c].to_numpy() for c in AT]
+        several = np.any([place[edge[:-1]] != place[edge[1:] - 1] for place in places], axis=0)
         return table.filter(pa.array(np.repeat(several, np.diff(edge))))
 
     for batch in it:
@@ -142,8 +143,8 @@ def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def entries(firsts: DataFrame) -> DataFrame:
     """Index and probe entries of all lines whose key another line has too."""
     entry = lambda name: F.transform(name, lambda k: F.struct(k.alias("key"), F.lit(name == "index").alias("indexed")))
-    rows = firsts.select(*AT, F.xxhash64(*AT).alias("who"), F.explode(F.concat(entry("index"), entry("probe"))).alias("e"))
-    rows = rows.select("e.key", "who", *AT, "e.indexed").repartition("key").sortWithinPartitions("key", "who")
+    rows = firsts.select(*AT, F.explode(F.concat(entry("index"), entry("probe"))).alias("e"))
+    rows = rows.select("e.key", *AT, "e.indexed").repartition("key").sortWithinPartitions("key", *AT)
     return rows.mapInArrow(shared, ENTRY)
 
 
