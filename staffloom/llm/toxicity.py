@@ -7,13 +7,16 @@ counts of the longest runs, then continuation counts of shorter ones (runs at a
 them and keep their counts), with discounts estimated from the numbers of runs seen once and twice.  Runs of up to
 ``SHARED`` bytes are counted over both classes together, so that an expression too rare to judge costs both about the same.
 
+Beside the letters stands a model of whole words: counts less ``WORD_DISCOUNT``, and what that leaves over goes to the word's share
+in both classes together, so that words too rare to judge cost both the same.
+
 A word's ratio is its log-likelihood as toxic less that as ordinary.  A text is judged by the ratio per word of the whole
-(its length-normalised log-likelihoods compared), of the most telling word, of the three most telling words, and by its
-length; a logistic curve turns these into a value from 0 to 1.  It is fitted with a first model on labelled texts (at most
+(its length-normalised log-likelihoods compared), of the most telling word and of the three most telling words, as letters and
+as words, and by its length; a logistic curve turns these into a value from 0 to 1.  It is fitted with a first model on labelled texts (at most
 ``curve_rows``, chosen by hash) that this model has not counted; then the final model counts these too.
 
-Counts cover every labelled row that may be learnt from, and are made by Spark.  One row for each distinct run comes to
-the driver and one ratio for each goes out to the executors: as many as the words' spellings have, not as texts or words.
+Counts cover every labelled row that may be learnt from, and are made by Spark.  One row for each distinct run, and for
+each word seen more than ``WORD_DISCOUNT`` times in a class, comes to the driver, and one ratio for each goes out to the executors.
 
 Defined results: a null or empty text has no words and gets the curve's value for that; repeated rows are scored
 each; null labels, labels without a document and rows without a doc_id teach nothing (a doc_id labelled twice is
@@ -24,6 +27,7 @@ one named as the score is replaced.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +40,12 @@ from staffloom.llm.common import WordHashes, columns_of, held_out, raw, sliced,
 ORDER, SHARED = 6, 2
 #: What stands before a word and at its end.
 BEGIN, END = 1, 32
+#: Seen so often or less in a class, a word says nothing about it.
+WORD_DISCOUNT = 5
+#: Keys of words are from here on, keys of runs below.
+WORDS = 1 << 62
 CURVE_ROWS = 20_000
-FEATURES = 4
+FEATURES = 7
 
 
 class Reader:
@@ -46,16 +54,17 @@ class Reader:
     def __init__(self):
         self.hashes = WordHashes(lower=True, also=b".,;:!?\"()|")
 
-    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
-        """Number of the distinct word at each place over all texts, words by text, and the distinct words."""
+    def __call__(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]:
+        """Number of the distinct word at each place over all texts, words by text, and the distinct words with their keys."""
         found = [self.hashes(t) for t in texts]
         sizes = np.fromiter((len(f[0]) for f in found), np.int64, len(found))
         if not sizes.sum():
-            return np.zeros(0, np.int64), sizes, []
-        _, first, number = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
+            return np.zeros(0, np.int64), sizes, [], np.zeros(0, np.int64)
+        own, first, number = np.unique(np.concatenate([f[0] for f in found]), return_index=True, return_inverse=True)
         text_of = np.repeat(np.arange(len(texts)), sizes)[first]
         begins, ends = (np.concatenate([f[k] for f in found])[first] for k in (1, 2))
-        return number, sizes, [texts[k][i:j].lower() for k, i, j in zip(text_of, begins.tolist(), ends.tolist())]
+        words = [texts[k][i:j].lower() for k, i, j in zip(text_of, begins.tolist(), ends.tolist())]
+        return number, sizes, words, ((own >> np.uint64(2)) | np.uint64(WORDS)).astype(np.int64)
 
 
 def runs(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -76,7 +85,7 @@ def count_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Runs by class of each batch of labelled texts."""
     read = Reader()
     for batch in sliced(it, 3000):
-        number, sizes, words = read(raw(batch["text"]))
+        number, sizes, words, keys = read(raw(batch["text"]))
         if not words:
             continue
         toxic = np.repeat(np.asarray(batch["toxic"].to_pylist(), bool), sizes)
@@ -86,7 +95,8 @@ def count_runs(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         length = [len(w) + 1 for w in words]
         own, at = np.unique(run, return_inverse=True)
         all_, ill = (np.bincount(at, np.repeat(c, length), len(own)).astype(np.int64) for c in (n, bad))
-        yield pa.RecordBatch.from_pydict({"run": own.astype(np.int64), "toxic": ill, "plain": all_ - ill})
+        both = {"run": (own.astype(np.int64), keys), "toxic": (ill, bad), "plain": (all_ - ill, n - bad)}
+        yield pa.RecordBatch.from_pydict({name: np.concatenate(parts).astype(np.int64) for name, parts in both.items()})
 
 
 def find(table: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -133,10 +143,30 @@ class Level:
         return np.where(known, (seen + self.kept[at] * shorter_one) / self.whole[at], shorter_one)
 
 
+@dataclass(frozen=True)
+class WordCounts:
+    """Words that are seen more than ``WORD_DISCOUNT`` times in a class, and by class all words and what the discount takes."""
+
+    keys: np.ndarray
+    counts: tuple[np.ndarray, np.ndarray]
+    whole: tuple[float, float]
+    taken: tuple[float, float]
+
+    def ratios(self) -> tuple[np.ndarray, np.ndarray, float]:
+        """Keys, sorted, with their log ratios; the ratio of all other words."""
+        if not all(self.taken):
+            return np.zeros(0, np.int64), np.zeros(0), 0.0
+        share = (self.counts[0] + self.counts[1]) / sum(self.whole)
+        parts = [(np.maximum(n - WORD_DISCOUNT, 0) + t * share) / w for n, w, t in zip(self.counts, self.whole, self.taken)]
+        rare = np.log(self.taken[0] / self.whole[0]) - np.log(self.taken[1] / self.whole[1])
+        return self.keys, (np.log(parts[0]) - np.log(parts[1])).astype(np.float32), float(rare)
+
+
 class Model:
     """Log ratios of all known runs and contexts, by length, and the curve."""
 
-    def __init__(self, run: np.ndarray, toxic: np.ndarray, plain: np.ndarray):
+    def __init__(self, run: np.ndarray, toxic: np.ndarray, plain: np.ndarray, words: WordCounts | None = None):
+        self.words, self.word_ratio, self.rare = words.ratios() if words else (np.zeros(0, np.int64), np.zeros(0), 0.0)
         counts = [{}, {}]
         for c, n in enumerate((toxic, plain)):
             own = run[n > 0], n[n > 0].astype(np.float64)
@@ -194,16 +224,23 @@ class Model:
         own, at = np.unique(run, return_inverse=True)
         return np.add.reduceat(self.ratio(own)[at], begins)
 
-    def features(self, texts: tuple[np.ndarray, np.ndarray, list[bytes]]) -> np.ndarray:
-        """By text: log-likelihood ratio per word of the whole, of the top word, of the top three; log of the length."""
-        number, sizes, words = texts
-        ratio = self.word_ratios(words)[number] if words else np.zeros(0)
+    def whole_words(self, keys: np.ndarray) -> np.ndarray:
+        at, known = find(self.words, keys)
+        return np.where(known, self.word_ratio[at] if len(self.words) else 0.0, self.rare)
+
+    def features(self, texts: tuple[np.ndarray, np.ndarray, list[bytes], np.ndarray]) -> np.ndarray:
+        """By text: ratio per word of the whole, of the top word, of the top three, by letters and by words; log of the length."""
+        number, sizes, words, keys = texts
+        kinds = [of[number] for of in (self.word_ratios(words), self.whole_words(keys))] if words else []
         out, edge = np.zeros((len(sizes), FEATURES)), np.concatenate([[0], np.cumsum(sizes)])
         for i, n in enumerate(sizes):
             if n:
-                r = ratio[edge[i] : edge[i + 1]]
-                top = np.partition(r, -3)[-3:] if n > 3 else r
-                out[i] = r.mean(), top.max(), top.mean(), np.log1p(n)
+                told = []
+                for ratio in kinds:
+                    r = ratio[edge[i] : edge[i + 1]]
+                    top = np.partition(r, -3)[-3:] if n > 3 else r
+                    told += [r.mean(), top.max(), top.mean()]
+                out[i] = *told, np.log1p(n)
         return out
 
     def fit_curve(self, x: np.ndarray, y: np.ndarray) -> None:
@@ -238,14 +275,20 @@ def learnable(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def count(rows: DataFrame) -> DataFrame:
-    """``run, toxic, plain``: counts of runs in labelled texts by class."""
+    """``run, toxic, plain``: counts of runs and words (by their keys) in labelled texts by class."""
     found = rows.select("text", "toxic").mapInArrow(count_runs, "run long, toxic long, plain long")
     return found.groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
 
 
 def model_of(counts: DataFrame) -> Model:
-    rows = counts.toArrow().sort_by("run")
-    return Model(rows["run"].to_numpy().astype(np.uint64), rows["toxic"].to_numpy(), rows["plain"].to_numpy())
+    """The model of stored counts."""
+    rows = counts.where(F.col("run") < WORDS).toArrow().sort_by("run")
+    words = counts.where(F.col("run") >= WORDS)
+    least = lambda c: F.sum(F.least(c, F.lit(WORD_DISCOUNT)))
+    all_ = [float(v or 0) for v in words.agg(F.sum("toxic"), F.sum("plain"), least("toxic"), least("plain")).first()]
+    often = words.where(F.greatest("toxic", "plain") > WORD_DISCOUNT).toArrow().sort_by("run")
+    of_words = WordCounts(often["run"].to_numpy(), (often["toxic"].to_numpy(), often["plain"].to_numpy()), (all_[0], all_[1]), (all_[2], all_[3]))
+    return Model(rows["run"].to_numpy().astype(np.uint64), rows["toxic"].to_numpy(), rows["plain"].to_numpy(), of_words)
 
 
 def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Model:
@@ -273,7 +316,7 @@ def fit(docs: DataFrame, labels: DataFrame, curve_rows: int = CURVE_ROWS) -> Mod
     held.unpersist()
     del model
     both = first_counts.union(count(rows.where("part = 1"))).groupBy("run").agg(F.sum("toxic").alias("toxic"), F.sum("plain").alias("plain"))
-    final = model_of(both)
+    final = model_of(stored(both, "toxic-counts"))
     final.curve = fitted
     return final
 
