@@ -12,7 +12,7 @@ from staffloom.names import c
 from staffloom.operators.aggregates import first_value_by_priority
 from staffloom.operators.casting import cast_spec
 from staffloom.operators.filters import apply_filters
-from staffloom.operators.joins import left_join, match_status
+from staffloom.operators.joins import lookup_join, match_status
 from staffloom.operators.projection import insert_after, map_columns, select_spec, string_columns
 from staffloom.operators.sets import order_by, union_all
 from staffloom.sources.layouts import FIRST_BLANK, Sheets, discover
@@ -71,7 +71,7 @@ def exit_exams_enriched(exams: DataFrame, current: DataFrame, old: DataFrame, or
         "categoria_cc",
         "gerencia",
     )
-    joined = left_join(exams, catalog, ["NOMBRE DE CC"])
+    joined = lookup_join(exams, catalog, "NOMBRE DE CC")
     out = joined.select(
         *[c(n) for n in ("NOMBRE", "DNI", "FECHA DE CESE", "CAUSA DE SALIDA", "CARGO")],
         c("NOMBRE DE CC").alias("codigo_cc_original"),

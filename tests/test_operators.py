@@ -150,6 +150,26 @@ def test_left_join_of_different_key_types(spark):
     assert got.filter("w = 1").count() == 1000 and got.filter("w = 2").count() == 1 and got.count() == 2000
 
 
+def test_lookup_join_deals_rows_without_a_code(spark):
+    """Blank and null codes are most rows; no task gets them all, and rows are those of a plain left join."""
+    code = F.when(c("id") % 3 == 0, "").when(c("id") % 3 == 1, F.lit(None)).otherwise(F.concat(F.lit("k"), (c("id") % 50).cast("string")))
+    left = spark.range(6000).select(code.alias("k"), c("id").alias("v")).repartition(4)
+    right = spark.createDataFrame([("", 0), (None, 9), ("k2", 2), ("k5", 5)], "k string, w int")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in zip(names, ("-1", "false")):
+            spark.conf.set(k, v)
+        got = joins.lookup_join(left, right, "k")
+        plain = left.join(right, ["k"], "left").select("k", "v", "w")
+        assert got.columns == plain.columns and rows(got) == rows(plain)
+        most = got.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
+        assert most < 2000
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_match_status(spark):
     df = spark.createDataFrame([("", None), ("", "x"), ("a", None), (None, None), ("a", "a")], "code string, cc string")
     got = [r[0] for r in df.select(joins.match_status(c("code"), c("cc"))).collect()]
