@@ -19,7 +19,7 @@ from staffloom.operators.aggregates import (
     string_agg_ordered,
     value_counts,
 )
-from staffloom.operators.joins import left_join, match_status
+from staffloom.operators.joins import left_join, lookup_join, match_status
 from staffloom.operators.quality import check_unique
 from staffloom.operators.sets import order_by, union_all, union_diagonal
 from staffloom.plans.employees import employee_flags, flag_columns
@@ -27,7 +27,7 @@ from staffloom.plans.exams import unified_cost_centers
 from staffloom.plans.payroll import PERSON_PERIOD, leave_reasons
 from staffloom.registry.core import query
 from staffloom.registry.functions import AS_OF_SQL, DAYS_SQL, TEXT_SQL, as_of
-from staffloom.sources.buckets import write_bucketed
+from staffloom.sources.buckets import buckets_for, write_bucketed
 from staffloom.sources.scratch import shared_folder
 from staffloom.specs import rules
 
@@ -75,13 +75,10 @@ def two_keys(t):
     return left_join(payroll, leave_reasons(t["leave"]), PERSON_PERIOD)
 
 
-def _bucketed(t, name: str):
-    df = t[name]
-    path = f"{shared_folder(t.spark)}/staffloom/{name}-{uuid.uuid4().hex}"
-    return write_bucketed(df, path, PERSON_PERIOD, BUCKETS, name)
-
-
-BUCKETS = 8
+def _bucketed(t, *names: str):
+    buckets = buckets_for(*(t[name] for name in names))
+    path = lambda name: f"{shared_folder(t.spark)}/staffloom/{name}-{uuid.uuid4().hex}"
+    return [write_bucketed(t[name], path(name), PERSON_PERIOD, buckets, name) for name in names]
 
 
 @query("J1_bucketed_layers", f"""
@@ -91,14 +88,15 @@ SELECT n."DNI/CEX", n."PERIODO", n."SEXO", l.paid AS MOTIVO_CON_GOCE, l.unpaid A
     FROM <<leave>> GROUP BY ALL) l USING ("DNI/CEX", "PERIODO")""")
 def bucketed_join(t):
     """J1 and A1 over layers that are bucketed by person and period: nothing is shuffled."""
-    payroll = _bucketed(t, "payroll_silver").select(c("DNI/CEX"), "PERIODO", "SEXO")
-    return left_join(payroll, leave_reasons(_bucketed(t, "leave")), PERSON_PERIOD)
+    payroll, leave = _bucketed(t, "payroll_silver", "leave")
+    return left_join(payroll.select(c("DNI/CEX"), "PERIODO", "SEXO"), leave_reasons(leave), PERSON_PERIOD)
 
 
 @query("V6_bucketed_key", """
 SELECT count(*) AS n_bad FROM (SELECT 1 FROM <<leave>> GROUP BY "DNI/CEX", "PERIODO" HAVING count(*) > 1)""")
 def bucketed_key(t):
-    return check_unique(_bucketed(t, "leave"), PERSON_PERIOD, "leave").select("n_bad")
+    (leave,) = _bucketed(t, "leave")
+    return check_unique(leave, PERSON_PERIOD, "leave").select("n_bad")
 
 
 @query("J2_left_join_catalog", f"""
@@ -108,7 +106,7 @@ def catalog(t):
     centers = unified_cost_centers(t["cc_actual"], t["cc_old"]).select(
         c("CC").alias("NOMBRE DE CC"), "nombre_cc", "gerencia"
     )
-    return left_join(t["exams"].select("NOMBRE", c("NOMBRE DE CC")), centers, ["NOMBRE DE CC"])
+    return lookup_join(t["exams"].select("NOMBRE", c("NOMBRE DE CC")), centers, "NOMBRE DE CC")
 
 
 @query("J3_self_join_on_key", FLAGS_SQL)
@@ -122,7 +120,7 @@ SELECT e."NOMBRE", e."NOMBRE DE CC", CASE WHEN e."NOMBRE DE CC" = '' THEN 'SIN_C
 FROM <<exams>> e LEFT JOIN (SELECT "CC" FROM <<cc_actual>> UNION SELECT "CC" FROM <<cc_old>>) cc ON e."NOMBRE DE CC" = cc."CC" """)
 def status(t):
     codes = select_distinct(union_all(t["cc_actual"], t["cc_old"]), ["CC"]).select(c("CC").alias("NOMBRE DE CC"), "CC")
-    joined = left_join(t["exams"].select("NOMBRE", c("NOMBRE DE CC")), codes, ["NOMBRE DE CC"])
+    joined = lookup_join(t["exams"].select("NOMBRE", c("NOMBRE DE CC")), codes, "NOMBRE DE CC")
     code = c("NOMBRE DE CC")
     return joined.select("NOMBRE", code, match_status(code, c("CC")).alias("status_match"))
 

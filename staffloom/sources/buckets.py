@@ -14,6 +14,22 @@ from pyspark.sql import DataFrame, SparkSession
 from staffloom.names import q
 
 
+#: Rows that one bucket holds at most, if the keys are spread: a task sorts or groups them in some hundred megabytes.
+ROWS_PER_BUCKET = 1 << 21
+LEAST_BUCKETS = 8
+
+
+def buckets_for(*layers: DataFrame) -> int:
+    """A number of buckets for layers that are to meet: a power of two that grows with the rows of the largest.
+
+    A task works on one bucket, so its memory stays the same when the layers grow.
+    """
+    rows, buckets = max(layer.count() for layer in layers), LEAST_BUCKETS
+    while buckets * ROWS_PER_BUCKET < rows:
+        buckets *= 2
+    return buckets
+
+
 def bucketed_name(name: str) -> str:
     """A table name of its own for the session's catalogue."""
     return f"{name}_{uuid.uuid4().hex}"
@@ -23,7 +39,7 @@ def write_bucketed(df: DataFrame, path: str, keys: Sequence[str], buckets: int,
     """Write ``df`` to ``path`` (which must be new) in ``buckets`` by ``keys``, sorted, and give it back as a table.
 
     Rows are dealt by the keys before they are written, so each bucket is one file.  Tables that are to meet need the same keys in
-    the same order, and the same number of buckets: enough for the layer's final size (about 1 GB a bucket), as it is fixed.
+    the same order, and the same number of buckets: enough for the layer's final size, as it is fixed (``buckets_for``).
     """
     table = bucketed_name(name)
     dealt = df.repartition(buckets, *[df[q(k)] for k in keys])

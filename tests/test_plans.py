@@ -9,6 +9,7 @@ from staffloom.plans.payroll import PERSON_PERIOD, leave_reasons
 from staffloom.operators.joins import left_join
 from staffloom.operators.quality import check_unique
 from staffloom.registry import QUERIES
+from staffloom.sources import buckets
 from staffloom.sources.buckets import open_bucketed, write_bucketed
 
 
@@ -61,3 +62,14 @@ def test_bucketed_layers_meet_without_an_exchange(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
+
+
+@pytest.mark.parametrize("name", ["J1_bucketed_layers"])
+def test_buckets_grow_with_the_layer(spark, folder, monkeypatch, name):
+    n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
+    monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", n // 20, raising=False)
+    before = {t.name for t in spark.catalog.listTables()}
+    QUERIES[name](spark, folder)
+    made = {t.name for t in spark.catalog.listTables()} - before
+    numbers = {r.data_type for t in made for r in spark.sql(f"DESCRIBE FORMATTED {t}").collect() if r.col_name == "Num Buckets"}
+    assert numbers == {"32"}
