@@ -64,7 +64,7 @@ def test_bucketed_layers_meet_without_an_exchange(spark, tmp_path):
             spark.conf.set(k, v)
 
 
-@pytest.mark.parametrize("name", ["J1_bucketed_layers"])
+@pytest.mark.parametrize("name", ["J1_bucketed_layers", "V6_bucketed_key"])
 def test_buckets_grow_with_the_layer(spark, folder, monkeypatch, name):
     n = spark.read.parquet(f"{folder}/lineitem.parquet").count()
     monkeypatch.setattr(buckets, "ROWS_PER_BUCKET", n // 20, raising=False)
