@@ -15,7 +15,8 @@ Index and probes meet on 64-bit keys that carry places only; texts are fetched f
 those a sketch is made, the parity of their pairs of characters by hash: an edit changes at most four pairs, so lines
 whose sketches differ in more than 4 places an edit are never paired.  A second sketch has the parity of the words, of which an
 edited word changes at most two.  Many lines that share a long segment but
-differ elsewhere thus give no pairs, and no near pair is lost.
+differ elsewhere thus give no pairs, and no near pair is lost.  A line needs one near earlier line to go, so it is verified
+against the nearest by sketch first, and against all others only if that fails.
 
 Judged on the input.  Defined results: lines shorter than the limits, and blank lines, always stay; null or empty texts stay as they are; rows that repeat
 a doc_id with one text count as one document and are cut alike, with different texts they are ordered by a
@@ -27,6 +28,7 @@ from __future__ import annotations
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -114,17 +116,9 @@ def first_lines(rows: DataFrame, limits: Limits) -> DataFrame:
 ENTRY = "key long, id long, mark int, line_no int, indexed boolean"
 
 
-def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by key and line, those whose key has different lines."""
+def whole_lists(it: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows that come sorted by key, in tables that hold all rows of their keys."""
     rest: list[pa.RecordBatch] = []
-
-    def chosen(table: pa.Table) -> pa.Table:
-        key = table["key"].to_numpy()
-        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
-        places = [table[c].to_numpy() for c in AT]
-        several = np.any([place[edge[:-1]] != place[edge[1:] - 1] for place in places], axis=0)
-        return table.filter(pa.array(np.repeat(several, np.diff(edge))))
-
     for batch in it:
         if not len(batch):
             continue
@@ -134,10 +128,20 @@ def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         table = pa.Table.from_batches([*rest, batch])
         cut = int(np.searchsorted(table["key"].to_numpy(), last.as_py()))
-        yield from chosen(table.slice(0, cut)).to_batches()
+        yield table.slice(0, cut)
         rest = table.slice(cut).to_batches()
     if rest:
-        yield from chosen(pa.Table.from_batches(rest)).to_batches()
+        yield pa.Table.from_batches(rest)
+
+
+def shared(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of rows sorted by key and line, those whose key has different lines."""
+    for table in whole_lists(it):
+        key = table["key"].to_numpy()
+        edge = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1], [True]]))
+        places = [table[c].to_numpy() for c in AT]
+        several = np.any([place[edge[:-1]] != place[edge[1:] - 1] for place in places], axis=0) if len(key) else np.zeros(0, bool)
+        yield from table.filter(pa.array(np.repeat(several, np.diff(edge)))).to_batches()
 
 
 def entries(firsts: DataFrame) -> DataFrame:
@@ -232,8 +236,84 @@ def near(a: str, b: str, limits: Limits) -> bool:
     return edits > 0 and within(x, y, edits)
 
 
+SHORT_LIST, LATE, EARLY = 16, 256, 4096
+BITS = [f"b{k}" for k in range(SKETCH // 64)]
+FAR = 1 << 14
+PAIR = "key long, early struct<id:long,mark:int,line_no:int>, late struct<id:long,mark:int,line_no:int>, more boolean"
+
+
+def list_pairs(it: Iterator[pa.RecordBatch], limits: Limits, nearest: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of a key whose lengths and sketches allow a few edits: of each late line that is open, all, or the ``nearest`` one by sketch.
+
+    Rows come sorted by key and line.  ``more`` says that the late line has other pairs under the key.
+    """
+    for table in whole_lists(it):
+        size = len(table)
+        if size < 2:
+            continue
+        key, indexed, is_open = (table[c].to_numpy() for c in ("key", "indexed", "open"))
+        at = [table[c].to_numpy() for c in AT]
+        new = np.concatenate([[True], key[1:] != key[:-1]])
+        line = np.cumsum(new | np.concatenate([[True], np.any([p[1:] != p[:-1] for p in at], axis=0)]))
+        bits, words = [table[c].to_numpy().view(np.uint64) for c in BITS], table["bw"].to_numpy().view(np.uint64)
+        n, nw = (table[c].to_numpy().astype(np.int32) for c in ("n", "nw"))
+        most = [np.select([m >= least for least, _ in reversed(steps)], [e for _, e in reversed(steps)], -1).astype(np.int32) if steps else np.full(size, -1, np.int32)
+                for m, steps in ((n, limits.chars), (nw, limits.words))]
+
+        def differ(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            """How far the sketches of early ``i`` and late ``j`` are apart; ``FAR`` where they are no pair."""
+            by_chars = sum(np.bitwise_count(b[i] ^ b[j]).astype(np.int32) for b in bits)
+            by_words = np.bitwise_count(words[i] ^ words[j]).astype(np.int32)
+            chars, more = (np.minimum(m[i], m[j]) for m in most)
+            may = ((by_chars <= 4 * chars) & (abs(n[i] - n[j]) <= chars)) | (by_words <= 2 * more - abs(nw[i] - nw[j]))
+            may &= (line[i] < line[j]) & (indexed[i] | indexed[j]) & is_open[j]
+            return np.where(may, np.minimum(by_chars, 4 * by_words), FAR)
+
+        def batch(i: np.ndarray, j: np.ndarray, more: np.ndarray) -> pa.RecordBatch:
+            place = lambda k: pa.StructArray.from_arrays([pa.array(p[k]) for p in at], AT)
+            return pa.RecordBatch.from_arrays([pa.array(key[j]), place(i), place(j), pa.array(more)], ["key", "early", "late", "more"])
+
+        start = np.flatnonzero(new)
+        length = np.diff(np.append(start, size))
+        short = np.repeat(length <= SHORT_LIST, length)
+        best, of, count = np.full(size, FAR, np.int32), np.zeros(size, np.int64), np.zeros(size, np.int64)
+        for step in range(1, SHORT_LIST):  # short lists of all keys at once
+            j = step + np.flatnonzero(short[step:] & (key[step:] == key[:-step]))
+            if not len(j):
+                break
+            far = differ(j - step, j)
+            j, far = j[far < FAR], far[far < FAR]
+            if not nearest and len(j):
+                yield batch(j - step, j, np.zeros(len(j), bool))
+            count[j] += 1
+            closer = far < best[j]
+            best[j[closer]], of[j[closer]] = far[closer], j[closer] - step
+        for first, stop in zip(start[length > SHORT_LIST], (start + length)[length > SHORT_LIST]):
+            for low in range(first, stop, LATE):
+                late = np.arange(low, min(low + LATE, stop))
+                for begin in range(first, late[-1], EARLY):
+                    early = np.arange(begin, min(begin + EARLY, late[-1]))
+                    far = differ(early[:, None], late[None, :])
+                    if not nearest:
+                        i, j = np.nonzero(far < FAR)
+                        if len(i):
+                            yield batch(early[i], late[j], np.zeros(len(i), bool))
+                        continue
+                    count[late] += (far < FAR).sum(0)
+                    least = far.argmin(0)
+                    closer = far[least, np.arange(len(late))] < best[late]
+                    best[late[closer]], of[late[closer]] = far[least, np.arange(len(late))][closer], early[least[closer]]
+        j = np.flatnonzero(count)
+        if nearest and len(j):
+            yield batch(of[j], j, count[j] > 1)
+
+
 def near_lines(rows: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
-    """Places of first lines that have a near earlier line."""
+    """Places of first lines that have a near earlier line.
+
+    Every line is first held against the nearest line of each of its keys, which settles most; only lines that are still open
+    then meet all others of their keys, so a thousand near copies of one line do not all meet each other.
+    """
     found = stored(entries(firsts), "line-entries")
     places = stored(found.groupBy("id", "mark").agg(F.collect_set("line_no").alias("nos")), "line-places")
     texts = rows.join(small(places), ["id", "mark"]).dropDuplicates(["id", "mark"]).select(
@@ -241,30 +321,26 @@ def near_lines(rows: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
     ).select(F.struct(*AT).alias("at"), F.get("lines", "line_no").alias("text"))
     texts = stored(texts.mapInArrow(add_sketches, "at struct<id:long,mark:int,line_no:int>, text string, bits array<long>, wbits long, n int, nw int"), "line-texts")
     known = found.select("key", "indexed", F.struct(*AT).alias("at")).join(texts.drop("text"), "at")
-    bits = [*(F.col("bits")[k] for k in range(SKETCH // 64)), F.col("wbits"), F.col("n"), F.col("nw")]
-    names = [*map(str, range(SKETCH // 64)), "_words", "_n", "_nw"]
-    side = lambda name: known.select("key", F.col("indexed").alias(f"indexed_{name}"), F.col("at").alias(name), *(c.alias(f"{name}{k}") for c, k in zip(bits, names)))
-    differ = lambda k: F.bit_count(F.col(f"early{k}").bitwiseXOR(F.col(f"late{k}")))
-
-    def edits(k: str, steps: Steps) -> Column:
-        shorter, out = F.least(f"early{k}", f"late{k}"), F.lit(-1)
-        for least, most in steps:
-            out = F.when(shorter >= least, most).otherwise(out)
-        return out
-
-    chars = sum(differ(k) for k in range(SKETCH // 64)) <= 4 * edits("_n", limits.chars)
-    words = differ("_words") <= 2 * edits("_nw", limits.words)
-    pairs = side("early").join(side("late"), "key").where((F.col("early") < F.col("late")) & (F.col("indexed_early") | F.col("indexed_late")) & (chars | words))
+    known = known.select("key", "at.*", "indexed", *(F.col("bits")[k].alias(b) for k, b in enumerate(BITS)), F.col("wbits").alias("bw"), "n", "nw")
+    lists = lambda df: df.repartition("key").sortWithinPartitions("key", *AT)
     a = texts.select(F.col("at").alias("early"), F.col("text").alias("text_a"))
     b = texts.select(F.col("at").alias("late"), F.col("text").alias("text_b"))
-    both = pairs.select("early", "late").distinct().join(a, "early").join(b, "late").select("late.*", "text_a", "text_b")
 
     def verify(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in it:
             found = [near(a, b, limits) for a, b in zip(batch["text_a"].to_pylist(), batch["text_b"].to_pylist())]
             yield batch.select(AT).filter(pa.array(found, pa.bool_()))
 
-    return both.mapInArrow(verify, "id long, mark int, line_no int").distinct()
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.select("early", "late").distinct().join(a, "early").join(b, "late").select("late.*", "text_a", "text_b")
+        return both.mapInArrow(verify, "id long, mark int, line_no int").distinct()
+
+    pairs = lambda df, nearest: lists(df).mapInArrow(partial(list_pairs, limits=limits, nearest=nearest), PAIR)
+    closest = stored(pairs(known.withColumn("open", F.lit(True)), True), "nearest-lines")
+    settled = stored(verified(closest), "settled-lines")
+    left = stored(closest.where("more").select("key", "late.*").join(settled, AT, "left_anti"), "open-lines")
+    others = known.join(left.select("key").distinct(), "key", "left_semi").join(left.select(*AT, F.lit(True).alias("open")).distinct(), AT, "left")
+    return settled.union(verified(pairs(others.withColumn("open", F.coalesce("open", F.lit(False))), False)))
 
 
 def removed_lines(docs: DataFrame, limits: Limits = NARROW) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -88,6 +89,27 @@ def test_edit_distance():
         assert line_dedup.within(a, b, e) == (distance(a, b) <= e)
 
 
+def test_near_copies_of_one_line_do_not_all_meet(spark):
+    """Of a key that many near copies share, each late line is held against one other first; the rest only where that fails."""
+    rng = random.Random(5)
+    base = [f"word{i}x" for i in range(30)]
+    lines = [" ".join([*base[:20], *(rng.choice([w, f"{w}{rng.randrange(40)}"]) if i > 27 else w for i, w in enumerate(base[20:], 20))]) for _ in range(400)]
+    lines = list(dict.fromkeys(lines))
+    bits = np.array([np.frombuffer(line_dedup.sketch(t), "<i8") for t in lines])
+    cols = {"key": [7] * len(lines), "id": range(len(lines)), "mark": [0] * len(lines), "line_no": [0] * len(lines), "indexed": [True] * len(lines)}
+    cols |= {f"b{k}": bits[:, k] for k in range(bits.shape[1])} | {"bw": [line_dedup.word_sketch(t.split(" ")) for t in lines]}
+    cols |= {"n": map(len, lines), "nw": [30] * len(lines), "open": [True] * len(lines)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(list(v), pa.int32() if k in ("mark", "line_no", "n", "nw") else None) for k, v in cols.items()})
+    pairs = lambda nearest: [r for b in line_dedup.list_pairs(iter([batch]), line_dedup.WIDE, nearest) for r in b.to_pylist()]
+    every = {(r["early"]["id"], r["late"]["id"]) for r in pairs(False)}
+    near = {(i, j) for j in range(len(lines)) for i in range(j) if line_dedup.near(lines[i], lines[j], line_dedup.WIDE)}
+    assert near <= every and len(near) > 10 * len(lines)
+    one = [(r["early"]["id"], r["late"]["id"]) for r in pairs(True)]
+    assert set(one) <= every and len(one) == len(lines) - 1
+    got = line_dedup.dedup(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"), line_dedup.WIDE)
+    assert {r.doc_id for r in got.collect() if r.n_removed} == {j for _, j in near}
+
+
 def test_line_dedup(spark, empty):
     r, base = random.Random(3), [prose(10, 100 + k) for k in range(30)]
     rows = []
