@@ -6,12 +6,12 @@ global order; two sets that link share a shingle of their prefixes.
 
 * Lists of sets by shingle are sorted by set size and skipped block by block: by size, and by position, where a
   block says how many shingles its sets can still share from there on.
-* Shingles that are frequent in a sample come last in the global order, so the lists stay short.  (Any order gives
-  the same links; the sample's size is bounded.)
-* Highly similar sets are joined first: each set of a list is compared with the list's leader, which takes one
-  comparison a set.  A set's answers then follow from the leader's: all are in one group, and the full join
-  only meets pairs whose groups differ.  A thousand sets that link with their leader so cost a thousand comparisons;
-  sets of a list that are near each other but not near their leader still meet in pairs.
+* Rare shingles come first in the global order, so the lists stay short.  How frequent a shingle is says the count of its
+  cell over all documents, of ``CELLS`` cells by hash.  (Any order gives the same links.)
+* Highly similar sets are joined first, by ``LEADING`` min-hashes, which linked sets most likely share: each set of a
+  min-hash's list is compared with the list's leader and with the nearest by folded map among the sets before it, which takes two
+  comparisons a set.  Sets that link are in one group, and the full join only meets pairs whose groups differ.  A thousand sets
+  that link with their nearest so cost some thousand comparisons; whatever links are missed here the full join finds.
 
 * Pairs are first held against bit maps, the parity of each set's shingles at ``BITS`` places: sets differ in at least as
   many shingles as their maps in bits, so most pairs that do not link are put aside without their sets.  The lists
@@ -26,6 +26,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from functools import partial
 
@@ -35,11 +36,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, raw, row_key, sliced, small, stored
+from staffloom.llm.common import NO_ID, WordHashes, columns_of, components, doc_id_of, grams, mix, raw, row_key, sliced, small, stored
 
 SHINGLE, PERCENT = 4, 85
-SAMPLE_DOCS, HOT_SHARE, HOT_MOST = 20_000, 0.001, 50_000
-LEADING = 3  # prefix shingles whose lists have leaders
+CELL_BITS = 22
+CELLS, PART = 1 << CELL_BITS, 1 << 14
+LEADING = 3  # min-hashes whose lists have leaders
+WINDOW = 4096  # sets of a list among which the nearest is sought
 BLOCK = 512
 BITS = 2048
 FOLDS = 3
@@ -82,31 +85,57 @@ def may_link(n: np.ndarray, differ: np.ndarray, percent: int = PERCENT) -> np.nd
     return n - differ >= 2 * least_shared(n, 0, percent)
 
 
-def hot_shingles(docs: DataFrame, shingle: int) -> np.ndarray:
-    """Shingles of at least ``HOT_SHARE`` of a bounded sample of documents, sorted; at most ``HOT_MOST``."""
-    every = max(1, docs.count() // SAMPLE_DOCS)
+def cells(own: np.ndarray) -> np.ndarray:
+    """Cell of each shingle."""
+    return (own >> np.uint64(64 - CELL_BITS)).astype(np.int64)
 
-    def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = WordHashes(lower=True)
-        for batch in sliced(it, 4000):
-            sets = [shingles(t, hashes, shingle) for t in raw(batch["text"])]
-            token, n = np.unique(np.concatenate(sets or [np.zeros(0, np.uint64)]), return_counts=True)
-            yield pa.RecordBatch.from_pydict({"token": token.astype(np.int64), "n": n.astype(np.int64)})
 
-    sample = docs.where(F.pmod(F.xxhash64("id"), F.lit(every)) == 0).select("text")
-    counts = sample.mapInArrow(read, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-    top = counts.where(F.col("n") >= max(20, int(HOT_SHARE * SAMPLE_DOCS))).orderBy(F.desc("n"), "token").limit(HOT_MOST)
-    return np.sort(top.toArrow()["token"].to_numpy().astype(np.uint64))
+def frequency_levels(docs: DataFrame, shingle: int) -> np.ndarray:
+    """For each cell, how many sets of all documents its shingles are in, in eighths of a power of two.
+
+    A task counts its documents into one array of fixed size; parts of it, compressed, are added up by part.
+    """
+
+    def count(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, n = WordHashes(lower=True), np.zeros(CELLS, np.uint32)
+        for batch in sliced(it):
+            own = np.concatenate([shingles(t, hashes, shingle) for t in raw(batch["text"])] or [np.zeros(0, np.uint64)])
+            np.add.at(n, cells(own), np.uint32(1)) if len(own) < CELLS >> 4 else np.add(n, np.bincount(cells(own), minlength=CELLS).astype(np.uint32), out=n)
+        parts = [k for k in range(CELLS // PART) if n[k * PART : (k + 1) * PART].any()]
+        held = [zlib.compress(n[k * PART : (k + 1) * PART].tobytes(), 1) for k in parts]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "n": pa.array(held, pa.binary())})
+
+    def add(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in it:
+            for part, n in zip(batch["part"].to_pylist(), batch["n"].to_pylist()):
+                own = np.frombuffer(zlib.decompress(n), np.uint32).astype(np.int64)
+                sums[part] = sums[part] + own if part in sums else own
+        levels = [(8 * np.log2(np.maximum(n, 1))).astype(np.uint8).tobytes() for n in sums.values()]
+        yield pa.RecordBatch.from_pydict({"part": pa.array(list(sums), pa.int32()), "level": pa.array(levels, pa.binary())})
 
+    out = np.zeros(CELLS, np.uint8)
+    for row in docs.select("text").mapInArrow(count, "part int, n binary").repartition("part").mapInArrow(add, "part int, level binary").collect():
+        out[row.part * PART : (row.part + 1) * PART] = np.frombuffer(row.level, np.uint8)
+    return out
 
-def describe_sets(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int) -> DataFrame:
-    """``id, f1, f2, n, bits, folds, prefix``: fingerprint, size, bit map, folded map and probe prefix of every document's set."""
-    held = docs.sparkSession.sparkContext.broadcast(hot)
+
+SALTS = mix(np.arange(1, LEADING + 1, dtype=np.uint64))
+
+
+def min_hashes(own: np.ndarray) -> np.ndarray:
+    """A set's least shingle in each of ``LEADING`` orders, marked with the order."""
+    return np.array([mix(own ^ salt).min() ^ salt for salt in SALTS], np.uint64)
+
+
+def describe_sets(docs: DataFrame, levels: np.ndarray, shingle: int, percent: int) -> DataFrame:
+    """``id, f1, f2, n, bits, folds, lead, prefix``: fingerprint, size, bit map, folded map, min-hashes and probe prefix of every document's set."""
+    held = docs.sparkSession.sparkContext.broadcast(levels)
 
     def read(it: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, last = WordHashes(lower=True), held.value
+        hashes, level = WordHashes(lower=True), held.value
         for batch in sliced(it):
-            f1, f2, n, bits, folds, prefix = [], [], [], [], [], []
+            f1, f2, n, bits, folds, lead, prefix = [], [], [], [], [], [], []
             for text in raw(batch["text"]):
                 own = shingles(text, hashes, shingle)
                 high, low = divmod(xxhash.xxh3_128_intdigest(own.tobytes()), 1 << 64)
@@ -115,20 +144,17 @@ def describe_sets(docs: DataFrame, hot: np.ndarray, shingle: int, percent: int)
                 n.append(len(own))
                 bits.append(bit_map(own))
                 folds.append(folded(bits[-1]))
+                lead.append(min_hashes(own).view(np.int64) if len(own) else own.view(np.int64))
                 if len(own):
-                    if len(last):
-                        at = np.minimum(np.searchsorted(last, own), len(last) - 1)
-                        late = last[at] == own
-                        own = np.concatenate([own[~late], own[late]])
-                    own = own[: probe_prefix(len(own), percent)]
+                    own = own[np.argsort(level[cells(own)], kind="stable")][: probe_prefix(len(own), percent)]
                 prefix.append(own.astype(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [batch["id"], pa.array(f1, pa.int64()), pa.array(f2, pa.int64()), pa.array(n, pa.int64()), pa.array(bits, pa.binary()),
-                 pa.array(folds, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
-                ["id", "f1", "f2", "n", "bits", "folds", "prefix"],
+                 pa.array(folds, pa.list_(pa.int64())), pa.array(lead, pa.list_(pa.int64())), pa.array(prefix, pa.list_(pa.int64()))],
+                ["id", "f1", "f2", "n", "bits", "folds", "lead", "prefix"],
             )
 
-    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, bits binary, folds array<long>, prefix array<long>")
+    return docs.mapInArrow(read, "id long, f1 long, f2 long, n long, bits binary, folds array<long>, lead array<long>, prefix array<long>")
 
 
 def runs_of(it: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[tuple[np.ndarray, ...]]:
@@ -172,10 +198,10 @@ def pair_batches(found: Iterator[tuple[np.ndarray, ...]]) -> Iterator[pa.RecordB
 
 
 def leader_pairs(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Each set of a list with the list's leader: the smallest set that its size may link with it."""
+    """Each set of a list with the list's leader, the smallest set that its size may link with it, and with the nearest before it."""
 
     def found() -> Iterator[tuple[np.ndarray, ...]]:
-        for n, ids, f1 in runs_of(it, ["token", "n", "id", "f1"]):
+        for n, ids, f1, *folds in runs_of(it, ["token", "n", "id", "f1", *(f"fold{k}" for k in range(FOLDS))]):
             lead = np.zeros(len(n), np.int64)
             at = 0
             while True:  # one step for each leader; sizes grow by 100 / percent from one to the next
@@ -184,9 +210,21 @@ def leader_pairs(it: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Reco
                 if nxt >= len(n):
                     break
                 at = nxt
-            other = np.flatnonzero(lead != np.arange(len(n)))
+            folds = [f.view(np.uint64) for f in folds]
+            differ = sum(np.bitwise_count(f[lead] ^ f).astype(np.int64) for f in folds)
+            other = np.flatnonzero((lead != np.arange(len(n))) & may_link(n[lead] + n, differ, percent))
             if len(other):
                 yield ids[lead[other]], f1[lead[other]], ids[other], f1[other]
+            for low in range(0, len(n), BLOCK) if len(n) > 2 else ():
+                x = np.arange(low, min(low + BLOCK, len(n)))
+                y = np.arange(max(0, low + BLOCK - WINDOW), x[-1] + 1)[:, None]
+                differ = sum(np.bitwise_count(f[y] ^ f[x]).astype(np.int64) for f in folds)
+                differ = np.where((y < x) & may_link(n[y] + n[x], differ, percent), differ, BITS)
+                near = differ.argmin(0)
+                found = (differ[near, np.arange(len(x))] < BITS) & (y[near, 0] != lead[x])
+                x, near = x[found], y[near[found], 0]
+                if len(x):
+                    yield ids[near], f1[near], ids[x], f1[x]
 
     yield from pair_batches(found())
 
@@ -266,20 +304,20 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame, shingle: int, p
 def linked_groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """``doc_id, n_shingles, component_id``: size of each document's set and the smallest id of its group."""
     rows = columns_of(docs, doc_id="long", text="string").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("id"), "text")
-    sets = stored(describe_sets(rows, hot_shingles(rows, shingle), shingle, percent), "set-prefixes")
+    sets = stored(describe_sets(rows, frequency_levels(rows, shingle), shingle, percent), "set-prefixes")
     some = sets.where("n > 0")
     first = some.groupBy("f1", "f2").agg(F.min("id").alias("rep"))
-    light = some.select("id", "f1", "f2", "n", F.slice("prefix", 1, LEADING).alias("prefix"))
+    light = some.select("id", "f1", "f2", "n", "folds", F.col("lead").alias("prefix"))
     once = lambda df, *more: df.join(first, ["f1", "f2"]).where("id = rep").dropDuplicates(["f1", "f2"]).select("id", "f1", "n", "prefix", *more)
     maps = once(some.select("id", "f1", "f2", "n", F.col("bits").alias("prefix"))).withColumnRenamed("prefix", "bits")
     lists = lambda df, *order: df.repartition("token").sortWithinPartitions("token", *order)
 
-    leading = once(light).select(F.explode("prefix").alias("token"), "n", "id", "f1")
+    folds = [F.col("folds")[k].alias(f"fold{k}") for k in range(FOLDS)]
+    leading = once(light, "folds").select(F.explode("prefix").alias("token"), "n", "id", "f1", *folds)
     near = stored(verified(lists(leading, "n", "id").mapInArrow(partial(leader_pairs, percent=percent), PAIRS), rows, maps, shingle, percent), "leader-links")
     group = components(once(light).select("id").distinct(), near)
 
     full = once(some, "folds").join(group.select("id", F.col("component").alias("grp")).distinct(), "id")
-    folds = [F.col("folds")[k].alias(f"fold{k}") for k in range(FOLDS)]
     entries = full.select(F.posexplode("prefix").alias("pos", "token"), "n", "id", "f1", "grp", *folds)
     far = verified(lists(entries, "n", "id").mapInArrow(partial(skipping_pairs, percent=percent), PAIRS), rows, maps, shingle, percent)
 

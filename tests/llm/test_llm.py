@@ -203,6 +203,30 @@ def test_jaccard_join(spark, empty):
     assert jaccard_join.linked_groups(empty).count() == 0
 
 
+def test_order_of_shingles_counts_all_documents(spark):
+    texts = [" ".join(["every text has these words", *([f"some of them {k % 7}"] if k % 3 else []), prose(30, k)]) for k in range(240)]
+    n = np.zeros(jaccard_join.CELLS, np.int64)
+    for t in texts:
+        np.add.at(n, jaccard_join.cells(jaccard_join.shingles(t.encode(), WordHashes(lower=True))), 1)
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string").repartition(5)
+    assert n.max() >= 240 and (jaccard_join.frequency_levels(frame, jaccard_join.SHINGLE) == (8 * np.log2(np.maximum(n, 1))).astype(np.uint8)).all()
+
+
+def test_sets_meet_their_nearest_before_all_others():
+    """Sets of a list that are far from its leader but near each other: two pairs a set at most, one with a near set."""
+    r = np.random.default_rng(3)
+    families = [np.unique(r.integers(0, 1 << 63, 100).astype(np.uint64)) for _ in range(5)]
+    sets = sorted((np.unique(np.append(f, r.integers(0, 1 << 63, 2).astype(np.uint64))) for f in families for _ in range(60)), key=len)
+    kind = [int(np.argmax([len(np.intersect1d(s, f)) for f in families])) for s in sets]
+    folds = np.array([jaccard_join.folded(jaccard_join.bit_map(s)) for s in sets])
+    cols = {"token": [1] * 300, "n": [len(s) for s in sets], "id": range(300), "f1": range(300)} | {f"fold{k}": folds[:, k] for k in range(jaccard_join.FOLDS)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(list(v), pa.int64()) for k, v in cols.items()})
+    pairs = [(p["a"], p["b"]) for b in jaccard_join.leader_pairs(iter([batch]), 85) for p in b.to_pylist()]
+    assert len(pairs) <= 600
+    first = {kind.index(k) for k in set(kind)}
+    assert {b for a, b in pairs if kind[a] == kind[b]} >= set(range(300)) - first
+
+
 def test_maps_never_put_aside_a_link():
     r = np.random.default_rng(9)
     for n in (1, 5, 60, 700):
