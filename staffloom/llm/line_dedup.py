@@ -5,11 +5,13 @@ says from which length equal lines go, and how many edits of characters, or of w
 the length of the shorter line.  ``WIDE`` is what the query and the pipeline use: equal lines of any length (but blank ones), 1
 character from 20 characters, 2 from 40, 1 word from 8 words, 2 from 24.  ``NARROW`` has lines of 40 characters and 2 edits only.
 
-Equal lines are reduced to their first by hash first.  Of those, each line is split into e + 1 even segments, where e is
-its number of edits: a line within e edits must contain one of them unchanged.  Every line puts its segments into an index under
-(segment, which, length of the line), and probes the index for each length that is up to e shorter with just those parts
-whose place leaves room for the edits on either side.  This is done for characters and for words.  Candidates are
-verified by a bit-parallel edit distance in a band of 2 * e + 1 diagonals.
+Equal lines are reduced to their first by hash first.  Lines are cut by classes of lengths.  A class of e edits whose least length is m has
+e + 1 parts of about m / (e + 1) characters, the first ones counted from the line's beginning, the others from its end.  Of a line that is within e
+edits of another, some part i is unchanged with i edits before it and at most e - i after it: it stands in the other line at most min(i, e - i)
+places from its own.  So a line has a key for each part (its index) and for each such shift (its probes); with up to 2 edits shifts to the
+right are enough, as the middle part of one of the two lines is shifted so.  A line that is up to e longer than some of the class below
+also has that class's keys.  This is done for characters and for words: 4 keys for 2 edits, 2 for one, and a quarter more for neighbouring classes.
+Candidates are verified by a bit-parallel edit distance in a band of 2 * e + 1 diagonals.
 
 Index and probes meet on 64-bit keys that carry places only; texts are fetched for lines that share a key alone.  Of
 those a sketch is made, the parity of their pairs of characters by hash: an edit changes at most four pairs, so lines
@@ -32,10 +34,11 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from staffloom.llm.common import NO_ID, WORD, keyed, mix, small, stored
+from staffloom.llm.common import NO_ID, WORD, keyed, mix, raw, sliced, small, stored
 
 Steps = tuple[tuple[int, int], ...]
 
@@ -49,68 +52,142 @@ class Limits:
     words: Steps
 
 
+#: Lengths of a class of lines that are cut alike, for each edit.
+WIDTH = 4
+#: Bytes of lines whose keys are made at once.
+CHUNK = 1 << 18
 NARROW = Limits(40, ((40, 2),), ())
 WIDE = Limits(1, ((20, 1), (40, 2)), ((8, 1), (24, 2)))
 AT = ["id", "mark", "line_no"]
 
 
-def segment(n: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """First character (from 1) and length of the i-th even segment of a line of ``n`` characters; later ones are longer."""
-    base, longer = F.floor(n / (edits + 1)), n % (edits + 1)
-    extra = lambda k: F.greatest(longer - (edits + 1 - k), F.lit(0))  # noqa: E731  longer ones among the first k
-    return (base * i + extra(i) + 1).cast("int"), (base + extra(i + 1) - extra(i)).cast("int")
-
-
 def allowed(n: int, steps: Steps) -> int:
     """Edits between two lines of which the shorter has length ``n``."""
     return max((edits for least, edits in steps if n >= least), default=0)
 
 
-def ranges(m: Column, steps: Steps) -> list[tuple[int, Column]]:
-    """Every number of edits with the condition that a line of length ``m`` has it."""
-    ends = [least for least, _ in steps[1:]] + [None]
-    return [(edits, (m >= least) if end is None else (m >= least) & (m < end)) for (least, edits), end in zip(steps, ends)]
-
-
-def key(line: Column, start: Column, size: Column, i: int, n: Column, edits: int, cut) -> Column:
-    return F.xxhash64(cut(line, start, size), F.lit(f"{cut.__name__}{edits}.{i}"), n)
+def steps_of(m: np.ndarray, steps: Steps) -> tuple[np.ndarray, np.ndarray]:
+    """For lines of length ``m``: edits, and the least length of their class (0 and 0 where there are no edits)."""
+    at = np.searchsorted([least for least, _ in steps], m, "right")
+    least, edits = (np.array([0, *column]) for column in (zip(*steps) if steps else ((), ())))
+    width = np.maximum(WIDTH * edits, 1)[at]
+    return edits[at], np.where(at > 0, least[at] + (m - least[at]) // width * width, 0)
 
 
-def index_keys(line: Column, n: Column, steps: Steps, cut) -> list[Column]:
-    """Keys of the line's own segments: they stand in the index and probe it too."""
-    return [F.when(has, key(line, *segment(n, i, e), i, n, e, cut)) for e, has in ranges(n, steps) for i in range(e + 1)]
-
-
-def probe_keys(line: Column, n: Column, steps: Steps, cut) -> list[Column]:
-    """Keys of the other parts that may equal a segment of a line that is shorter by up to its edits."""
-    keys = []
+def parts(n: np.ndarray, steps: Steps) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bool]]:
+    """Parts of lines of length ``n`` that are keys: numbers of the lines, a mark of (class, which), start, size, and whether it is a part's own place."""
+    was = None
     for shorter in range(max((e for _, e in steps), default=-1) + 1):
-        m = n - shorter
-        for edits, has in ranges(m, steps):
-            for i in range(edits + 1 if shorter <= edits else 0):
-                start, size = segment(m, i, edits)
-                for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + (edits - i)) + 1):
-                    if shorter or shift:
-                        keys.append(F.when(has, key(line, start + shift, size, i, m, edits, cut)))
-    return keys
+        edits, low = steps_of(n - shorter, steps)
+        of = np.flatnonzero((edits > 0) & (edits >= shorter) & (True if was is None else low != was))
+        was = low
+        for e in np.unique(edits[of]):
+            own = of[edits[of] == e]
+            size = np.maximum(low[own] - (e == 2), 0) // (e + 1)
+            for i in range(e + 1):
+                reach = min(i, e - i)
+                for shift in range(0 if e <= 2 else -reach, reach + 1):
+                    start = (i * size if i <= e - i else n[own] - (e + 1 - i) * size) + shift
+                    fits = (start >= 0) & (start + size <= n[own])
+                    yield own[fits], (low[own] * 64 + i)[fits], start[fits], size[fits], shift == 0
+
+
+BASE = 0x9E3779B97F4A7C15
+FIRST_LINE = "id long, mark int, line_no int, h long, c long, n int, index array<long>, probe array<long>"
+
+
+class LineKeys:
+    """Keys of many lines at once, out of one running sum of their characters' values times the powers of ``BASE``."""
+
+    def __init__(self, limits: Limits):
+        self.limits, self.powers, self.inverse = limits, np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+
+    def __call__(self, lines: list[bytes]) -> tuple[np.ndarray, pa.ListArray, pa.ListArray]:
+        """Characters of each line, its index keys and its probe keys."""
+        text = b"\n".join(lines).decode("utf-8", "surrogateescape")
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        if len(codes) >= len(self.powers):
+            size = max(len(codes) + 1, CHUNK + 1)
+            self.powers, self.inverse = (np.full(size, base, np.uint64) for base in (BASE, pow(BASE, -1, 1 << 64)))
+            for powers in (self.powers, self.inverse):
+                powers[0] = 1
+                np.multiply.accumulate(powers, out=powers)
+        total = np.zeros(len(codes) + 1, np.uint64)
+        np.cumsum(mix(codes.astype(np.uint64) + np.uint64(1)) * self.powers[: len(codes)], out=total[1:])
+        ends = np.append(np.flatnonzero(codes == 10), len(codes))
+        begins = np.append(0, ends[:-1] + 1)
+        gaps = np.flatnonzero(codes == 32)
+        first, stop = np.searchsorted(gaps, begins), np.searchsorted(gaps, ends)
+        gaps = np.append(gaps, 0)
+        found: dict[bool, list[tuple[np.ndarray, np.ndarray]]] = {True: [], False: []}
+
+        def add(own: np.ndarray, mark: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int, indexed: bool) -> None:
+            h = (total[end] - total[start]) * self.inverse[start]
+            found[indexed].append((own, mix(h ^ mix(mark.astype(np.uint64) << np.uint64(1) | np.uint64(salt))).view(np.int64)))
+
+        for own, mark, start, size, indexed in parts(ends - begins, self.limits.chars):
+            add(own, mark, begins[own] + start, begins[own] + start + size, 0, indexed)
+        words = stop - first + 1
+        for own, mark, start, size, indexed in parts(words, self.limits.words):
+            a = np.where(start > 0, gaps[np.maximum(first[own] + start - 1, 0)] + 1, begins[own])
+            b = np.where(start + size < words[own], gaps[np.minimum(first[own] + start + size - 1, len(gaps) - 1)], ends[own])
+            add(own, mark, a, np.maximum(a, b), 1, indexed)
+        return ends - begins, self.lists(found[True], len(lines)), self.lists(found[False], len(lines))
+
+    @staticmethod
+    def lists(keys: list[tuple[np.ndarray, np.ndarray]], size: int) -> pa.ListArray:
+        """The keys as one list a line."""
+        of = np.concatenate([np.zeros(0, np.int64), *(k[0] for k in keys)])
+        held = np.concatenate([np.zeros(0, np.int64), *(k[1] for k in keys)])[np.argsort(of, kind="stable")]
+        offsets = np.append(0, np.cumsum(np.bincount(of, minlength=size)))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(held))
+
+
+def cut_lines(batch: pa.RecordBatch, limits: Limits) -> Iterator[tuple[list, list, list, list[bytes]]]:
+    """``id, mark, line_no, line`` of the lines that are not blank and may be long enough, ``CHUNK`` bytes or one line at a time."""
+    cols: tuple[list, list, list, list[bytes]] = ([], [], [], [])
+    held = 0
+    for id_, mark, text in zip(batch["id"].to_pylist(), batch["mark"].to_pylist(), raw(batch["text"])):
+        for no, line in enumerate(text.split(b"\n")):
+            if len(line) < limits.shortest or not line or line.isspace():
+                continue
+            if held and held + len(line) >= CHUNK:
+                yield cols
+                cols, held = ([], [], [], []), 0
+            held += len(line) + 1
+            for col, value in zip(cols, (id_, mark, no, line)):
+                col.append(value)
+    if held:
+        yield cols
+
+
+def key_lines(it: Iterator[pa.RecordBatch], limits: Limits) -> Iterator[pa.RecordBatch]:
+    """Place, hashes, length, ``index`` and ``probe`` keys of the lines that are long enough and not blank."""
+    keys = LineKeys(limits)
+    for batch in sliced(it):
+        for id_, mark, no, lines in cut_lines(batch, limits):
+            n, index, probe = keys(lines)
+            h = np.array([xxhash.xxh64_intdigest(line) for line in lines], np.uint64).view(np.int64)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(id_, pa.int64()), pa.array(mark, pa.int32()), pa.array(no, pa.int32()), pa.array(h),
+                 pa.array(map(zlib.crc32, lines), pa.int64()), pa.array(n, pa.int32()), index, probe],
+                [*AT, "h", "c", "n", "index", "probe"],
+            )
+            yield out.filter(pa.array(n >= limits.shortest))
 
 
 def lines_of(rows: DataFrame, limits: Limits) -> DataFrame:
-    """``id, mark, line_no, line, n`` of the lines that are long enough and not blank."""
+    """``id, mark, line_no`` of the lines that are long enough and not blank."""
     lines = rows.select("id", "mark", F.posexplode(F.split("text", "\n", -1)).alias("line_no", "line"))
-    return lines.withColumn("n", F.length("line")).where((F.col("n") >= limits.shortest) & F.col("line").rlike(WORD))
+    return lines.where((F.length("line") >= limits.shortest) & F.col("line").rlike(WORD)).select(*AT)
 
 
 def first_lines(rows: DataFrame, limits: Limits) -> DataFrame:
     """First place of every different line, with its ``index`` and ``probe`` keys."""
-    line, n, words = F.col("line"), F.col("n"), F.col("words")
-    keys = lambda of: F.array_distinct(F.array_compact(F.array(*of(line, n, limits.chars, F.substring), *of(words, F.size("words"), limits.words, F.slice))))
-    lines = lines_of(rows, limits).withColumn("words", F.split("line", " ", -1))
-    found = lines.select(
-        *AT, F.xxhash64("line").alias("h"), F.crc32(F.col("line").cast("binary")).alias("c"), "n", keys(index_keys).alias("index"), keys(probe_keys).alias("probe")
-    )
+    found = rows.select("id", "mark", "text").mapInArrow(partial(key_lines, limits=limits), FIRST_LINE)
     least = F.min(F.struct(*AT)).alias("at")
-    return found.groupBy("h", "c", "n").agg(least, F.first("index").alias("index"), F.first("probe").alias("probe")).select("at.*", "h", "c", "index", "probe")
+    firsts = found.groupBy("h", "c", "n").agg(least, F.first("index").alias("index"), F.first("probe").alias("probe"))
+    return firsts.select("at.*", "index", "probe")
 
 
 ENTRY = "key long, id long, mark int, line_no int, indexed boolean"
@@ -346,7 +423,7 @@ def near_lines(rows: DataFrame, firsts: DataFrame, limits: Limits) -> DataFrame:
 def removed_lines(docs: DataFrame, limits: Limits = NARROW) -> DataFrame:
     """``id, mark, gone``: numbers of the lines that go, by document that loses some."""
     rows = keyed(docs)
-    firsts = first_lines(rows, limits)
+    firsts = stored(first_lines(rows, limits), "line-firsts")
     kept = firsts.select(*AT).join(stored(near_lines(rows, firsts, limits), "near-lines"), AT, "left_anti")
     return lines_of(rows, limits).select(*AT).join(kept, AT, "left_anti").groupBy("id", "mark").agg(F.collect_set("line_no").alias("gone"))
 

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from staffloom.llm import chat, decontamination, jaccard_join, licenses, line_dedup, packing, quality, secret_scan, substring_dedup, toxicity
-from staffloom.llm.common import WordHashes, components
+from staffloom.llm.common import WordHashes, components, keyed
 from staffloom.llm.queries import byte_bpe
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, gone string, id string, mark string"
@@ -89,6 +89,39 @@ def test_edit_distance():
         assert line_dedup.within(a, b, e) == (distance(a, b) <= e)
 
 
+def test_a_line_has_few_keys(spark):
+    """A long line of 2 edits has 8 keys and sometimes those of the classes below (24 before)."""
+    docs = spark.createDataFrame([(i, " ".join(f"w{i}x{k}" for k in range(24 + i))) for i in range(60)], "doc_id long, text string")
+    lines = line_dedup.first_lines(keyed(docs), line_dedup.WIDE).collect()
+    sizes = [len(x["index"]) + len(x["probe"]) for x in lines]
+    assert len(sizes) == 60 and max(sizes) <= 16 and sum(sizes) / 60 <= 11
+
+
+@pytest.mark.parametrize(
+    "limits, size, alphabet, space",
+    [
+        (line_dedup.Limits(1, ((20, 1), (40, 2)), ()), (18, 70), "abcé", ""),
+        (line_dedup.Limits(1, (), ((8, 1), (24, 2))), (6, 40), ["a", "bb", "", "ddd"], " "),
+        (line_dedup.Limits(1, ((10, 3), (30, 5)), ()), (8, 50), "ab", ""),
+        (line_dedup.Limits(1, ((1, 1), (4, 2)), ()), (1, 12), "ab", ""),
+    ],
+)
+def test_near_lines_share_a_key(limits, size, alphabet, space):
+    r, keys, near = random.Random(2), line_dedup.LineKeys(limits), 0
+    for _ in range(1500):
+        a = [r.choice(alphabet) for _ in range(r.randint(*size))]
+        b = list(a)
+        for _ in range(r.randint(0, 3)):
+            b.insert(r.randint(0, len(b)), r.choice(alphabet)) if r.random() < 0.5 else b.pop(r.randrange(len(b))) if b else None
+        x, y = space.join(a), space.join(b)
+        if line_dedup.near(x, y, limits):
+            n, index, probe = keys([t.encode() for t in ("other", x, y)])
+            (_, ix, iy), (_, px, py) = (tuple(set(v) for v in k.to_pylist()) for k in (index, probe))
+            assert n.tolist() == [5, len(x), len(y)] and ix & (iy | py) | iy & px, (x, y)
+            near += 1
+    assert near > 200
+
+
 def test_near_copies_of_one_line_do_not_all_meet(spark):
     """Of a key that many near copies share, each late line is held against one other first; the rest only where that fails."""
     rng = random.Random(5)
