@@ -100,7 +100,7 @@ def frequency_levels(docs: DataFrame, shingle: int) -> np.ndarray:
         hashes, n = WordHashes(lower=True), np.zeros(CELLS, np.uint32)
         for batch in sliced(it):
             own = np.concatenate([shingles(t, hashes, shingle) for t in raw(batch["text"])] or [np.zeros(0, np.uint64)])
-            np.add.at(n, cells(own), np.uint32(1)) if len(own) < CELLS >> 4 else np.add(n, np.bincount(cells(own), minlength=CELLS).astype(np.uint32), out=n)
+            np.add.at(n, cells(own), np.uint32(1))
         parts = [k for k in range(CELLS // PART) if n[k * PART : (k + 1) * PART].any()]
         held = [zlib.compress(n[k * PART : (k + 1) * PART].tobytes(), 1) for k in parts]
         yield pa.RecordBatch.from_pydict({"part": pa.array(parts, pa.int32()), "n": pa.array(held, pa.binary())})
